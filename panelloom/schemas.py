@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 
-def schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+TYPES = {
+    "string": T.StringType(), "date": T.DateType(), "bigint": T.LongType(), "int": T.IntegerType(),
+    "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+}
+
+
+def schema(columns: str) -> T.StructType:
+    """``"name type, name type"`` as a schema; unlike DDL parsing it needs no running session."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
 FACT = schema("country_region string, date date, case_type string, cases bigint")
