@@ -22,10 +22,16 @@ def int_div(num: Column, den: Column) -> Column:
 
 
 def ratio_scaled(num, den, digits: int) -> Column:
-    """``num / den * 10**digits`` rounded half away from zero, as bigint; ``den`` must be positive."""
+    """``num / den * 10**digits`` rounded half away from zero, as bigint; NULL unless ``den > 0``.
+
+    Half a unit is added towards the sign of ``num`` and the quotient truncated. Pass plain columns
+    where the result is on a hot path: arguments are used more than once, and small expressions
+    keep the generated method within the size the JVM compiles.
+    """
     num, den = _column(num).cast("bigint"), _column(den).cast("bigint")
-    size = int_div(F.abs(num) * F.lit(2 * 10**digits).cast("bigint") + den, den * F.lit(2).cast("bigint"))
-    return F.when(num < 0, -size).otherwise(size)
+    half = F.when(num < 0, -den).otherwise(den)
+    quotient = F.call_function("div", num * F.lit(2 * 10**digits).cast("bigint") + half, den + den)
+    return F.when(den > 0, quotient)
 
 
 def ratio(num, den, digits: int) -> Column:

@@ -28,8 +28,8 @@ def zscore_anomalies(
 ) -> DataFrame:
     """Distance from the trailing mean in population deviations, flagged beyond the threshold.
 
-    The frame includes the current row, so with n rows the distance cannot exceed (n-1)/sqrt(n):
-    nothing can be flagged before the ninth row of a series.
+    The frame includes the current row, so with n rows the distance cannot exceed sqrt(n-1): at the
+    default threshold nothing can be flagged before the eighth row of a series.
     """
     rows = anomaly_input(daily, config, columns)
     moments = rolling_moments(rows, "daily_new_cases", config.window, columns, keep=("daily_new_cases",))

@@ -15,16 +15,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelloom.config import Columns
-from panelloom.functions.numeric import half_up_scaled, ratio_scaled, square, unscale, variance_terms
+from panelloom.functions.numeric import ratio_scaled, square, unscale, variance_terms
 from panelloom.operators.ingest import series_window
 
 
 class Running:
     """Running count, total and (optionally) total of squares of one integer measure.
 
-    Three steps: ``totals`` adds the running totals, ``lookups`` their values n rows back, and the
-    frame methods are plain arithmetic on those columns. Each lookup is one named column, because
-    equal window expressions inside larger ones are not merged by the optimizer.
+    Steps: ``totals`` adds the running totals, ``lookups`` their values n rows back, ``frames`` the
+    count and sum of each trailing frame; the rest is arithmetic on those columns. Each lookup is
+    one named column, because equal window expressions inside larger ones are not merged, and each
+    frame is one, so that the generated code stays small enough for the JVM to compile.
     """
 
     def __init__(self, value: str, columns: Columns = Columns(), squares: bool = False):
@@ -42,11 +43,22 @@ class Running:
             out[self.q] = F.sum(square(self.value)).over(frame)
         return out
 
-    def lookups(self, rows_back: list[int], squares_back: list[int] = ()) -> dict[str, Column]:
-        """``rows_back``: frame edges needed for counts and sums; ``squares_back`` for squares."""
+    def lookups(self, frames: list[tuple[int, int]], squares: tuple[int, ...] = ()) -> dict[str, Column]:
+        """Totals at the edges of ``(rows, rows skipped)`` frames; ``squares``: frames of squares."""
+        edges = sorted({edge for rows, skip in frames for edge in (skip, skip + rows)} - {0})
         out = {}
-        for total, edges in ((self.n, rows_back), (self.s, rows_back), (self.q, squares_back)):
-            out.update({f"{total}_{k}": F.lag(total, k).over(self.window) for k in edges if k})
+        for total, back in ((self.n, edges), (self.s, edges), (self.q, squares)):
+            out.update({f"{total}_{k}": F.lag(total, k).over(self.window) for k in back})
+        return out
+
+    def frames(self, frames: list[tuple[int, int]], squares: tuple[int, ...] = ()) -> dict[str, Column]:
+        """Named count and sum of each frame."""
+        out = {}
+        for rows, skip in frames:
+            out[f"{self.n}_{rows}_{skip}"] = self._frame(self.n, rows, skip)
+            out[f"{self.s}_{rows}_{skip}"] = self._frame(self.s, rows, skip)
+        for rows in squares:
+            out[f"{self.q}_{rows}_0"] = self._frame(self.q, rows, 0).cast("decimal(38,0)")
         return out
 
     def _frame(self, total: str, rows: int, skip: int) -> Column:
@@ -54,26 +66,38 @@ class Running:
         newer = F.coalesce(F.col(f"{total}_{skip}" if skip else total), zero)
         return newer - F.coalesce(F.col(f"{total}_{skip + rows}"), zero)
 
+    def prepare(self, df: DataFrame, frames: list[tuple[int, int]], squares: tuple[int, ...] = ()) -> DataFrame:
+        """``df`` with everything the methods below refer to."""
+        return (
+            df.withColumns(self.totals())
+            .withColumns(self.lookups(frames, squares))
+            .withColumns(self.frames(frames, squares))
+        )
+
     def count(self, rows: int, skip: int = 0) -> Column:
         """Non-null values in the ``rows`` rows that end ``skip`` rows before the current one."""
-        return self._frame(self.n, rows, skip)
+        return F.col(f"{self.n}_{rows}_{skip}")
+
+    def total(self, rows: int, skip: int = 0) -> Column:
+        return F.col(f"{self.s}_{rows}_{skip}")
 
     def sum(self, rows: int, skip: int = 0) -> Column:
-        return F.when(self.count(rows, skip) > 0, self._frame(self.s, rows, skip))
+        """NULL while the frame holds no value."""
+        return F.when(self.count(rows, skip) > 0, self.total(rows, skip))
 
     def sum_squares(self, rows: int) -> Column:
-        return self._frame(self.q, rows, 0).cast("decimal(38,0)")
+        return F.col(f"{self.q}_{rows}_0")
 
     def mean_scaled(self, rows: int, digits: int) -> Column:
         """Rounded mean as integer units."""
-        return ratio_scaled(self._frame(self.s, rows, 0), self.count(rows), digits)
+        return ratio_scaled(self.total(rows), self.count(rows), digits)
 
     def sample_deviation_scaled(self, rows: int, digits: int) -> Column:
         """Rounded sample standard deviation as integer units; NULL below two values."""
         n = self.count(rows)
-        terms = variance_terms(n, self._frame(self.s, rows, 0), self.sum_squares(rows))
-        pairs = F.nullif(n * (n - F.lit(1)), F.lit(0)).cast("double")
-        return F.when(n > 1, half_up_scaled(F.sqrt(terms / pairs), digits))
+        terms = variance_terms(n, self.total(rows), self.sum_squares(rows))
+        root = F.sqrt(terms / (n * (n - F.lit(1))).cast("double"))
+        return F.when(n > 1, F.floor(root * F.lit(float(10**digits)) + F.lit(0.5)).cast("bigint"))
 
 
 def _keyed(df: DataFrame, columns: Columns, outputs: dict[str, Column]) -> DataFrame:
@@ -83,7 +107,7 @@ def _keyed(df: DataFrame, columns: Columns, outputs: dict[str, Column]) -> DataF
 def rolling_avg(df: DataFrame, value: str, frames: dict[str, int], columns: Columns = Columns()) -> DataFrame:
     """Trailing means, rounded to 2; ``frames`` maps an output column to its number of rows."""
     run = Running(value, columns)
-    base = df.withColumns(run.totals()).withColumns(run.lookups(sorted(set(frames.values()))))
+    base = run.prepare(df, [(rows, 0) for rows in frames.values()])
     return _keyed(base, columns, {name: unscale(run.mean_scaled(rows, 2), 2) for name, rows in frames.items()})
 
 
@@ -95,8 +119,7 @@ def rolling_sum(
     An offset frame such as the previous week is ``(7, 7)``; it is NULL while it holds no row.
     """
     run = Running(value, columns)
-    edges = sorted({edge for rows, skip in frames.values() for edge in (skip, skip + rows)})
-    base = df.withColumns(run.totals()).withColumns(run.lookups(edges))
+    base = run.prepare(df, list(frames.values()))
     return _keyed(base, columns, {name: run.sum(*frame) for name, frame in frames.items()})
 
 
@@ -110,7 +133,7 @@ def rolling_stddev(
     df: DataFrame, value: str, rows: int, output: str, columns: Columns = Columns()
 ) -> DataFrame:
     run = Running(value, columns, squares=True)
-    base = df.withColumns(run.totals()).withColumns(run.lookups([rows], [rows]))
+    base = run.prepare(df, [(rows, 0)], (rows,))
     return _keyed(base, columns, {output: unscale(run.sample_deviation_scaled(rows, 2), 2)})
 
 
@@ -124,7 +147,7 @@ def rolling_moments(
 ) -> DataFrame:
     """Count, sum and sum of squares of the trailing frame, as exact integers."""
     run = Running(value, columns, squares=True)
-    base = df.withColumns(run.totals()).withColumns(run.lookups([rows], [rows]))
+    base = run.prepare(df, [(rows, 0)], (rows,))
     return base.select(
         columns.series,
         columns.ts,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from panelloom import schemas
@@ -34,7 +36,8 @@ class PanelStages:
 
     A stage listed in ``cut`` is written as Parquet when it is first needed and read back, so that
     its consumers share one computation, prune columns at the scan and do not replay the lineage
-    after a lost executor. Cuts go under ``root``, by default a fresh folder below the session's
+    after a lost executor. The optional sources may be given as functions, called when a stage needs
+    them. Cuts go under ``root``, by default a fresh folder below the session's
     ``spark.checkpoint.dir``; without any shared folder nothing is cut and plans stay lazy.
     """
 
@@ -42,8 +45,8 @@ class PanelStages:
         self,
         fact: DataFrame,
         config: PanelConfig = PanelConfig(),
-        vaccinations: DataFrame | None = None,
-        mobility: DataFrame | None = None,
+        vaccinations: DataFrame | Callable[[], DataFrame] | None = None,
+        mobility: DataFrame | Callable[[], DataFrame] | None = None,
         root: str | None = None,
         cut: tuple | frozenset = (),
         generator=text.offline_generator,
@@ -67,8 +70,10 @@ class PanelStages:
             self._done[name] = df
         return self._done[name]
 
-    def _empty(self, declared) -> DataFrame:
-        return self.spark.createDataFrame([], declared)
+    def _optional(self, source, declared) -> DataFrame:
+        if source is None:
+            return self.spark.createDataFrame([], declared)
+        return source() if callable(source) else source
 
     def combined(self) -> DataFrame:
         return self._stage("combined", lambda: ingest.combine(self.fact, self.config.ingest, self.config.columns))
@@ -77,12 +82,10 @@ class PanelStages:
         return self._stage("daily", lambda: ingest.daily_delta(self.combined(), self.config.columns))
 
     def vaccinations(self) -> DataFrame:
-        source = self._vaccinations
-        return self._stage("vaccinations", lambda: self._empty(schemas.VACCINATIONS) if source is None else source)
+        return self._stage("vaccinations", lambda: self._optional(self._vaccinations, schemas.VACCINATIONS))
 
     def mobility(self) -> DataFrame:
-        source = self._mobility
-        return self._stage("mobility", lambda: self._empty(schemas.MOBILITY) if source is None else source)
+        return self._stage("mobility", lambda: self._optional(self._mobility, schemas.MOBILITY))
 
     def features(self) -> DataFrame:
         c = self.config

@@ -156,8 +156,8 @@ def stages(spark: SparkSession, sf_dir: str, cut: tuple = ()) -> PanelStages:
     return PanelStages(
         panel_fact(spark, sf_dir),
         CONFIG,
-        vaccinations=vaccinations(spark, sf_dir),
-        mobility=mobility(spark, sf_dir),
+        vaccinations=lambda: vaccinations(spark, sf_dir),
+        mobility=lambda: mobility(spark, sf_dir),
         cut=cut,
     )
 

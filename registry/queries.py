@@ -19,7 +19,8 @@ KEY = Columns().series
 
 # Stages with more than one consumer are written once per run.
 FEATURES = ("daily",)
-RISK = ("daily", "features", "forecasts")
+RISK = ("daily", "features")
+RISK_AND_FORECASTS = (*RISK, "forecasts")
 CONTEXT = ("daily", "features", "forecasts", "forecast_metrics", "anomalies")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,14 +88,14 @@ def view(name: str, cut: tuple = ()):
     return run
 
 
-QUERIES["s08_view_training"] = view("forecast_training", RISK)
-QUERIES["s08_view_anomaly_input"] = view("anomaly_input", RISK)
+QUERIES["s08_view_training"] = view("forecast_training", CONTEXT)
+QUERIES["s08_view_anomaly_input"] = view("anomaly_input", CONTEXT)
 QUERIES["s08_view_context"] = view("context_view", CONTEXT)
 
 
 @query("s09_load_all")
 def _(spark, sf):
-    st = b.stages(spark, sf, RISK)
+    st = b.stages(spark, sf, RISK_AND_FORECASTS)
     names = ("risk_tiers", "features", "history_forecast", "forecasts", "anomalies", "vaccinations", "forecast_metrics")
     loaded = tables.load_all({name: getattr(st, name)() for name in names})
     counts = [df.agg(F.lit(name).alias("tbl"), F.count(F.lit(1)).alias("row_count")) for name, df in loaded.items()]
@@ -365,19 +366,22 @@ over_stages(
     lambda st: forecast.forecast_display_split(st.history_forecast(), CONFIG.report),
     ("daily", "features"),
 )
-over_stages("f09_forecast_kpis", lambda st: forecast.forecast_kpis(st.risk_tiers(), st.forecasts()), RISK)
+over_stages("f09_forecast_kpis", lambda st: forecast.forecast_kpis(st.risk_tiers(), st.forecasts()), RISK_AND_FORECASTS)
 over_stages("f10_interval_band", lambda st: forecast.interval_band(st.history_forecast()), ("daily", "features"))
 
 
 def same_weekday_forecaster(frame, periods, prediction_interval):
     """Sample plug-in model: the mean of the last four values of the same weekday."""
+    from statistics import NormalDist
+
     days = pd.to_datetime(frame["date"])
     values = frame["target"].astype(float)
     ahead = pd.date_range(days.iloc[-1] + pd.Timedelta(days=1), periods=periods)
     by_day = {d: g.tail(4) for d, g in values.groupby(days.dt.dayofweek.to_numpy())}
     last = values.tail(28)
     point = [float(by_day.get(d.dayofweek, last).mean()) for d in ahead]
-    half = forecast.interval_multiplier(prediction_interval) * (float(last.std()) if len(last) > 1 else 0.0)
+    z = NormalDist().inv_cdf((1 + prediction_interval) / 2)
+    half = z * (float(last.std()) if len(last) > 1 else 0.0)
     return pd.DataFrame(
         {"date": ahead.date, "point": point, "lower": [p - half for p in point], "upper": [p + half for p in point]}
     )
