@@ -24,13 +24,17 @@ def int_div(num: Column, den: Column) -> Column:
 def ratio_scaled(num, den, digits: int) -> Column:
     """``num / den * 10**digits`` rounded half away from zero, as bigint; NULL unless ``den > 0``.
 
-    Half a unit is added towards the sign of ``num`` and the quotient truncated. Pass plain columns
-    where the result is on a hot path: arguments are used more than once, and small expressions
-    keep the generated method within the size the JVM compiles.
+    Half a unit is added towards the sign of ``num`` and the quotient truncated. Arguments are
+    Columns or, cheaper to build, SQL expression texts. They are used more than once: on a hot path
+    pass plain column names, so that generated methods stay within the size the JVM compiles.
     """
-    num, den = _column(num).cast("bigint"), _column(den).cast("bigint")
+    unit = 2 * 10**digits
+    if isinstance(num, str) and isinstance(den, str):
+        half = f"if(({num}) < 0, -({den}), {den})"
+        return F.expr(f"if(({den}) > 0, (({num}) * {unit}L + {half}) div (({den}) * 2L), NULL)")
+    num, den = (x if isinstance(x, Column) else F.expr(x) for x in (num, den))
     half = F.when(num < 0, -den).otherwise(den)
-    quotient = F.call_function("div", num * F.lit(2 * 10**digits).cast("bigint") + half, den + den)
+    quotient = F.call_function("div", num * F.lit(unit).cast("bigint") + half, den * F.lit(2).cast("bigint"))
     return F.when(den > 0, quotient)
 
 
@@ -41,7 +45,9 @@ def ratio(num, den, digits: int) -> Column:
 
 def unscale(units, digits: int) -> Column:
     """Integer count of ``10**-digits`` units to double."""
-    return _column(units).cast("double") / F.lit(float(10**digits))
+    if isinstance(units, str):
+        return F.expr(f"CAST({units} AS DOUBLE) / {10**digits}D")
+    return units.cast("double") / F.lit(float(10**digits))
 
 
 def half_up_scaled(x, digits: int) -> Column:

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelloom.config import Columns, EndemicConfig, FeatureConfig
-from panelloom.functions.numeric import ratio, ratio_scaled, reround, unscale
+from panelloom.functions.numeric import ratio, reround, unscale
 from panelloom.operators.ingest import series_window
 from panelloom.operators.windows import Running, days_since_first
 
@@ -30,7 +30,7 @@ CLASS_COLUMNS = ("acceleration", "trend_direction", "epidemic_phase")
 
 def case_fatality_rate(deaths: str, confirmed: str) -> Column:
     """Deaths per hundred confirmed, 4 decimals; 0 while nothing is confirmed."""
-    rate = ratio(F.col(deaths) * F.lit(100), F.col(confirmed), 4)
+    rate = ratio(f"{deaths} * 100", confirmed, 4)
     return F.when(F.col(confirmed) > 0, rate).otherwise(0.0)
 
 
@@ -55,7 +55,7 @@ def doubling_time(config: FeatureConfig = FeatureConfig()) -> Column:
 
 def percent_change(now: str, before: str) -> Column:
     """Change in percent of ``before``, 2 decimals; 0 without a positive base."""
-    change = ratio((F.col(now) - F.col(before)) * F.lit(100), F.col(before), 2)
+    change = ratio(f"({now} - {before}) * 100", before, 2)
     return F.when(F.col(before) > 0, change).otherwise(0.0)
 
 
@@ -65,29 +65,26 @@ def signal_to_noise() -> Column:
 
 
 def trend_direction(config: FeatureConfig = FeatureConfig()) -> Column:
-    week, fortnight = F.col("__avg7") * F.lit(100), F.col("__avg14")
-    return (
-        F.when(week > fortnight * F.lit(config.trend_up_pct), "ACCELERATING")
-        .when(week < fortnight * F.lit(config.trend_down_pct), "DECELERATING")
-        .otherwise("STABLE")
-    )
+    """Rounded 7-row mean against the rounded 14-row mean."""
+    up = F.expr(f"__avg7 * 100 > __avg14 * {config.trend_up_pct}")
+    down = F.expr(f"__avg7 * 100 < __avg14 * {config.trend_down_pct}")
+    return F.when(up, "ACCELERATING").when(down, "DECELERATING").otherwise("STABLE")
 
 
 def epidemic_phase(config: FeatureConfig = FeatureConfig()) -> Column:
     """Six classes from the three rounded means; a missing mean falls through to TRANSITION."""
-    week = F.col("__avg7") * F.lit(100)
-    fortnight, month = F.col("__avg14"), F.col("__avg28")
-    steep = week > fortnight * F.lit(config.exp_growth_fortnight_pct)
-    above_month = week > month * F.lit(config.exp_growth_month_pct)
-    flat = F.abs(week - fortnight * F.lit(100)) <= fortnight * F.lit(config.plateau_band_pct)
-    falling = week < fortnight * F.lit(config.lin_decline_pct)
-    floor = month * F.lit(config.decline_month_pct)
+    week, fortnight, month = "__avg7 * 100", "__avg14", "__avg28"
+    steep = f"{week} > {fortnight} * {config.exp_growth_fortnight_pct} AND {week} > {month} * {config.exp_growth_month_pct}"
+    rising = f"{week} > {fortnight} * {config.lin_growth_pct}"
+    flat = f"abs({week} - {fortnight} * 100) <= {fortnight} * {config.plateau_band_pct}"
+    floor = f"{month} * {config.decline_month_pct}"
+    falling = f"{week} < {fortnight} * {config.lin_decline_pct} AND {week} > {floor}"
     return (
-        F.when(steep & above_month, "EXPONENTIAL_GROWTH")
-        .when(week > fortnight * F.lit(config.lin_growth_pct), "LINEAR_GROWTH")
-        .when(flat, "PLATEAU")
-        .when(falling & (week > floor), "LINEAR_DECLINE")
-        .when(week < floor, "EXPONENTIAL_DECLINE")
+        F.when(F.expr(steep), "EXPONENTIAL_GROWTH")
+        .when(F.expr(rising), "LINEAR_GROWTH")
+        .when(F.expr(flat), "PLATEAU")
+        .when(F.expr(falling), "LINEAR_DECLINE")
+        .when(F.expr(f"{week} < {floor}"), "EXPONENTIAL_DECLINE")
         .otherwise("TRANSITION")
     )
 
@@ -105,12 +102,11 @@ def base(daily: DataFrame, config: FeatureConfig = FeatureConfig(), columns: Col
     week, fortnight, month, serial = config.week, config.fortnight, config.month, config.serial_interval
     case_frames = [(week, 0), (fortnight, 0), (month, 0), (week, week), (serial, 0), (serial, serial)]
     death_frames = [(week, 0), (fortnight, 0)]
-    before = ratio_scaled(cases.total(week, week), cases.count(week, week), 2)
     case_columns = {
         "__avg7": cases.mean_scaled(week, 2),
         "__avg14": cases.mean_scaled(fortnight, 2),
         "__avg28": cases.mean_scaled(month, 2),
-        "__avg7_before": before,
+        "__avg7_before": cases.mean_scaled(week, 2, skip=week),
         "__vol14": cases.sample_deviation_scaled(fortnight, 2),
         "sum_7d_cases": cases.sum(week),
         "prev_sum_7d_cases": cases.sum(week, week),
@@ -153,7 +149,7 @@ def derived(frames: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataF
 
 def acceleration() -> Column:
     """Rounded 7-row mean minus the one a week of rows earlier, which is the previous week's mean."""
-    return unscale(F.col("__avg7") - F.col("__avg7_before"), 2)
+    return unscale("(__avg7 - __avg7_before)", 2)
 
 
 def classified(frames: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:

@@ -62,9 +62,8 @@ class Running:
         return out
 
     def _frame(self, total: str, rows: int, skip: int) -> Column:
-        zero = F.lit(0).cast("decimal(38,0)" if total == self.q else "bigint")
-        newer = F.coalesce(F.col(f"{total}_{skip}" if skip else total), zero)
-        return newer - F.coalesce(F.col(f"{total}_{skip + rows}"), zero)
+        newer = f"{total}_{skip}" if skip else total
+        return F.expr(f"coalesce({newer}, 0) - coalesce({total}_{skip + rows}, 0)")
 
     def prepare(self, df: DataFrame, frames: list[tuple[int, int]], squares: tuple[int, ...] = ()) -> DataFrame:
         """``df`` with everything the methods below refer to."""
@@ -74,27 +73,27 @@ class Running:
             .withColumns(self.frames(frames, squares))
         )
 
-    def count(self, rows: int, skip: int = 0) -> Column:
-        """Non-null values in the ``rows`` rows that end ``skip`` rows before the current one."""
-        return F.col(f"{self.n}_{rows}_{skip}")
+    def count(self, rows: int, skip: int = 0) -> str:
+        """Name of the number of non-null values in a frame of ``rows`` rows, ``skip`` rows back."""
+        return f"{self.n}_{rows}_{skip}"
 
-    def total(self, rows: int, skip: int = 0) -> Column:
-        return F.col(f"{self.s}_{rows}_{skip}")
+    def total(self, rows: int, skip: int = 0) -> str:
+        return f"{self.s}_{rows}_{skip}"
 
     def sum(self, rows: int, skip: int = 0) -> Column:
         """NULL while the frame holds no value."""
-        return F.when(self.count(rows, skip) > 0, self.total(rows, skip))
+        return F.expr(f"if({self.count(rows, skip)} > 0, {self.total(rows, skip)}, NULL)")
 
-    def sum_squares(self, rows: int) -> Column:
-        return F.col(f"{self.q}_{rows}_0")
+    def sum_squares(self, rows: int) -> str:
+        return f"{self.q}_{rows}_0"
 
-    def mean_scaled(self, rows: int, digits: int) -> Column:
+    def mean_scaled(self, rows: int, digits: int, skip: int = 0) -> Column:
         """Rounded mean as integer units."""
-        return ratio_scaled(self.total(rows), self.count(rows), digits)
+        return ratio_scaled(self.total(rows, skip), self.count(rows, skip), digits)
 
     def sample_deviation_scaled(self, rows: int, digits: int) -> Column:
         """Rounded sample standard deviation as integer units; NULL below two values."""
-        n = self.count(rows)
+        n = F.col(self.count(rows))
         terms = variance_terms(n, self.total(rows), self.sum_squares(rows))
         root = F.sqrt(terms / (n * (n - F.lit(1))).cast("double"))
         return F.when(n > 1, F.floor(root * F.lit(float(10**digits)) + F.lit(0.5)).cast("bigint"))
@@ -152,9 +151,9 @@ def rolling_moments(
         columns.series,
         columns.ts,
         *keep,
-        run.count(rows).alias("moment_n"),
+        F.col(run.count(rows)).alias("moment_n"),
         run.sum(rows).alias("moment_sum"),
-        run.sum_squares(rows).alias("moment_sum_sq"),
+        F.col(run.sum_squares(rows)).alias("moment_sum_sq"),
     )
 
 

@@ -166,17 +166,34 @@ SELECT *,
        CAST(rolling_avg_28d_cases AS DECIMAL(18,2)) AS a28
 FROM c_base"""
 
+L = CONFIG.features
+
+
+def above(x: str, y: str, percent: int) -> str:
+    return f"{x} * 100 > {y} * {percent}"
+
+
+def below(x: str, y: str, percent: int) -> str:
+    return f"{x} * 100 < {y} * {percent}"
+
+
+PHASES = (
+    (above("a7", "a14", L.exp_growth_fortnight_pct) + " AND " + above("a7", "a28", L.exp_growth_month_pct), "EXPONENTIAL_GROWTH"),
+    (above("a7", "a14", L.lin_growth_pct), "LINEAR_GROWTH"),
+    (f"NOT ({above('abs(a7 - a14)', 'a14', L.plateau_band_pct)})", "PLATEAU"),
+    (below("a7", "a14", L.lin_decline_pct) + " AND " + above("a7", "a28", L.decline_month_pct), "LINEAR_DECLINE"),
+    (below("a7", "a28", L.decline_month_pct), "EXPONENTIAL_DECLINE"),
+)
+TRENDS = ((above("a7", "a14", L.trend_up_pct), "ACCELERATING"), (below("a7", "a14", L.trend_down_pct), "DECELERATING"))
+
+
+def first_match(cases, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN '{value}'" for test, value in cases) + f" ELSE '{default}' END"
+
+
 C["c_classified"] = f"""
-SELECT *,
-       CAST(a7 - lag(a7, 7) OVER {IN_ORDER} AS DOUBLE) AS acceleration,
-       CASE WHEN a7 > a14 * 1.1 THEN 'ACCELERATING' WHEN a7 < a14 * 0.9 THEN 'DECELERATING' ELSE 'STABLE' END
-           AS trend_direction,
-       CASE WHEN a7 > a14 * 1.2 AND a7 > a28 * 1.3 THEN 'EXPONENTIAL_GROWTH'
-            WHEN a7 > a14 * 1.05 THEN 'LINEAR_GROWTH'
-            WHEN abs(a7 - a14) <= a14 * 0.05 THEN 'PLATEAU'
-            WHEN a7 < a14 * 0.95 AND a7 > a28 * 0.7 THEN 'LINEAR_DECLINE'
-            WHEN a7 < a28 * 0.7 THEN 'EXPONENTIAL_DECLINE'
-            ELSE 'TRANSITION' END AS epidemic_phase
+SELECT *, CAST(a7 - lag(a7, 7) OVER {IN_ORDER} AS DOUBLE) AS acceleration,
+       {first_match(TRENDS, 'STABLE')} AS trend_direction, {first_match(PHASES, 'TRANSITION')} AS epidemic_phase
 FROM c_derived"""
 
 DECLINE = "epidemic_phase IN ('EXPONENTIAL_DECLINE', 'LINEAR_DECLINE')"
@@ -591,10 +608,6 @@ NARRATIVES = (
 )
 
 
-def rolling_base() -> str:
-    return "c_base"
-
-
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["s01_scan_table"] = "SELECT * FROM c_fact"
