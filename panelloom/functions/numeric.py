@@ -107,10 +107,31 @@ def ladder(x, steps, default, op: str = ">") -> Column:
     return out.otherwise(F.lit(default))
 
 
-def variance_terms(n, total, squares) -> Column:
-    """``n * sum(x**2) - sum(x)**2`` as an exact integer: n**2 times the population variance."""
-    total = _column(total).cast("decimal(19,0)")
-    return (_column(n).cast("decimal(10,0)") * _column(squares) - total * total).cast("double")
+# Counts are split as high * 2**HALF_BITS + low, so that sums of squares fit 64-bit integers for
+# 100,000 rows of counts up to 2**46 and need no wide decimal.
+HALF_BITS = 23
+
+
+def high(x: str) -> str:
+    return f"shiftright({x}, {HALF_BITS})"
+
+
+def low(x: str) -> str:
+    return f"({x} & {2**HALF_BITS - 1}L)"
+
+
+def spread_terms(n: str, total: str, high_sum: str, high_sq: str, cross: str, low_sq: str) -> Column:
+    """``n * sum(x**2) - sum(x)**2`` as double: n**2 times the population variance.
+
+    The three centred products are exact integers; they are small when the values lie close
+    together, so joining them as doubles loses nothing to cancellation.
+    """
+    low_sum = f"({total} - {high_sum} * {2**HALF_BITS}L)"
+    return F.expr(
+        f"CAST({n} * {high_sq} - {high_sum} * {high_sum} AS DOUBLE) * {float(2**(2 * HALF_BITS))}D"
+        f" + CAST({n} * {cross} - {high_sum} * {low_sum} AS DOUBLE) * {float(2**(HALF_BITS + 1))}D"
+        f" + CAST({n} * {low_sq} - {low_sum} * {low_sum} AS DOUBLE)"
+    )
 
 
 def square(x) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelloom.config import AnomalyConfig, Columns, ForecastConfig
-from panelloom.functions.numeric import half_up, normal_cdf, ratio, variance_terms
+from panelloom.functions.numeric import half_up, normal_cdf, ratio
 from panelloom.operators.forecast import fit_forecaster, interval_multiplier, point_at
 from panelloom.operators.projections import filter_date_range
 from panelloom.operators.windows import rolling_moments
@@ -34,20 +34,20 @@ def zscore_anomalies(
     rows = anomaly_input(daily, config, columns)
     moments = rolling_moments(rows, "daily_new_cases", config.window, columns, keep=("daily_new_cases",))
     x, n, total = F.col("daily_new_cases"), F.col("moment_n"), F.col("moment_sum")
-    terms = variance_terms("moment_n", "moment_sum", "moment_sum_sq")
+    spread = F.col("moment_spread")
     excess = n * x - total
     scored = moments.withColumn(
-        "__z", F.when(terms > 0, excess.cast("double") / F.nullif(F.sqrt(terms), F.lit(0.0))).otherwise(0.0)
+        "__z", F.when(spread > 0, excess.cast("double") / F.sqrt(spread)).otherwise(0.0)
     )
     return scored.select(
         columns.series,
         columns.ts,
         "daily_new_cases",
-        ratio(total, n, 2).alias("expected"),
+        ratio("moment_sum", "moment_n", 2).alias("expected"),
         (F.abs("__z") > config.threshold).alias("is_anomaly"),
         F.lit(None).cast("double").alias("percentile"),
         half_up("__z", 3).alias("distance"),
-        F.when(total > 0, ratio(excess * F.lit(100), total, 1)).otherwise(0.0).alias("deviation_pct"),
+        F.when(total > 0, ratio("(moment_n * daily_new_cases - moment_sum) * 100", "moment_sum", 1)).otherwise(0.0).alias("deviation_pct"),
         _direction(excess, F.lit(0)).alias("anomaly_direction"),
     )
 

@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelloom.config import Columns
-from panelloom.functions.numeric import ratio_scaled, square, unscale, variance_terms
+from panelloom.functions.numeric import HALF_BITS, high, low, ratio_scaled, spread_terms, unscale
 from panelloom.operators.ingest import series_window
 
 
 class Running:
-    """Running count, total and (optionally) total of squares of one integer measure.
+    """Running count, total and (optionally) squares of one integer measure.
 
     Steps: ``totals`` adds the running totals, ``lookups`` their values n rows back, ``frames`` the
     count and sum of each trailing frame; the rest is arithmetic on those columns. Each lookup is
@@ -29,9 +29,12 @@ class Running:
     """
 
     def __init__(self, value: str, columns: Columns = Columns(), squares: bool = False):
-        self.value, self.columns, self.squares = value, columns, squares
+        self.value, self.columns = value, columns
         self.window = series_window(columns)
-        self.n, self.s, self.q = (f"__{p}_{value}" for p in "nsq")
+        self.n, self.s = f"__n_{value}", f"__s_{value}"
+        h, l = high(value), low(value)
+        parts = {"h": h, "hh": f"{h} * {h}", "hl": f"{h} * {l}", "ll": f"{l} * {l}"}
+        self.squares = {f"__{p}_{value}": sql for p, sql in parts.items()} if squares else {}
 
     def totals(self) -> dict[str, Column]:
         frame = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -39,26 +42,22 @@ class Running:
             self.n: F.count(self.value).over(frame),
             self.s: F.sum(F.col(self.value).cast("bigint")).over(frame),
         }
-        if self.squares:
-            out[self.q] = F.sum(square(self.value)).over(frame)
+        out.update({name: F.sum(F.expr(sql)).over(frame) for name, sql in self.squares.items()})
         return out
 
     def lookups(self, frames: list[tuple[int, int]], squares: tuple[int, ...] = ()) -> dict[str, Column]:
         """Totals at the edges of ``(rows, rows skipped)`` frames; ``squares``: frames of squares."""
         edges = sorted({edge for rows, skip in frames for edge in (skip, skip + rows)} - {0})
-        out = {}
-        for total, back in ((self.n, edges), (self.s, edges), (self.q, squares)):
-            out.update({f"{total}_{k}": F.lag(total, k).over(self.window) for k in back})
-        return out
+        wanted = [(total, edges) for total in (self.n, self.s)] + [(total, squares) for total in self.squares]
+        return {f"{total}_{k}": F.lag(total, k).over(self.window) for total, back in wanted for k in back}
 
     def frames(self, frames: list[tuple[int, int]], squares: tuple[int, ...] = ()) -> dict[str, Column]:
         """Named count and sum of each frame."""
         out = {}
-        for rows, skip in frames:
-            out[f"{self.n}_{rows}_{skip}"] = self._frame(self.n, rows, skip)
-            out[f"{self.s}_{rows}_{skip}"] = self._frame(self.s, rows, skip)
-        for rows in squares:
-            out[f"{self.q}_{rows}_0"] = self._frame(self.q, rows, 0).cast("decimal(38,0)")
+        for total in (self.n, self.s):
+            out.update({f"{total}_{rows}_{skip}": self._frame(total, rows, skip) for rows, skip in frames})
+        for total in self.squares:
+            out.update({f"{total}_{rows}_0": self._frame(total, rows, 0) for rows in squares})
         return out
 
     def _frame(self, total: str, rows: int, skip: int) -> Column:
@@ -84,8 +83,13 @@ class Running:
         """NULL while the frame holds no value."""
         return F.expr(f"if({self.count(rows, skip)} > 0, {self.total(rows, skip)}, NULL)")
 
-    def sum_squares(self, rows: int) -> str:
-        return f"{self.q}_{rows}_0"
+    def spread(self, rows: int) -> Column:
+        """``n * sum(x**2) - sum(x)**2`` of a frame."""
+        return spread_terms(self.count(rows), self.total(rows), *[f"{total}_{rows}_0" for total in self.squares])
+
+    def sum_squares(self, rows: int) -> Column:
+        _, hh, hl, ll = [f"CAST({total}_{rows}_0 AS DECIMAL(20,0))" for total in self.squares]
+        return F.expr(f"{hh} * {2**(2 * HALF_BITS)}BD + {hl} * {2**(HALF_BITS + 1)}BD + {ll}").cast("decimal(38,0)")
 
     def mean_scaled(self, rows: int, digits: int, skip: int = 0) -> Column:
         """Rounded mean as integer units."""
@@ -94,8 +98,7 @@ class Running:
     def sample_deviation_scaled(self, rows: int, digits: int) -> Column:
         """Rounded sample standard deviation as integer units; NULL below two values."""
         n = F.col(self.count(rows))
-        terms = variance_terms(n, self.total(rows), self.sum_squares(rows))
-        root = F.sqrt(terms / (n * (n - F.lit(1))).cast("double"))
+        root = F.sqrt(self.spread(rows) / (n * (n - F.lit(1))).cast("double"))
         return F.when(n > 1, F.floor(root * F.lit(float(10**digits)) + F.lit(0.5)).cast("bigint"))
 
 
@@ -144,7 +147,7 @@ def days_since_first(columns: Columns = Columns()) -> Column:
 def rolling_moments(
     df: DataFrame, value: str, rows: int, columns: Columns = Columns(), keep: tuple = ()
 ) -> DataFrame:
-    """Count, sum and sum of squares of the trailing frame, as exact integers."""
+    """Count, sum, sum of squares and ``n * sum(x**2) - sum(x)**2`` of the trailing frame."""
     run = Running(value, columns, squares=True)
     base = run.prepare(df, [(rows, 0)], (rows,))
     return base.select(
@@ -153,7 +156,8 @@ def rolling_moments(
         *keep,
         F.col(run.count(rows)).alias("moment_n"),
         run.sum(rows).alias("moment_sum"),
-        F.col(run.sum_squares(rows)).alias("moment_sum_sq"),
+        run.sum_squares(rows).alias("moment_sum_sq"),
+        run.spread(rows).alias("moment_spread"),
     )
 
 

@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame
 from panelloom import schemas
 from panelloom.config import PanelConfig
 from panelloom.operators import anomaly, context, features, forecast, ingest, risk, text
-from panelloom.sources.sinks import run_folder, write_table
+from panelloom.sources.sinks import (
+    clustered,
+    create_namespaces,
+    run_folder,
+    write_catalog_table,
+    write_table,
+)
 
 # Published tables and their namespaces.
 TABLES = {
@@ -30,6 +36,9 @@ TABLES = {
     "policy_simulations": "analytics",
 }
 
+# Tables with one row per series and day whose rows arrive partitioned by series.
+BUCKETED = ("combined", "daily", "features", "anomalies")
+
 
 class PanelStages:
     """Lazy stages over one raw fact.
@@ -39,6 +48,10 @@ class PanelStages:
     after a lost executor. The optional sources may be given as functions, called when a stage needs
     them. Cuts go under ``root``, by default a fresh folder below the session's
     ``spark.checkpoint.dir``; without any shared folder nothing is cut and plans stay lazy.
+
+    With ``buckets`` cuts become catalog tables instead, in one database per namespace (names start
+    with ``database_prefix``). The series-and-day tables are bucketed by series: the panel is
+    shuffled by series once, and the windows of every later stage read it without a shuffle.
     """
 
     def __init__(
@@ -51,32 +64,47 @@ class PanelStages:
         cut: tuple | frozenset = (),
         generator=text.offline_generator,
         generated_at=None,
+        buckets: int = 0,
+        database_prefix: str = "",
     ):
         self.spark = fact.sparkSession
         self.fact, self.config = fact, config
         self._vaccinations, self._mobility = vaccinations, mobility
         self._root, self.cut = root, frozenset(cut)
         self.generator, self.generated_at = generator, generated_at
+        self.buckets, self.database_prefix = buckets, database_prefix
         self._done: dict[str, DataFrame] = {}
+        if buckets:
+            create_namespaces(self.spark, database_prefix)
 
     def _stage(self, name: str, build) -> DataFrame:
         if name not in self._done:
             df = build()
-            if name in self.cut:
-                if self._root is None:
-                    self._root = run_folder(self.spark)
-                if self._root is not None:
-                    df = write_table(df, f"{self._root}/{TABLES[name]}/{name}")
-            self._done[name] = df
+            self._done[name] = self._written(name, df) if name in self.cut else df
         return self._done[name]
 
+    def _written(self, name: str, df: DataFrame) -> DataFrame:
+        if self.buckets:
+            table = f"{self.database_prefix}{TABLES[name]}.{name}"
+            key = self.config.columns.series if name in BUCKETED else None
+            return write_catalog_table(df, table, key, self.buckets)
+        if self._root is None:
+            self._root = run_folder(self.spark)
+        return df if self._root is None else write_table(df, f"{self._root}/{TABLES[name]}/{name}")
+
     def _optional(self, source, declared) -> DataFrame:
         if source is None:
             return self.spark.createDataFrame([], declared)
         return source() if callable(source) else source
 
     def combined(self) -> DataFrame:
-        return self._stage("combined", lambda: ingest.combine(self.fact, self.config.ingest, self.config.columns))
+        c = self.config
+
+        def build() -> DataFrame:
+            panel = ingest.combine(self.fact, c.ingest, c.columns)
+            return clustered(panel, c.columns.series, self.buckets) if self.buckets else panel
+
+        return self._stage("combined", build)
 
     def daily(self) -> DataFrame:
         return self._stage("daily", lambda: ingest.daily_delta(self.combined(), self.config.columns))

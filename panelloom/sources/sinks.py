@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 NAMESPACES = ("raw", "features", "ml", "analytics")
 
 
-def create_namespaces(spark: SparkSession) -> None:
+def create_namespaces(spark: SparkSession, prefix: str = "") -> None:
     """Catalog databases for ``write_catalog_table``; Parquet paths need none."""
     for name in NAMESPACES:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {prefix}{name}")
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
@@ -26,15 +26,23 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
 def write_catalog_table(
     df: DataFrame, name: str, bucket_by: str | None = None, buckets: int = 0, mode: str = "overwrite"
 ) -> DataFrame:
-    """Write a catalog table; bucketed by the series, later windows over it need no shuffle."""
+    """Write a catalog table; bucketed by the series, later windows over it need no shuffle.
+
+    Rows that are already hash-partitioned by ``bucket_by`` into ``buckets`` partitions give one
+    file per bucket; repartition others first (``clustered``).
+    """
+    writer = df.write.mode(mode).format("parquet")
     if bucket_by and buckets:
-        rows = df.repartition(buckets, F.col(bucket_by))
-        rows.write.mode(mode).format("parquet").bucketBy(buckets, bucket_by).saveAsTable(name)
-    else:
-        df.write.mode(mode).format("parquet").saveAsTable(name)
+        writer = writer.bucketBy(buckets, bucket_by)
+    writer.saveAsTable(name)
     return df.sparkSession.table(name)
 
 
+def clustered(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Rows hash-partitioned the way a table with that many buckets stores them."""
+    return df.repartition(buckets, F.col(column))
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 

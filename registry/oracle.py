@@ -718,7 +718,9 @@ SELECT {KEY}, total_anomalies AS series_anomalies, (SELECT count(*) FROM c_anoma
     q["w07_first_value_datediff"] = keyed("days_since_first_case", "c_base")
     q["w08_rt_windows"] = keyed("rt_numerator, rt_denominator", "c_base")
     q["w09_rolling_moments"] = keyed(
-        "n AS moment_n, CAST(s AS BIGINT) AS moment_sum, CAST(q AS DOUBLE) AS moment_sum_sq", "c_moments"
+        "n AS moment_n, CAST(s AS BIGINT) AS moment_sum, CAST(q AS DOUBLE) AS moment_sum_sq, "
+        "CAST(n * q - s * s AS DOUBLE) AS moment_spread",
+        "c_moments",
     )
     q["w10_row_number_top1"] = "SELECT * FROM c_latest"
     q["w11_row_number_asc_desc"] = f"""

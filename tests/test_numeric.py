@@ -3,16 +3,19 @@ import random
 from decimal import ROUND_HALF_UP, Decimal
 from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelloom.functions.numeric import (
     clip_low,
     half_up,
+    high,
     ladder,
+    low,
     normal_cdf,
     ratio,
     reround,
-    variance_terms,
+    spread_terms,
 )
 from panelloom.functions.template import fill, pieces
 
@@ -57,11 +60,16 @@ def test_ladder_is_first_match_with_null_default(spark):
     assert [r[0] for r in df.select(ladder("x", ((1.0, "a"),), "b", op="<")).collect()][:3] == ["a", "a", "b"]
 
 
-def test_variance_terms_are_exact_for_large_values(spark):
-    big = 3_000_000_019
-    total, squares = 3 * big + 3, big**2 + (big + 1) ** 2 + (big + 2) ** 2
-    df = spark.createDataFrame([(3, total, Decimal(squares))], "n bigint, s bigint, q decimal(38,0)")
-    assert df.select(variance_terms("n", "s", "q")).first()[0] == 6.0
+@pytest.mark.parametrize("base, step", [(0, 1), (5, 3), (2**23 - 2, 1), (2**23, 2**22), (3_000_000_019, 1), (7 * 10**13, 10**11)])
+def test_spread_terms_survive_large_close_values(spark, base, step):
+    xs = [base + step * (i % 5) for i in range(14)]
+    df = spark.createDataFrame([(x,) for x in xs], "x bigint")
+    h, l = high("x"), low("x")
+    sums = df.selectExpr(
+        "count(*) n", "sum(x) s", f"sum({h}) h", f"sum({h} * {h}) hh", f"sum({h} * {l}) hl", f"sum({l} * {l}) ll"
+    )
+    want = 14 * sum(x * x for x in xs) - sum(xs) ** 2
+    assert sums.select(spread_terms("n", "s", "h", "hh", "hl", "ll")).first()[0] == pytest.approx(want, rel=1e-15)
 
 
 def test_normal_cdf(spark):

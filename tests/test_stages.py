@@ -83,7 +83,8 @@ def test_bucketed_table_needs_no_shuffle_for_windows(spark, fact):
     sinks.create_namespaces(spark)
     assert {"raw", "features", "ml", "analytics"} <= {d.name for d in spark.catalog.listDatabases()}
     daily = PanelStages(fact, CONFIG).daily()
-    stored = sinks.write_catalog_table(daily, "raw.daily_bucketed", bucket_by="country_region", buckets=4)
+    rows = sinks.clustered(daily, "country_region", 4)
+    stored = sinks.write_catalog_table(rows, "raw.daily_bucketed", bucket_by="country_region", buckets=4)
     out = windows.rolling_avg(stored, "daily_new_cases", {"m": 7})
     assert out.count() == 160
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
@@ -91,3 +92,18 @@ def test_bucketed_table_needs_no_shuffle_for_windows(spark, fact):
     assert plain.count() == 160 and tables.scan_table(spark, "raw.daily_plain").count() == 160
     for name in ("daily_bucketed", "daily_plain"):
         spark.sql(f"DROP TABLE raw.{name}")
+
+
+def test_bucketed_stages_agree_and_shuffle_the_panel_once(spark, fact):
+    cut = ("daily", "features", "anomalies")
+    stages = PanelStages(fact, CONFIG, cut=cut, buckets=3, database_prefix="t_")
+    lazy = PanelStages(fact, CONFIG)
+    for name in ("features", "anomalies", "forecasts", "risk_tiers"):
+        assert sorted(map(str, getattr(stages, name)().collect())) == sorted(map(str, getattr(lazy, name)().collect()))
+    again = PanelStages(fact, CONFIG)
+    again._done["daily"] = stages.daily()
+    for df in (again.anomalies(), stages.forecasts()):
+        assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    assert len(spark.table("t_raw.daily").inputFiles()) <= 3
+    for name, namespace in (("daily", "raw"), ("features", "features"), ("anomalies", "ml")):
+        spark.sql(f"DROP TABLE t_{namespace}.{name}")
