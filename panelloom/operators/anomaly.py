@@ -154,7 +154,12 @@ def recent_flag(anomalies: DataFrame, days: int = 7, columns: Columns = Columns(
 
 
 def trailing_max(
-    df: DataFrame, value: str, days: int, output: str | None = None, columns: Columns = Columns(), today: str | None = None
+    df: DataFrame,
+    value: str,
+    days: int,
+    output: str | None = None,
+    columns: Columns = Columns(),
+    today: str | None = None,
 ) -> DataFrame:
     """Series maximum over the last days of the whole table (today's date for an empty table)."""
     today_date = F.current_date() if today is None else F.lit(today).cast("date")

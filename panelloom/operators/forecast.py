@@ -17,6 +17,7 @@ from panelloom.config import Columns, ForecastConfig, ReportConfig
 from panelloom.functions.numeric import (
     clip_low_double,
     exact_avg,
+    half_up,
     half_up_scaled,
     ratio,
     scaled,
@@ -100,7 +101,7 @@ def fit_forecaster(
                 "cross": (wide("all_n") * F.col("all_ty") - wide("all_t1") * wide("all_y1")).cast("double"),
             }
         )
-        .withColumn("slope", F.when(F.col("spread") > 0, F.col("cross") / F.nullif(real("spread"), F.lit(0.0))).otherwise(0.0))
+        .withColumn("slope", F.when(F.col("spread") > 0, F.col("cross") / real("spread")).otherwise(0.0))
         .withColumn("intercept", (real("all_y1") - F.col("slope") * real("all_t1")) / real("all_n"))
     )
     day_yy = (wide("n") * F.col("y2") - wide("y1") * wide("y1")).cast("double")
@@ -192,10 +193,11 @@ def fit_forecaster_custom(
     group never exceeds the days of the training range.
     """
     series, ts = columns.series, columns.ts
+    periods, interval = config.periods, config.prediction_interval
 
     def run(frame):
         frame = frame.sort_values(ts)
-        out = forecaster(frame, config.periods, config.prediction_interval)
+        out = forecaster(frame, periods, interval)
         out = out.set_axis([ts, "forecasted_cases", "forecast_lower", "forecast_upper"], axis=1)
         out.insert(0, series, frame[series].iloc[0])
         return out.round(2).assign(type="FORECAST")
@@ -278,17 +280,17 @@ def forecast_metrics(
 
     def percent(total: Column, count: Column) -> Column:
         value = F.lit(100.0) * total.cast("double") / F.nullif(count, F.lit(0)).cast("double")
-        return unscale(half_up_scaled(value, 4), 4)
+        return half_up(value, 4)
 
     penalty = round(2.0 / config.winkler_alpha, 9)
     interval = (F.sum(hi - lo).cast("double") + F.lit(penalty) * F.sum(miss).cast("double")) / n.cast("double")
     wide = rows.groupBy(columns.series).agg(
         ratio(F.sum(error), n * F.lit(100), 4).alias("MAE"),
-        unscale(half_up_scaled(F.sum(square(error)).cast("double") / n.cast("double") / F.lit(10000.0), 4), 4).alias("MSE"),
+        half_up(F.sum(square(error)).cast("double") / n.cast("double") / F.lit(10000.0), 4).alias("MSE"),
         percent(F.sum(relative), F.count(relative)).alias("MAPE"),
         percent(F.sum(symmetric), n).alias("SMAPE"),
         ratio(F.sum(hit), F.count(hit), 4).alias("MDA"),
-        unscale(half_up_scaled(interval / F.lit(100.0), 4), 4).alias(f"WINKLER_ALPHA={config.winkler_alpha}"),
+        half_up(interval / F.lit(100.0), 4).alias(f"WINKLER_ALPHA={config.winkler_alpha}"),
     )
     metrics = [F.col(f"`{c}`") for c in wide.columns if c != columns.series]
     return wide.unpivot([columns.series], metrics, "error_metric", "metric_value").withColumnRenamed(

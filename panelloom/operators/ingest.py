@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelloom.config import Columns, IngestConfig
 from panelloom.functions.numeric import clip_low, ratio

@@ -632,8 +632,9 @@ def build() -> dict[str, str]:
     q["p01_canonicalise_by_table"] = f"""
 SELECT coalesce(r_name, f.{KEY}) AS {KEY}, date, case_type, cases FROM c_fact f
 LEFT JOIN nation ON f.{KEY} = n_name LEFT JOIN region ON n_regionkey = r_regionkey"""
-    names = ", ".join(f"'NATION_{i}'" for i in range(15))
-    q["p02_filter_in_list"] = f"SELECT * FROM c_fact WHERE {KEY} IN ({names})"
+    q["p02_filter_in_list"] = (
+        "SELECT event_id, event_type, value FROM events WHERE event_type IN ('view', 'click', 'purchase')"
+    )
     q["p02_filter_in_table"] = f"""
 SELECT * FROM c_fact WHERE {KEY} IN (SELECT n_name FROM nation JOIN customer ON c_nationkey = n_nationkey
                                      GROUP BY n_name HAVING count(*) >= 6)"""
@@ -867,5 +868,10 @@ SELECT * FROM (SELECT {KEY}, date, {TOP_COLUMNS},
                FROM c_anomalies WHERE is_anomaly) WHERE rnk <= {top}"""
 
     q["o01_order_by"] = f"SELECT {KEY}, risk_tier, risk_score, {FACTOR_LIST} FROM c_risk"
+    last = ReportConfig().history_rows
+    q["o02_last_rows_per_series"] = f"""
+SELECT * FROM (SELECT {KEY}, date, daily_new_cases,
+                      CAST(row_number() OVER (PARTITION BY {KEY} ORDER BY date DESC) AS INTEGER) AS rnk FROM c_daily)
+WHERE rnk <= {last}"""
     q["o03_union_all"] = f"SELECT {KEY}, date, type, val FROM c_history"
     return {name: _query(sql) for name, sql in q.items()}

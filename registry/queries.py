@@ -11,7 +11,7 @@ from panelloom import schemas
 from panelloom.config import Columns, EndemicConfig
 from panelloom.functions.numeric import clip_low_double, half_up, ladder
 from panelloom.operators import anomaly, context, features, forecast, ingest, projections, report, risk, text, windows
-from panelloom.sources import sinks, tables
+from panelloom.sources import tables
 from registry import bindings as b
 from registry.bindings import CONFIG
 
@@ -122,8 +122,8 @@ def _(spark, sf):
 
 
 QUERIES["p02_filter_in_list"] = lambda spark, sf: projections.filter_in_list(
-    b.panel_fact(spark, sf), KEY, [f"NATION_{i}" for i in range(15)]
-)
+    b.table(spark, sf, "events"), "event_type", ["view", "click", "purchase"]
+).select("event_id", "event_type", "value")
 
 
 @query("p02_filter_in_table")
@@ -541,4 +541,10 @@ over_stages("r10_preview_limit", lambda st: report.preview_limit(st.anomalies())
 # Order and set operations
 
 over_stages("o01_order_by", lambda st: risk.risk_breakdown(st.risk_tiers()), RISK)
+over_daily(
+    "o02_last_rows_per_series",
+    lambda df: windows.topk_per_group(
+        df.select(KEY, "date", "daily_new_cases"), CONFIG.report.history_rows, [F.col("date").desc()], KEY
+    ),
+)
 over_stages("o03_union_all", lambda st: cols("type", "val")(st.history_forecast()), ("daily", "features"))

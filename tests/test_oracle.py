@@ -4,6 +4,8 @@
 """
 
 import os
+import subprocess
+import sys
 
 import pytest
 from check_oracle import compare, connect
@@ -36,3 +38,21 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tables")
 def test_entry(spark):
     assert contract.entry(spark).count() == 9
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tables")
+def test_python_hooks_run_without_the_package_on_the_workers(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import importlib.util
+from pyspark.sql import SparkSession
+spec = importlib.util.spec_from_file_location("contract", "{root}/__spark_entry__.py")
+contract = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(contract)
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("t06_batch_generate", "f11_fit_forecaster_custom"):
+    assert contract.queries()[name](spark, "{SF_DIR}").count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, timeout=300)
+    assert done.returncode == 0, done.stderr.decode()[-2000:]
