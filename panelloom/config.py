@@ -82,7 +82,11 @@ class EndemicConfig:
 
 @dataclass(frozen=True)
 class ForecastConfig:
-    """``min_rows``: shorter series get bounds equal to the point."""
+    """``min_rows``: shorter series get bounds equal to the point.
+
+    ``backtest``: error metrics come from holding out the last ``periods`` training days instead of
+    from the actual days that follow the training range.
+    """
 
     train_start: str = "2020-03-15"
     train_end: str = "2022-03-31"
@@ -91,6 +95,7 @@ class ForecastConfig:
     prediction_interval: float = 0.95
     winkler_alpha: float = 0.05
     min_rows: int = 14
+    backtest: bool = False
 
 
 @dataclass(frozen=True)

@@ -100,13 +100,13 @@ def _deviation() -> Column:
 
 
 def anomaly_summary(anomalies: DataFrame, columns: Columns = Columns()) -> DataFrame:
-    """Flagged rows, spikes, drops and the largest deviation of each series."""
+    """Flagged rows, spikes, drops and the largest deviation of each series, most flagged first."""
     return anomalies.groupBy(columns.series).agg(
         F.count_if("is_anomaly").alias("total_anomalies"),
         F.count_if(_is("SPIKE")).alias("spikes"),
         F.count_if(_is("DROP")).alias("drops"),
         F.max(_deviation()).alias("max_deviation"),
-    )
+    ).orderBy(F.col("total_anomalies").desc(), columns.series)
 
 
 def anomaly_stats(anomalies: DataFrame, columns: Columns = Columns()) -> DataFrame:

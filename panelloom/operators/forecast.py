@@ -46,7 +46,7 @@ def train_coverage(train: DataFrame, columns: Columns = Columns()) -> DataFrame:
         F.count(F.lit(1)).alias("train_days"),
         F.min(columns.ts).alias("start_dt"),
         F.max(columns.ts).alias("end_dt"),
-    )
+    ).orderBy(columns.series)
 
 
 def _day_index(ts: str, origin: str) -> Column:
@@ -219,7 +219,7 @@ def forecast_coverage(forecasts: DataFrame, columns: Columns = Columns()) -> Dat
         F.max(columns.ts).alias("fc_end"),
         ratio(F.sum(scaled("forecasted_cases", 2)), units, 0).alias("avg_fc"),
         ratio(F.sum(width), F.count(width) * F.lit(100), 0).alias("avg_ci_width"),
-    )
+    ).orderBy(columns.series)
 
 
 def history_forecast(
@@ -248,6 +248,21 @@ def overlap(features: DataFrame, forecasts: DataFrame, columns: Columns = Column
     return predicted.join(actual.dropna(subset=["actual"]), [columns.series, columns.ts])
 
 
+def backtest(
+    train: DataFrame, config: ForecastConfig = ForecastConfig(), columns: Columns = Columns()
+) -> DataFrame:
+    """Forecast and actual over the last ``periods`` training days of each series, held out of the fit.
+
+    Same columns as ``overlap``. The last date is a window over the partitioning by series that the
+    training rows already have.
+    """
+    last = F.max(columns.ts).over(Window.partitionBy(columns.series))
+    marked = train.withColumn("__last", last)
+    fitted = marked.filter(F.col(columns.ts) <= F.date_sub("__last", config.periods)).drop("__last")
+    predicted = forecast(fit_forecaster(fitted, config, columns), config, columns)
+    return overlap(train.withColumnRenamed("target", "rolling_avg_7d_cases"), predicted, columns)
+
+
 def forecast_metrics(
     pairs: DataFrame, config: ForecastConfig = ForecastConfig(), columns: Columns = Columns()
 ) -> DataFrame:

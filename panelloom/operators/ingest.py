@@ -74,7 +74,7 @@ def table_summary(df: DataFrame, label: str, columns: Columns = Columns()) -> Da
 
 
 def series_profile(daily: DataFrame, columns: Columns = Columns()) -> DataFrame:
-    """Days, range, totals, fatality percentage and zero-day share of each series."""
+    """Days, range, totals, fatality percentage and zero-day share of each series, largest first."""
     days = F.count(F.lit(1))
     cases, deaths = F.max("cumulative_confirmed"), F.max("cumulative_deaths")
     zero = F.col("daily_new_cases") == 0
@@ -87,7 +87,7 @@ def series_profile(daily: DataFrame, columns: Columns = Columns()) -> DataFrame:
         ratio(deaths * 100, cases, 2).alias("cfr_pct"),
         F.count(F.when(zero | F.col("daily_new_cases").isNull(), 1)).alias("zero_days"),
         ratio(F.count(F.when(zero, 1)) * 100, days, 1).alias("zero_pct"),
-    )
+    ).orderBy(F.col("total_cases").desc(), columns.series)
 
 
 def combined_and_daily(

@@ -134,7 +134,12 @@ class PanelStages:
 
     def forecast_metrics(self) -> DataFrame:
         c = self.config
-        return self._stage("forecast_metrics", lambda: forecast.forecast_metrics(self.overlap(), c.forecast, c.columns))
+
+        def build() -> DataFrame:
+            pairs = forecast.backtest(self.training(), c.forecast, c.columns) if c.forecast.backtest else self.overlap()
+            return forecast.forecast_metrics(pairs, c.forecast, c.columns)
+
+        return self._stage("forecast_metrics", build)
 
     def history_forecast(self) -> DataFrame:
         c = self.config
@@ -184,7 +189,9 @@ class PanelStages:
     def global_triage(self) -> DataFrame:
         return self._stage(
             "global_triage",
-            lambda: text.global_triage(self.risk_tiers(), self.generator, columns=self.config.columns),
+            lambda: text.global_triage(
+                self.risk_tiers(), self.generated_at, self.generator, columns=self.config.columns
+            ),
         )
 
     def policy_simulations(self) -> DataFrame:

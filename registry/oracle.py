@@ -265,41 +265,73 @@ def cents(x: str) -> str:
     return f"(CASE WHEN {x} < 0 THEN -1 ELSE 1 END * CAST(floor(abs({x}) + CAST(0.5 AS DOUBLE)) AS BIGINT) / CAST(100 AS DOUBLE))"
 
 
-C["c_forecasts"] = f"""
+def predict(prefix: str) -> str:
+    """The 30 days after the last fitted date of each series."""
+    return f"""
 SELECT {KEY}, date, {cents('point')} AS forecasted_cases, {cents('(point - half)')} AS forecast_lower,
        {cents('(point + half)')} AS forecast_upper, 'FORECAST' AS type
 FROM (SELECT s.{KEY}, s.date, intercept + slope * t + coalesce(offset_, CAST(0 AS DOUBLE)) AS point,
              {Z} * sigma * sqrt(CAST(1 AS DOUBLE) + CAST(1 AS DOUBLE) / n_train
                  + CASE WHEN t_spread > 0 THEN (t - t_mean) * (t - t_mean) / t_spread ELSE CAST(0 AS DOUBLE) END) AS half
       FROM (SELECT *, CAST(date - DATE '{TRAIN_START}' AS DOUBLE) AS t
-            FROM (SELECT *, CAST(last_date + CAST(unnest(range(1, 31)) AS INTEGER) AS DATE) AS date FROM c_fit_model)) s
-      LEFT JOIN c_fit_offsets o ON s.{KEY} = o.{KEY} AND dayofweek(s.date) = o.dow)"""
+            FROM (SELECT *, CAST(last_date + CAST(unnest(range(1, 31)) AS INTEGER) AS DATE) AS date FROM {prefix}_model)) s
+      LEFT JOIN {prefix}_offsets o ON s.{KEY} = o.{KEY} AND dayofweek(s.date) = o.dow)"""
+
+
+C["c_forecasts"] = predict("c_fit")
 
 C["c_overlap"] = f"""
 SELECT f.{KEY}, f.date, f.forecasted_cases, f.forecast_lower, f.forecast_upper, a.rolling_avg_7d_cases AS actual
 FROM c_forecasts f JOIN c_features a ON f.{KEY} = a.{KEY} AND f.date = a.date
 WHERE a.rolling_avg_7d_cases IS NOT NULL"""
 
-C["c_errors"] = f"""
+C["c_held"] = f"SELECT * FROM c_train QUALIFY date <= max(date) OVER (PARTITION BY {KEY}) - 30"
+fit("c_bfit", "c_held", units("target", 2))
+C["c_bforecasts"] = predict("c_bfit")
+C["c_boverlap"] = f"""
+SELECT f.{KEY}, f.date, f.forecasted_cases, f.forecast_lower, f.forecast_upper, a.target AS actual
+FROM c_bforecasts f JOIN c_train a ON f.{KEY} = a.{KEY} AND f.date = a.date"""
+
+MAPE_TERM = "CASE WHEN y <> 0 THEN CAST(CAST(e AS DOUBLE) / CAST(abs(y) AS DOUBLE) AS DECIMAL(38,12)) END"
+SMAPE_TERM = (
+    "CASE WHEN abs(y) + abs(p) = 0 THEN 0 "
+    "ELSE CAST(CAST(2 * e AS DOUBLE) / CAST(abs(y) + abs(p) AS DOUBLE) AS DECIMAL(38,12)) END"
+)
+MISS = "CASE WHEN y < lo THEN lo - y WHEN y > hi THEN y - hi ELSE 0 END"
+
+
+def real(x: str) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+METRIC_SQL = {
+    "MAE": ratio("sum(e)", "(count(*) * 100)", 4),
+    "MSE": half_up(f"({real('sum(CAST(e AS HUGEINT) * e)')} / {real('count(*)')} / {real(10000)})", 4),
+    "MAPE": half_up(f"({real(100)} * {real(f'sum({MAPE_TERM})')} / {real('nullif(count(*) FILTER (y <> 0), 0)')})", 4),
+    "SMAPE": half_up(f"({real(100)} * {real(f'sum({SMAPE_TERM})')} / {real('count(*)')})", 4),
+    "MDA": ratio("count(*) FILTER (before IS NOT NULL AND sign(y - before) = sign(p - before))", "count(before)", 4),
+    "WINKLER_ALPHA=0.05": half_up(
+        f"(({real('sum(hi - lo)')} + {real(40)} * {real(f'sum({MISS})')}) / {real('count(*)')} / {real(100)})", 4
+    ),
+}
+
+
+def metrics(prefix: str, pairs: str) -> None:
+    C[f"{prefix}_errors"] = f"""
 SELECT *, abs(y - p) AS e, lag(y) OVER {IN_ORDER} AS before FROM (
   SELECT {KEY}, date, {units('actual', 2)} AS y, {units('forecasted_cases', 2)} AS p,
-         {units('forecast_lower', 2)} AS lo, {units('forecast_upper', 2)} AS hi FROM c_overlap)"""
-
-C["c_wide_metrics"] = f"""
-SELECT {KEY},
-       {ratio('sum(e)', '(count(*) * 100)', 4)} AS mae,
-       {half_up('(CAST(sum(CAST(e AS HUGEINT) * e) AS DOUBLE) / CAST(count(*) AS DOUBLE) / CAST(10000 AS DOUBLE))', 4)} AS mse,
-       {half_up('(CAST(100 AS DOUBLE) * CAST(sum(CASE WHEN y <> 0 THEN CAST(CAST(e AS DOUBLE) / CAST(abs(y) AS DOUBLE) AS DECIMAL(38,12)) END) AS DOUBLE) / CAST(nullif(count(*) FILTER (y <> 0), 0) AS DOUBLE))', 4)} AS mape,
-       {half_up('(CAST(100 AS DOUBLE) * CAST(sum(CASE WHEN abs(y) + abs(p) = 0 THEN 0 ELSE CAST(CAST(2 * e AS DOUBLE) / CAST(abs(y) + abs(p) AS DOUBLE) AS DECIMAL(38,12)) END) AS DOUBLE) / CAST(count(*) AS DOUBLE))', 4)} AS smape,
-       {ratio('count(*) FILTER (before IS NOT NULL AND sign(y - before) = sign(p - before))', 'count(before)', 4)} AS mda,
-       {half_up('((CAST(sum(hi - lo) AS DOUBLE) + CAST(40 AS DOUBLE) * CAST(sum(CASE WHEN y < lo THEN lo - y WHEN y > hi THEN y - hi ELSE 0 END) AS DOUBLE)) / CAST(count(*) AS DOUBLE) / CAST(100 AS DOUBLE))', 4)} AS winkler
-FROM c_errors GROUP BY {KEY}"""
-
-METRIC_COLUMNS = {"MAE": "mae", "MSE": "mse", "MAPE": "mape", "SMAPE": "smape", "MDA": "mda", "WINKLER_ALPHA=0.05": "winkler"}
-C["c_metrics"] = " UNION ALL ".join(
-    f"SELECT {KEY} AS series, '{name}' AS error_metric, {column} AS metric_value FROM c_wide_metrics"
-    for name, column in METRIC_COLUMNS.items()
-)
+         {units('forecast_lower', 2)} AS lo, {units('forecast_upper', 2)} AS hi FROM {pairs})"""
+    C[f"{prefix}_metrics"] = " UNION ALL ".join(
+        f"SELECT {KEY} AS series, '{name}' AS error_metric, {sql} AS metric_value FROM {prefix}_errors GROUP BY {KEY}"
+        for name, sql in METRIC_SQL.items()
+    )
+
+
+metrics("c", "c_overlap")
+metrics("c_b", "c_boverlap")
+C["c_quality"] = f"""
+SELECT series AS {KEY}, max(metric_value) FILTER (error_metric = 'MAPE') AS mape,
+       max(metric_value) FILTER (error_metric = 'MAE') AS mae FROM c_metrics GROUP BY series"""
 
 C["c_history"] = f"""
 SELECT {KEY}, date, rolling_avg_7d_cases AS val, CAST(NULL AS DOUBLE) AS lower_bound, CAST(NULL AS DOUBLE) AS upper_bound,
@@ -467,7 +499,7 @@ SELECT f.{KEY}, f.date AS data_date, f.rolling_avg_7d_cases, f.rolling_avg_14d_c
        coalesce(s.drop_count, 0) AS anomaly_drops, s.max_deviation_pct, s.avg_deviation_pct, s.last_anomaly_date,
        w.all_time_peak_cases, w.all_time_peak_date
 FROM c_latest f LEFT JOIN c_risk r ON f.{KEY} = r.{KEY} LEFT JOIN c_trajectory t ON f.{KEY} = t.{KEY}
-LEFT JOIN c_wide_metrics q ON f.{KEY} = q.{KEY} LEFT JOIN c_stats s ON f.{KEY} = s.{KEY}
+LEFT JOIN c_quality q ON f.{KEY} = q.{KEY} LEFT JOIN c_stats s ON f.{KEY} = s.{KEY}
 LEFT JOIN c_waves w ON f.{KEY} = w.{KEY})"""
 
 C["c_scenarios"] = f"""
@@ -761,6 +793,7 @@ FROM c_fit_model m JOIN c_fit_offsets o ON m.{KEY} = o.{KEY} GROUP BY m.{KEY}"""
     q["f03_forecast"] = "SELECT * FROM c_forecasts"
     q["f04_history_forecast"] = "SELECT * FROM c_history"
     q["f05_forecast_metrics"] = "SELECT * FROM c_metrics"
+    q["f05_backtest_metrics"] = "SELECT * FROM c_b_metrics"
     q["f06_forecast_summary"] = "SELECT * FROM c_fc_summary"
     q["f07_forecast_trajectory"] = "SELECT * FROM c_trajectory"
     q["f08_forecast_display_split"] = REPORT_SEGMENTS
@@ -794,7 +827,7 @@ SELECT {KEY}, rolling_avg_7d_cases AS current_avg_7d, coalesce(fc_end, 0) AS for
     q["k12_risk_score"] = f"SELECT {KEY}, risk_score FROM c_risk"
     q["k13_risk_tier"] = f"SELECT {KEY}, risk_tier FROM c_risk"
     q["k14_risk_tiers"] = "SELECT * FROM c_risk"
-    q["k15_model_confidence"] = f"SELECT {KEY}, model_mape, {CONFIDENCE} AS model_confidence FROM (SELECT {KEY}, mape AS model_mape FROM c_wide_metrics)"
+    q["k15_model_confidence"] = f"SELECT {KEY}, model_mape, {CONFIDENCE} AS model_confidence FROM (SELECT {KEY}, mape AS model_mape FROM c_quality)"
     q["k16_wave_context"] = "SELECT * FROM c_waves"
     q["k17_pct_of_peak"] = f"""
 SELECT l.{KEY}, {PCT} AS pct_of_all_time_peak FROM c_latest l JOIN c_waves w ON l.{KEY} = w.{KEY}"""

@@ -359,6 +359,11 @@ def _(spark, sf):
 over_stages("f03_forecast", lambda st: st.forecasts())
 over_stages("f04_history_forecast", lambda st: st.history_forecast(), ("daily", "features"))
 over_stages("f05_forecast_metrics", lambda st: st.forecast_metrics(), ("daily", "features"))
+over_stages(
+    "f05_backtest_metrics",
+    lambda st: forecast.forecast_metrics(forecast.backtest(st.training(), CONFIG.forecast), CONFIG.forecast),
+    ("daily", "features"),
+)
 over_stages("f06_forecast_summary", lambda st: forecast.forecast_summary(st.forecasts()))
 over_stages("f07_forecast_trajectory", lambda st: forecast.forecast_trajectory(st.forecasts()))
 over_stages(
@@ -486,7 +491,7 @@ QUERIES["t07_batch_summarise"] = lambda spark, sf: text.batch_summarise(
     b.table(spark, sf, "documents"), "text", "brief"
 ).select("doc_id", "brief")
 over_stages("t08_anomaly_explanations", lambda st: st.anomaly_explanations())
-over_stages("t09_global_triage", lambda st: st.global_triage(), (*RISK, "risk_tiers"))
+over_stages("t09_global_triage", lambda st: st.global_triage().drop("generated_at"), (*RISK, "risk_tiers"))
 over_stages("t10_narratives", lambda st: st.narratives().drop("generated_at"), CONTEXT)
 over_stages(
     "t11_text_length_check",

@@ -189,3 +189,16 @@ def test_other_column_names(spark):
     train = frame(spark, {"a": range(20)}).toDF("shop", "d", "rolling_avg_7d_cases")
     out = forecast.forecast(forecast.fit_forecaster(forecast.training_view(train, CONFIG, names), CONFIG, names), CONFIG, names)
     assert out.columns[:2] == ["shop", "d"] and out.count() == 30
+
+
+def test_backtest_holds_out_the_last_training_days(spark):
+    import dataclasses
+
+    config = dataclasses.replace(CONFIG, periods=10, backtest=True)
+    features = frame(spark, {"line": [100 + 2 * i for i in range(60)], "tiny": [5, 6, 7]})
+    pairs = forecast.backtest(forecast.training_view(features, config), config)
+    rows = {r["date"]: r for r in pairs.collect() if r["country_region"] == "line"}
+    assert sorted(rows) == [day(i) for i in range(50, 60)] and pairs.count() == 10
+    assert all(r["forecasted_cases"] == r["actual"] for r in rows.values())
+    got = {r["error_metric"]: r["metric_value"] for r in forecast.forecast_metrics(pairs, config).collect()}
+    assert got["MAE"] == 0.0 and got["MAPE"] == 0.0 and got["MDA"] == 1.0
