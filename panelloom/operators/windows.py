@@ -32,7 +32,7 @@ class Running:
         self.value, self.columns = value, columns
         self.window = series_window(columns)
         self.n, self.s = f"__n_{value}", f"__s_{value}"
-        h, l = high(value), low(value)
+        h, l = high(f"`{value}`"), low(f"`{value}`")
         parts = {"h": h, "hh": f"{h} * {h}", "hl": f"{h} * {l}", "ll": f"{l} * {l}"}
         self.squares = {f"__{p}_{value}": sql for p, sql in parts.items()} if squares else {}
 
@@ -62,7 +62,7 @@ class Running:
 
     def _frame(self, total: str, rows: int, skip: int) -> Column:
         newer = f"{total}_{skip}" if skip else total
-        return F.expr(f"coalesce({newer}, 0) - coalesce({total}_{skip + rows}, 0)")
+        return F.expr(f"coalesce(`{newer}`, 0) - coalesce(`{total}_{skip + rows}`, 0)")
 
     def prepare(self, df: DataFrame, frames: list[tuple[int, int]], squares: tuple[int, ...] = ()) -> DataFrame:
         """``df`` with everything the methods below refer to."""
@@ -74,10 +74,10 @@ class Running:
 
     def count(self, rows: int, skip: int = 0) -> str:
         """Name of the number of non-null values in a frame of ``rows`` rows, ``skip`` rows back."""
-        return f"{self.n}_{rows}_{skip}"
+        return f"`{self.n}_{rows}_{skip}`"
 
     def total(self, rows: int, skip: int = 0) -> str:
-        return f"{self.s}_{rows}_{skip}"
+        return f"`{self.s}_{rows}_{skip}`"
 
     def sum(self, rows: int, skip: int = 0) -> Column:
         """NULL while the frame holds no value."""
@@ -85,10 +85,10 @@ class Running:
 
     def spread(self, rows: int) -> Column:
         """``n * sum(x**2) - sum(x)**2`` of a frame."""
-        return spread_terms(self.count(rows), self.total(rows), *[f"{total}_{rows}_0" for total in self.squares])
+        return spread_terms(self.count(rows), self.total(rows), *[f"`{total}_{rows}_0`" for total in self.squares])
 
     def sum_squares(self, rows: int) -> Column:
-        _, hh, hl, ll = [f"CAST({total}_{rows}_0 AS DECIMAL(20,0))" for total in self.squares]
+        _, hh, hl, ll = [f"CAST(`{total}_{rows}_0` AS DECIMAL(20,0))" for total in self.squares]
         return F.expr(f"{hh} * {2**(2 * HALF_BITS)}BD + {hl} * {2**(HALF_BITS + 1)}BD + {ll}").cast("decimal(38,0)")
 
     def mean_scaled(self, rows: int, digits: int, skip: int = 0) -> Column:

@@ -202,3 +202,16 @@ def test_positions_first_last_and_partition_max(daily_frame):
     assert [got[("a", day(i))] for i in range(3)] == [(1, 3), (2, 2), (3, 1)]
     assert tuple(windows.first_last(daily, "daily_new_cases").first()) == ("a", 3, 4)
     assert {r["m"] for r in windows.partition_max(daily, "daily_new_cases", "m").collect()} == {9}
+
+
+def test_window_operators_take_any_column_names(spark, daily_frame):
+    from panelloom.config import Columns
+
+    names = Columns(series="shop name", ts="the day")
+    daily = daily_frame({"a": [4, 8, 1, 9]}).select("country_region", "date", "daily_new_cases")
+    df = daily.toDF("shop name", "the day", "units sold")
+    rows = windows.rolling_avg(df, "units sold", {"m": 2}, names).orderBy("the day").collect()
+    assert [r["m"] for r in rows] == [4.0, 6.0, 4.5, 5.0]
+    rows = windows.rolling_stddev(df, "units sold", 2, "v", names).orderBy("the day").collect()
+    assert [r["v"] for r in rows] == [None, 2.83, 4.95, 5.66]
+    assert windows.rolling_moments(df, "units sold", 2, names).filter("moment_sum_sq = 80").count() == 1
