@@ -1,6 +1,8 @@
 """Run registered queries on Spark and their SQL on DuckDB and compare the rows.
 
     python tests/check_oracle.py SF_DIR [name ...]
+
+Extra session settings: CHECK_CONF="spark.sql.autoBroadcastJoinThreshold=-1 spark.sql.shuffle.partitions=31"
 """
 
 from __future__ import annotations
@@ -70,14 +72,14 @@ def main(sf_dir, names):
 
     import __spark_entry__ as entry
 
-    spark = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
-    )
+    settings = {
+        "spark.sql.shuffle.partitions": "8",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.session.timeZone": "UTC",
+    }
+    settings.update(pair.split("=", 1) for pair in os.environ.get("CHECK_CONF", "").split())
+    spark = SparkSession.builder.master("local[8]").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     connection, sqls = connect(sf_dir), entry.oracle_sql()
     bad = 0

@@ -107,3 +107,32 @@ def test_bucketed_stages_agree_and_shuffle_the_panel_once(spark, fact):
     assert len(spark.table("t_raw.daily").inputFiles()) <= 3
     for name, namespace in (("daily", "raw"), ("features", "features"), ("anomalies", "ml")):
         spark.sql(f"DROP TABLE t_{namespace}.{name}")
+
+
+def test_publish_to_catalog_and_again(spark, fact):
+    for _ in range(2):
+        published = PanelStages(fact, CONFIG, buckets=2, database_prefix="p_").publish()
+    assert set(published) == set(TABLES)
+    for name, namespace in TABLES.items():
+        assert spark.table(f"p_{namespace}.{name}").count() == published[name].count()
+    assert spark.table("p_features.features").count() == 160
+    for name, namespace in TABLES.items():
+        spark.sql(f"DROP TABLE p_{namespace}.{name}")
+
+
+def test_invariants(fact, tmp_path):
+    from panelloom.operators.risk import FACTORS
+
+    st = PanelStages(fact, CONFIG, root=str(tmp_path), cut=("daily", "features", "forecasts", "anomalies", "risk_tiers"))
+    series = st.features().select("country_region").distinct().count()
+    assert st.daily().filter("daily_new_cases < 0 OR daily_new_deaths < 0").count() == 0
+    assert st.forecasts().filter("NOT (forecast_lower <= forecasted_cases AND forecasted_cases <= forecast_upper)").count() == 0
+    assert st.forecasts().count() == 30 * series
+    total = " + ".join(FACTORS)
+    wrong = f"risk_score <> least({total}, 100) OR risk_tier <> CASE WHEN {total} >= 50 THEN 'HIGH' WHEN {total} >= 25 THEN 'MODERATE' ELSE 'LOW' END"
+    assert st.risk_tiers().count() == series and st.risk_tiers().filter(wrong).count() == 0
+    assert st.context().count() == series
+    early = st.anomalies().filter(F.col("is_anomaly") & (F.col("date") < F.lit(day(7))))
+    assert early.count() == 0 and st.anomalies().filter("is_anomaly").count() > 0
+    kept = st.features().filter(F.col("date") >= F.lit(CONFIG.forecast.history_start).cast("date")).count()
+    assert st.history_forecast().count() == kept + st.forecasts().count()
