@@ -21,7 +21,7 @@ KEY = Columns().series
 FEATURES = ("daily",)
 RISK = ("daily", "features")
 RISK_AND_FORECASTS = (*RISK, "forecasts")
-CONTEXT = ("daily", "features", "forecasts", "forecast_metrics", "anomalies")
+CONTEXT = ("daily", "features", "forecasts", "anomalies")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
