@@ -26,7 +26,6 @@ ALLOWED = (
     r"^[0-9]+([/_=-][0-9]+)*$",  # numbers, dates, ranges
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",  # identifiers of records
     r"(?i)example|sample|dummy|placeholder|changeme|0123456789|abcdefghij",
-    r"(.)\1{7,}",  # one character over and over
 )
 
 
@@ -76,13 +75,11 @@ def _candidates(text: Column, config: EntropyConfig) -> Column:
     found = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("word"), _spans(text, pattern, 0).alias("span")
     )
-    listed = "|".join(f"(?:{p})" for p in config.allowed if "\\1" not in p)
-    repeats = [p for p in config.allowed if "\\1" in p]
 
     def unlisted(c):
-        keep = ~c["word"].rlike(listed) if listed else F.lit(True)
-        for p in repeats:
-            keep = keep & ~c["word"].rlike(p)
+        keep = F.lit(True)
+        for allowed in config.allowed:
+            keep = keep & ~c["word"].rlike(allowed)
         return keep
 
     def coded(c):
