@@ -43,6 +43,14 @@ def ratio(num, den, digits: int) -> Column:
     return unscale(ratio_scaled(num, den, digits), digits)
 
 
+def ratio_wide(num, den, digits: int) -> Column:
+    """``ratio`` in 38 digits, for numerators that may outgrow 64 bits; the scaled result must fit them."""
+    num, den = _column(num).cast(WIDE), _column(den).cast(WIDE)
+    half = F.when(num < 0, -den).otherwise(den)
+    quotient = F.call_function("div", (num * F.lit(2 * 10**digits)).cast(WIDE) + half, (den * F.lit(2)).cast(WIDE))
+    return unscale(F.when(den > 0, quotient), digits)
+
+
 def unscale(units, digits: int) -> Column:
     """Integer count of ``10**-digits`` units to double."""
     if isinstance(units, str):
@@ -51,7 +59,10 @@ def unscale(units, digits: int) -> Column:
 
 
 def half_up_scaled(x, digits: int) -> Column:
-    """Round an irrational double (a root, a logarithm, a model value) to integer units."""
+    """Round an irrational double (a root, a logarithm, a model value) to integer units.
+
+    A double that stands for a decimal may lie just below its tie; round those with ``ratio_wide``.
+    """
     x = _column(x)
     size = F.floor(F.abs(x) * F.lit(float(10**digits)) + F.lit(0.5)).cast("bigint")
     return F.when(x < 0, -size).otherwise(size)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelloom.config import Columns, RiskConfig
 from panelloom.functions.numeric import ladder, ratio, scaled
 from panelloom.operators.anomaly import anomaly_stats
-from panelloom.operators.forecast import forecast_trajectory, metric_pivot, peak_with_date
+from panelloom.operators.forecast import forecast_trajectory, peak_date, peak_key, peak_value, unquoted
 from panelloom.operators.risk import FACTORS
 from panelloom.operators.windows import latest_per_series
 
@@ -35,12 +35,16 @@ def wave_context(features: DataFrame, columns: Columns = Columns()) -> DataFrame
     distinct count needs no expansion of the rows.
     """
     by_phase = features.groupBy(columns.series, "epidemic_phase").agg(
-        peak_with_date("rolling_avg_7d_cases", columns).alias("peak")
+        peak_key("rolling_avg_7d_cases", columns).alias("peak")
     )
-    return by_phase.groupBy(columns.series).agg(
-        F.max("peak").getField("rolling_avg_7d_cases").alias("all_time_peak_cases"),
-        F.max("peak").getField(columns.ts).alias("all_time_peak_date"),
-        F.count("epidemic_phase").alias("phases_observed"),
+    by_series = by_phase.groupBy(columns.series).agg(
+        F.max("peak").alias("peak"), F.count("epidemic_phase").alias("phases_observed")
+    )
+    return by_series.select(
+        columns.series,
+        peak_value("peak").alias("all_time_peak_cases"),
+        peak_date("peak").alias("all_time_peak_date"),
+        "phases_observed",
     )
 
 
@@ -50,8 +54,11 @@ def pct_of_peak(value: str, peak: str) -> Column:
 
 
 def model_quality(metrics: DataFrame, columns: Columns = Columns()) -> DataFrame:
-    return metric_pivot(metrics).select(
-        F.col("series").alias(columns.series), F.col("MAPE").alias("model_mape"), F.col("MAE").alias("model_mae")
+    def of(name: str) -> Column:
+        return F.max(F.when(F.col("error_metric") == name, F.col("metric_value")))
+
+    return metrics.groupBy(unquoted("series").alias(columns.series)).agg(
+        of("MAPE").alias("model_mape"), of("MAE").alias("model_mae")
     )
 
 

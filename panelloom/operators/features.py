@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelloom.config import Columns, EndemicConfig, FeatureConfig
-from panelloom.functions.numeric import ratio, reround, unscale
+from panelloom.functions.numeric import ratio, ratio_wide, reround, unscale
 from panelloom.operators.ingest import series_window
 from panelloom.operators.windows import Running, days_since_first
 
@@ -30,7 +30,7 @@ CLASS_COLUMNS = ("acceleration", "trend_direction", "epidemic_phase")
 
 def case_fatality_rate(deaths: str, confirmed: str) -> Column:
     """Deaths per hundred confirmed, 4 decimals; 0 while nothing is confirmed."""
-    rate = ratio(f"{deaths} * 100", confirmed, 4)
+    rate = ratio_wide(F.col(deaths).cast("decimal(20,0)") * F.lit(100), confirmed, 4)
     return F.when(F.col(confirmed) > 0, rate).otherwise(0.0)
 
 

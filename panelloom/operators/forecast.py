@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelloom.config import Columns, ForecastConfig, ReportConfig
 from panelloom.functions.numeric import (
+    WIDE,
     clip_low_double,
     exact_avg,
-    half_up,
     half_up_scaled,
     ratio,
+    ratio_wide,
     scaled,
     square,
     unscale,
@@ -294,18 +295,18 @@ def forecast_metrics(
     n = F.count(F.lit(1))
 
     def percent(total: Column, count: Column) -> Column:
-        value = F.lit(100.0) * total.cast("double") / F.nullif(count, F.lit(0)).cast("double")
-        return half_up(value, 4)
+        return ratio_wide((total * F.lit(10**12)).cast(WIDE), count * F.lit(10**10), 4)
 
-    penalty = round(2.0 / config.winkler_alpha, 9)
-    interval = (F.sum(hi - lo).cast("double") + F.lit(penalty) * F.sum(miss).cast("double")) / n.cast("double")
+    # Nine decimals of 2 / alpha, so that the whole sum is an integer.
+    penalty = round(2.0 / config.winkler_alpha * 10**9)
+    interval = (F.sum(hi - lo).cast(WIDE) * F.lit(10**9)).cast(WIDE) + (F.sum(miss).cast(WIDE) * F.lit(penalty)).cast(WIDE)
     wide = rows.groupBy(columns.series).agg(
         ratio(F.sum(error), n * F.lit(100), 4).alias("MAE"),
-        half_up(F.sum(square(error)).cast("double") / n.cast("double") / F.lit(10000.0), 4).alias("MSE"),
+        ratio_wide(F.sum(square(error)), n * F.lit(10_000), 4).alias("MSE"),
         percent(F.sum(relative), F.count(relative)).alias("MAPE"),
         percent(F.sum(symmetric), n).alias("SMAPE"),
         ratio(F.sum(hit), F.count(hit), 4).alias("MDA"),
-        half_up(interval / F.lit(100.0), 4).alias(f"WINKLER_ALPHA={config.winkler_alpha}"),
+        ratio_wide(interval, n * F.lit(10**11), 4).alias(winkler_name(config)),
     )
     metrics = [F.col(f"`{c}`") for c in wide.columns if c != columns.series]
     return wide.unpivot([columns.series], metrics, "error_metric", "metric_value").withColumnRenamed(
@@ -313,12 +314,31 @@ def forecast_metrics(
     )
 
 
-def metric_pivot(metrics: DataFrame) -> DataFrame:
-    """One row per series and one column per metric; quotes around series names are stripped."""
+def winkler_name(config: ForecastConfig) -> str:
+    return f"WINKLER_ALPHA={config.winkler_alpha}"
+
+
+def metric_names(config: ForecastConfig = ForecastConfig()) -> tuple[str, ...]:
+    """Display order of the metrics that ``forecast_metrics`` gives under a configuration."""
+    return tuple(winkler_name(config) if name.startswith("WINKLER") else name for name in METRIC_ORDER)
+
+
+def unquoted(series: str) -> Column:
+    return F.regexp_replace(series, '^"+|"+$', "")
+
+
+def metric_pivot(metrics: DataFrame, names: tuple = METRIC_ORDER) -> DataFrame:
+    """One row per series and one column per metric of ``names``; quotes around series names are stripped.
+
+    A metric that is not listed stops the job, so that none is ever dropped: list further ones in ``names``.
+    """
+    name = F.col("error_metric")
+    unlisted = F.raise_error(F.concat(F.lit("metric missing from the pivot's names: "), F.coalesce(name, F.lit("NULL"))))
     return (
-        metrics.withColumn("series", F.regexp_replace("series", '^"+|"+$', ""))
+        metrics.withColumn("series", unquoted("series"))
+        .withColumn("error_metric", F.when(name.isin(*names), name).otherwise(unlisted.cast("string")))
         .groupBy("series")
-        .pivot("error_metric", list(METRIC_ORDER))
+        .pivot("error_metric", list(names))
         .agg(F.first("metric_value", ignorenulls=True))
     )
 
@@ -334,29 +354,43 @@ def forecast_summary(forecasts: DataFrame, columns: Columns = Columns()) -> Data
     )
 
 
-def peak_with_date(value: str, columns: Columns = Columns()) -> Column:
-    """Struct ``(value, ts)`` of the group maximum; on equal values the latest date."""
-    return F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(value), F.col(columns.ts))))
+# A peak is one number, hundredths above and the day below, which a hash aggregate can hold.
+DAYS, FIRST_DAY = 10**7, 4 * 10**6
+
+
+def peak_key(value: str, columns: Columns = Columns()) -> Column:
+    """Aggregate: the group maximum and, on equal values, its latest date, as one number."""
+    day = F.unix_date(columns.ts) + F.lit(FIRST_DAY)
+    return F.max((scaled(value, 2).cast("decimal(28,0)") * F.lit(DAYS) + day).cast(WIDE))
+
+
+def peak_date(key: str) -> Column:
+    return F.date_from_unix_date((F.pmod(F.col(key), F.lit(DAYS).cast(WIDE)) - F.lit(FIRST_DAY)).cast("int"))
+
+
+def peak_value(key: str) -> Column:
+    day = F.pmod(F.col(key), F.lit(DAYS).cast(WIDE))
+    return unscale(F.call_function("div", F.col(key) - day, F.lit(DAYS).cast(WIDE)), 2)
 
 
 def forecast_trajectory(forecasts: DataFrame, columns: Columns = Columns()) -> DataFrame:
     """Range, path, peak and interval figures of each series, in one aggregate."""
     value = "forecasted_cases"
     width = (F.col("forecast_upper").cast("decimal(28,2)") - F.col("forecast_lower").cast("decimal(28,2)"))
-    peak = peak_with_date(value, columns)
-    return forecasts.groupBy(columns.series).agg(
+    summed = forecasts.groupBy(columns.series).agg(
         F.min(value).alias("forecast_min"),
         F.max(value).alias("forecast_max"),
         exact_avg(value, 2).alias("forecast_avg"),
         F.min_by(value, columns.ts).alias("forecast_day1"),
         F.max_by(value, columns.ts).alias("forecast_day30"),
-        peak.getField(columns.ts).alias("forecast_peak_date"),
-        peak.getField(value).alias("forecast_peak_value"),
+        peak_key(value, columns).alias("__peak"),
         F.min("forecast_lower").alias("ci_lower_min"),
         F.max("forecast_upper").alias("ci_upper_max"),
         (F.sum(width).cast("double") / F.nullif(F.count(width), F.lit(0)).cast("double")).alias("ci_avg_width"),
         F.max(columns.ts).alias("forecast_end_date"),
     )
+    named = {"forecast_peak_date": peak_date("__peak"), "forecast_peak_value": peak_value("__peak")}
+    return summed.withColumns(named).drop("__peak")
 
 
 def forecast_display_split(

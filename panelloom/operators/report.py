@@ -5,16 +5,16 @@ Filters and top-n run on Spark; callers decide what to fetch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelloom.config import Columns, ReportConfig
 from panelloom.functions.numeric import exact_avg
 from panelloom.operators.projections import filter_date_range, filter_in_list, filter_null, rename_fill_display
 from panelloom.operators.windows import topk_per_group
 
-# Columns of the risk table on display and their labels.
+# Labels of the risk table on display; the series comes first.
+SERIES_LABEL = "Country"
 RISK_LABELS = {
-    "country_region": "Country",
     "risk_tier": "Risk",
     "risk_score": "Score",
     "rolling_avg_7d_cases": "7-Day Avg",
@@ -53,8 +53,12 @@ def rt_score_scatter(risk: DataFrame, columns: Columns = Columns()) -> DataFrame
     return filter_null(risk, needed).select(columns.series, "risk_tier", *needed)
 
 
-def risk_table(risk: DataFrame, labels: dict = RISK_LABELS, columns: Columns = Columns()) -> DataFrame:
-    return rename_fill_display(risk.orderBy(*riskiest_first(columns)), labels)
+def risk_labels(columns: Columns = Columns()) -> dict[str, str]:
+    return {columns.series: SERIES_LABEL, **RISK_LABELS}
+
+
+def risk_table(risk: DataFrame, labels: dict | None = None, columns: Columns = Columns()) -> DataFrame:
+    return rename_fill_display(risk.orderBy(*riskiest_first(columns)), labels or risk_labels(columns))
 
 
 def epi_profile(
@@ -63,22 +67,19 @@ def epi_profile(
     config: ReportConfig = ReportConfig(),
     columns: Columns = Columns(),
 ) -> DataFrame:
-    """Chart rows of the chosen series (all when None) from a start date on, in date order."""
+    """Chart rows from a start date on: of the chosen series in date order, or unordered of all when None."""
     rows = features if series is None else filter_in_list(features, columns.series, series)
-    return (
-        filter_date_range(rows, columns.ts, config.start)
-        .select(
-            columns.series, columns.ts, "rt_effective", "rolling_avg_7d_cases", "rolling_avg_14d_cases",
-            "rolling_avg_7d_deaths",
-        )
-        .orderBy(columns.series, columns.ts)
+    chart = filter_date_range(rows, columns.ts, config.start).select(
+        columns.series, columns.ts, "rt_effective", "rolling_avg_7d_cases", "rolling_avg_14d_cases",
+        "rolling_avg_7d_deaths",
     )
+    return chart if series is None else chart.orderBy(columns.series, columns.ts)
 
 
 def vaccination_series(vaccinations: DataFrame, columns: Columns = Columns()) -> DataFrame:
-    """All rows of the series that have any coverage figure."""
-    covered = vaccinations.filter(F.col("vaccinated_per_100").isNotNull()).select(columns.series).distinct()
-    return vaccinations.join(covered, columns.series, "left_semi").select(
+    """All rows of the series that have any coverage figure: one window over one pass of the source."""
+    covered = F.max(F.col("vaccinated_per_100").isNotNull()).over(Window.partitionBy(columns.series))
+    return vaccinations.withColumn("__covered", covered).filter("__covered").select(
         columns.series, columns.ts, "vaccinated_per_100", "fully_vaccinated_per_100"
     )
 
@@ -94,8 +95,11 @@ def default_selection(risk: DataFrame, selected: str | None = None, columns: Col
 
 
 def _selection(selection, columns: Columns, config: ReportConfig):
-    if not isinstance(selection, DataFrame) and len(selection) > config.max_selected:
-        raise ValueError(f"at most {config.max_selected} series can be compared")
+    """At most ``max_selected`` series, given as a list or as a frame; more raise."""
+    limit = config.max_selected
+    count = selection.limit(limit + 1).count() if isinstance(selection, DataFrame) else len(selection)
+    if count > limit:
+        raise ValueError(f"at most {limit} series can be compared")
     return selection
 
 
@@ -152,5 +156,6 @@ def top_n_signed_per_series(
     return rows.select(columns.series, columns.ts, *TOP_COLUMNS, "rnk")
 
 
-def preview_limit(df: DataFrame, n: int = ReportConfig().preview_rows) -> DataFrame:
-    return df.limit(n)
+def preview_limit(df: DataFrame, n: int = ReportConfig().preview_rows, order: tuple = ()) -> DataFrame:
+    """The first rows by ``order``, or any rows without one."""
+    return (df.orderBy(*order) if order else df).limit(n)

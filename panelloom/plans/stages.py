@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 
 from panelloom import schemas
 from panelloom.config import PanelConfig
-from panelloom.operators import anomaly, context, features, forecast, ingest, risk, text
+from panelloom.operators import anomaly, context, features, forecast, ingest, risk, text, windows
 from panelloom.sources.sinks import (
     clustered,
     create_namespaces,
+    remove_folder,
     run_folder,
     write_catalog_table,
     write_table,
@@ -36,8 +37,11 @@ TABLES = {
     "policy_simulations": "analytics",
 }
 
+# The one measure that the forecast stages read.
+AVERAGES = "rolling_avg_7d_cases"
+
 # Tables with one row per series and day whose rows arrive partitioned by series.
-BUCKETED = ("combined", "daily", "features", "anomalies")
+BUCKETED = ("combined", "daily", "averages", "features", "anomalies")
 
 
 class PanelStages:
@@ -47,7 +51,9 @@ class PanelStages:
     its consumers share one computation, prune columns at the scan and do not replay the lineage
     after a lost executor. The optional sources may be given as functions, called when a stage needs
     them. Cuts go under ``root``, by default a fresh folder below the session's
-    ``spark.checkpoint.dir``; without any shared folder nothing is cut and plans stay lazy.
+    ``spark.checkpoint.dir``; without either, the first cut raises. A folder made here is removed by
+    ``close()``, at the end of a ``with`` block, or when the application ends; a given root stays.
+    ``parallelism`` bounds the concurrent clients of every text stage.
 
     With ``buckets`` cuts become catalog tables instead, in one database per namespace (names start
     with ``database_prefix``). The series-and-day tables are bucketed by series: the panel is
@@ -66,35 +72,56 @@ class PanelStages:
         generated_at=None,
         buckets: int = 0,
         database_prefix: str = "",
+        parallelism: int | None = None,
     ):
         self.spark = fact.sparkSession
         self.fact, self.config = fact, config
         self._vaccinations, self._mobility = vaccinations, mobility
-        self._root, self.cut = root, frozenset(cut)
+        self._root, self._own, self.cut = root, None, frozenset(cut)
+        self.parallelism = parallelism
         self.generator, self.generated_at = generator, generated_at
         self.buckets, self.database_prefix = buckets, database_prefix
         self._done: dict[str, DataFrame] = {}
+        self._stored: set[str] = set()
         if buckets:
             create_namespaces(self.spark, database_prefix)
 
     def _stage(self, name: str, build) -> DataFrame:
         if name not in self._done:
             df = build()
-            self._done[name] = self._written(name, df) if name in self.cut else df
+            if name in self.cut:
+                df = self._written(name, df)
+                self._stored.add(name)
+            self._done[name] = df
         return self._done[name]
 
     def _written(self, name: str, df: DataFrame) -> DataFrame:
+        namespace = TABLES.get(name, "features")
         if self.buckets:
-            table = f"{self.database_prefix}{TABLES[name]}.{name}"
+            table = f"{self.database_prefix}{namespace}.{name}"
             key = self.config.columns.series if name in BUCKETED else None
             return write_catalog_table(df, table, key, self.buckets)
         if self._root is None:
-            self._root = run_folder(self.spark)
-        return df if self._root is None else write_table(df, f"{self._root}/{TABLES[name]}/{name}")
+            self._root = self._own = run_folder(self.spark)
+        return write_table(df, f"{self._root}/{namespace}/{name}")
+
+    def close(self) -> None:
+        """Remove the folder this object made; frames that read from it end with it."""
+        if self._own is not None:
+            remove_folder(self.spark, self._own)
+            self._root = self._own = None
+        self._done.clear()
+        self._stored.clear()
+
+    def __enter__(self) -> PanelStages:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def _optional(self, source, declared) -> DataFrame:
         if source is None:
-            return self.spark.createDataFrame([], declared)
+            return self.spark.createDataFrame([], schemas.keyed(declared, self.config.columns))
         return source() if callable(source) else source
 
     def combined(self) -> DataFrame:
@@ -119,8 +146,23 @@ class PanelStages:
         c = self.config
         return self._stage("features", lambda: features.feature_store(self.daily(), c.features, c.endemic, c.columns))
 
+    def averages(self) -> DataFrame:
+        """Series, date and 7-row average: all that fitting, evaluating and drawing a forecast reads.
+
+        Three columns of the feature store where that is written, else computed from the daily panel alone.
+        """
+        c = self.config.columns
+        if "features" in self.cut or "features" in self._stored:
+            return self.features().select(c.series, c.ts, AVERAGES)
+
+        def build() -> DataFrame:
+            rolled = windows.rolling_avg(self.daily(), "daily_new_cases", {AVERAGES: self.config.features.week}, c)
+            return rolled.select(c.series, c.ts, AVERAGES)
+
+        return self._stage("averages", build)
+
     def training(self) -> DataFrame:
-        return forecast.training_view(self.features(), self.config.forecast, self.config.columns)
+        return forecast.training_view(self.averages(), self.config.forecast, self.config.columns)
 
     def model(self) -> DataFrame:
         return forecast.fit_forecaster(self.training(), self.config.forecast, self.config.columns)
@@ -130,7 +172,7 @@ class PanelStages:
         return self._stage("forecasts", lambda: forecast.forecast(self.model(), c.forecast, c.columns))
 
     def overlap(self) -> DataFrame:
-        return forecast.overlap(self.features(), self.forecasts(), self.config.columns)
+        return forecast.overlap(self.averages(), self.forecasts(), self.config.columns)
 
     def forecast_metrics(self) -> DataFrame:
         c = self.config
@@ -145,7 +187,7 @@ class PanelStages:
         c = self.config
         return self._stage(
             "history_forecast",
-            lambda: forecast.history_forecast(self.features(), self.forecasts(), c.forecast, c.columns),
+            lambda: forecast.history_forecast(self.averages(), self.forecasts(), c.forecast, c.columns),
         )
 
     def anomalies(self) -> DataFrame:
@@ -174,7 +216,9 @@ class PanelStages:
     def narratives(self) -> DataFrame:
         return self._stage(
             "narratives",
-            lambda: text.narratives(self.context(), self.generated_at, self.generator, self.config.columns),
+            lambda: text.narratives(
+                self.context(), self.generated_at, self.generator, self.config.columns, self.parallelism
+            ),
         )
 
     def anomaly_explanations(self) -> DataFrame:
@@ -182,7 +226,7 @@ class PanelStages:
         return self._stage(
             "anomaly_explanations",
             lambda: text.anomaly_explanations(
-                self.anomalies(), c.report.explain_per_series, self.generator, c.columns
+                self.anomalies(), c.report.explain_per_series, self.generator, c.columns, self.parallelism
             ),
         )
 
@@ -190,14 +234,17 @@ class PanelStages:
         return self._stage(
             "global_triage",
             lambda: text.global_triage(
-                self.risk_tiers(), self.generated_at, self.generator, columns=self.config.columns
+                self.risk_tiers(), self.generated_at, self.generator, columns=self.config.columns,
+                parallelism=self.parallelism,
             ),
         )
 
     def policy_simulations(self) -> DataFrame:
         return self._stage(
             "policy_simulations",
-            lambda: text.policy_simulations(self.context(), self.generated_at, self.generator, self.config.columns),
+            lambda: text.policy_simulations(
+                self.context(), self.generated_at, self.generator, self.config.columns, self.parallelism
+            ),
         )
 
     def register_views(self, prefix: str = "") -> None:
@@ -208,6 +255,10 @@ class PanelStages:
         self.context().createOrReplaceTempView(f"{prefix}context_view")
 
     def publish(self) -> dict[str, DataFrame]:
-        """Write every table under its namespace, each stage reading the one written before it."""
+        """Write every table under its namespace, each stage reading the one written before it.
+
+        Stages that were built lazily before are built again on the written ones.
+        """
         self.cut = frozenset(TABLES)
+        self._done = {name: df for name, df in self._done.items() if name in self._stored}
         return {name: getattr(self, name)() for name in TABLES}

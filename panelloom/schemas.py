@@ -40,6 +40,12 @@ MOBILITY = schema(
 METRICS = schema("series string, error_metric string, metric_value double")
 
 
+def keyed(declared: T.StructType, columns) -> T.StructType:
+    """A declared schema with the two key columns under the names of ``columns``."""
+    names = {"country_region": columns.series, "date": columns.ts}
+    return T.StructType([T.StructField(names.get(f.name, f.name), f.dataType) for f in declared.fields])
+
+
 def conform(df: DataFrame, target: T.StructType) -> DataFrame:
     """Cast and order ``df`` to ``target``; columns it lacks become typed NULLs."""
     have = {c.lower() for c in df.columns}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -43,22 +42,30 @@ def clustered(df: DataFrame, column: str, buckets: int) -> DataFrame:
     return df.repartition(buckets, F.col(column))
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach, named by ``spark.checkpoint.dir``; the same rule on every master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        raise ValueError("writing stages needs a root, or a folder that all executors reach in spark.checkpoint.dir")
+    return folder
+
+
+def run_folder(spark: SparkSession, base: str | None = None) -> str:
+    """A fresh sub-folder of ``base``, by default the shared folder, so that runs never overwrite each other.
 
-    Where the session names none, a local session takes a folder of its own; a cluster gets None,
-    and callers then keep the plan lazy rather than write to one machine's disk.
+    It goes when the application ends, or earlier by ``remove_folder``.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None and context.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="panelloom-")
-        context.setCheckpointDir(folder)
-        folder = context.getCheckpointDir()
+    folder = f"{(base or shared_folder(spark)).rstrip('/')}/panelloom/{uuid.uuid4().hex}"
+    system, path = _hadoop(spark, folder)
+    system.deleteOnExit(path)
     return folder
 
 
-def run_folder(spark: SparkSession) -> str | None:
-    """A fresh sub-folder of the shared folder, so that runs never overwrite each other."""
-    folder = shared_folder(spark)
-    return None if folder is None else f"{folder.rstrip('/')}/panelloom/{uuid.uuid4().hex}"
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    system, path = _hadoop(spark, folder)
+    system.delete(path, True)
+
+
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path

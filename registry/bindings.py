@@ -19,11 +19,14 @@ from panelloom.config import (
     RiskConfig,
 )
 from panelloom.plans.stages import PanelStages
+from panelloom.sources.sinks import run_folder
 from panelloom.sources.tables import load_mobility, load_vaccinations
 
 VARIANTS = {"NATION_21": "NATION_20", "NATION_22": "NATION_20"}
 TRAIN_START, TRAIN_END = "1995-03-15", "2000-12-31"
 REPORT_START = "1995-06-01"
+# The series of the reports that show a chosen one.
+SELECTED = "NATION_13"
 VOLUME = ((100.0, 5), (50.0, 2))
 
 CONFIG = PanelConfig(
@@ -156,11 +159,15 @@ def mobility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stages(spark: SparkSession, sf_dir: str, cut: tuple = ()) -> PanelStages:
+    """Stages whose cuts go below ``spark.checkpoint.dir``, or the warehouse where a session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = run_folder(spark, named or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages") if cut else None
     return PanelStages(
         panel_fact(spark, sf_dir),
         CONFIG,
         vaccinations=lambda: vaccinations(spark, sf_dir),
         mobility=lambda: mobility(spark, sf_dir),
+        root=root,
         cut=cut,
     )
 

@@ -15,8 +15,8 @@ from panelloom.functions.template import pieces
 from panelloom.operators import text as texts
 from panelloom.operators.forecast import METRIC_ORDER, interval_multiplier
 from panelloom.operators.projections import PHASE_LABELS
-from panelloom.operators.report import RISK_LABELS
-from registry.bindings import CONFIG, REPORT_START, TRAIN_END, TRAIN_START, VOLUME
+from panelloom.operators.report import risk_labels
+from registry.bindings import CONFIG, REPORT_START, SELECTED, TRAIN_END, TRAIN_START, VOLUME
 
 KEY = "country_region"
 RISK = RiskConfig(volume=VOLUME)
@@ -142,7 +142,7 @@ SELECT *,
        CAST(s7 AS BIGINT) AS sum_7d_cases, CAST(s28 AS BIGINT) AS sum_30d_cases,
        CASE WHEN n14 > 1 THEN {half_up('sqrt(CAST(n14 * q14 - s14 * s14 AS DOUBLE) / CAST(n14 * (n14 - 1) AS DOUBLE))', 2)} END
            AS volatility_14d,
-       CASE WHEN cumulative_confirmed > 0 THEN {ratio('(cumulative_deaths * 100)', 'cumulative_confirmed', 4)} ELSE 0.0 END
+       CASE WHEN cumulative_confirmed > 0 THEN {ratio('(CAST(cumulative_deaths AS HUGEINT) * 100)', 'cumulative_confirmed', 4)} ELSE 0.0 END
            AS case_fatality_rate,
        CAST(dayofweek(date) AS INTEGER) AS day_of_week
 FROM c_frames"""
@@ -280,6 +280,24 @@ FROM (SELECT s.{KEY}, s.date, intercept + slope * t + coalesce(offset_, CAST(0 A
 
 C["c_forecasts"] = predict("c_fit")
 
+C["c_hundredths"] = f"""
+SELECT {KEY}, date, dayofweek(date) AS dow, {units('target', 2)} AS c,
+       row_number() OVER (PARTITION BY {KEY} ORDER BY date DESC) AS nth,
+       row_number() OVER (PARTITION BY {KEY}, dayofweek(date) ORDER BY date DESC) AS nth_of_day FROM c_train"""
+C["c_weekday_means"] = f"""
+SELECT {KEY}, dow, (2 * sum(c) + count(*)) // (2 * count(*)) AS point FROM c_hundredths WHERE nth_of_day <= 4 GROUP BY ALL"""
+C["c_last_weeks"] = f"""
+SELECT {KEY}, max(date) AS last_date, (2 * sum(c) + count(*)) // (2 * count(*)) AS point,
+       CASE WHEN count(*) > 1 THEN floor({Z} * sqrt(CAST(count(*) * sum(CAST(c AS HUGEINT) * c) - sum(c) * sum(c) AS DOUBLE)
+            / CAST(count(*) * (count(*) - 1) AS DOUBLE)) + 0.5) ELSE 0 END AS half
+FROM c_hundredths WHERE nth <= 28 GROUP BY {KEY}"""
+C["c_weekday_forecasts"] = f"""
+SELECT {KEY}, date, CAST(p AS DOUBLE) / 100 AS forecasted_cases, (CAST(p AS DOUBLE) - half) / 100 AS forecast_lower,
+       (CAST(p AS DOUBLE) + half) / 100 AS forecast_upper, 'FORECAST' AS type
+FROM (SELECT a.{KEY}, a.date, a.half, coalesce(w.point, a.point) AS p
+      FROM (SELECT *, CAST(last_date + CAST(unnest(range(1, 31)) AS INTEGER) AS DATE) AS date FROM c_last_weeks) a
+      LEFT JOIN c_weekday_means w ON a.{KEY} = w.{KEY} AND dayofweek(a.date) = w.dow)"""
+
 C["c_overlap"] = f"""
 SELECT f.{KEY}, f.date, f.forecasted_cases, f.forecast_lower, f.forecast_upper, a.rolling_avg_7d_cases AS actual
 FROM c_forecasts f JOIN c_features a ON f.{KEY} = a.{KEY} AND f.date = a.date
@@ -300,19 +318,18 @@ SMAPE_TERM = (
 MISS = "CASE WHEN y < lo THEN lo - y WHEN y > hi THEN y - hi ELSE 0 END"
 
 
-def real(x: str) -> str:
-    return f"CAST({x} AS DOUBLE)"
+def digits_of(x: str) -> str:
+    """A decimal's digits as a whole number."""
+    return f"CAST(replace(CAST({x} AS VARCHAR), '.', '') AS HUGEINT)"
 
 
 METRIC_SQL = {
     "MAE": ratio("sum(e)", "(count(*) * 100)", 4),
-    "MSE": half_up(f"({real('sum(CAST(e AS HUGEINT) * e)')} / {real('count(*)')} / {real(10000)})", 4),
-    "MAPE": half_up(f"({real(100)} * {real(f'sum({MAPE_TERM})')} / {real('nullif(count(*) FILTER (y <> 0), 0)')})", 4),
-    "SMAPE": half_up(f"({real(100)} * {real(f'sum({SMAPE_TERM})')} / {real('count(*)')})", 4),
+    "MSE": ratio("sum(CAST(e AS HUGEINT) * e)", "(count(*) * 10000)", 4),
+    "MAPE": ratio(digits_of(f"sum({MAPE_TERM})"), "(count(*) FILTER (y <> 0) * CAST(10000000000 AS HUGEINT))", 4),
+    "SMAPE": ratio(digits_of(f"sum({SMAPE_TERM})"), "(count(*) * CAST(10000000000 AS HUGEINT))", 4),
     "MDA": ratio("count(*) FILTER (before IS NOT NULL AND sign(y - before) = sign(p - before))", "count(before)", 4),
-    "WINKLER_ALPHA=0.05": half_up(
-        f"(({real('sum(hi - lo)')} + {real(40)} * {real(f'sum({MISS})')}) / {real('count(*)')} / {real(100)})", 4
-    ),
+    "WINKLER_ALPHA=0.05": ratio(f"CAST(sum(hi - lo) + 40 * sum({MISS}) AS HUGEINT)", "(count(*) * 100)", 4),
 }
 
 
@@ -392,9 +409,11 @@ SELECT CASE WHEN place IN ('NATION_21', 'NATION_22') THEN 'NATION_20' ELSE place
 FROM (SELECT *, sum(n) OVER w AS total, sum(bought) OVER w AS part, sum(joined) OVER w AS full_part
       FROM c_vax_days WINDOW w AS (PARTITION BY place ORDER BY date))"""
 
+MOBILE = " + ".join(
+    f"coalesce(CAST({c} AS DECIMAL(28,8)), 0)" for c in ("retail_and_recreation", "transit_stations", "workplaces")
+)
 C["c_mobility"] = f"""
-SELECT *, {half_up('((coalesce(retail_and_recreation, 0) + coalesce(transit_stations, 0) + coalesce(workplaces, 0)) / CAST(3 AS DOUBLE))', 2)}
-       AS mobility_index
+SELECT *, {ratio(digits_of(MOBILE), "CAST(300000000 AS HUGEINT)", 2)} AS mobility_index
 FROM (SELECT place AS country_region, date,
              CAST(sum(value) FILTER (event_type = 'view') AS DOUBLE) AS retail_and_recreation,
              CAST(sum(value) FILTER (event_type = 'click') AS DOUBLE) AS grocery_and_pharmacy,
@@ -516,10 +535,27 @@ C["c_anomaly_prompts"] = f"""
 SELECT {KEY}, date, actual, expected, deviation_pct, anomaly_direction, day_of_week, {fill(texts.ANOMALY_PROMPT)} AS prompt
 FROM (SELECT *, daily_new_cases AS actual, strftime(date, '%a') AS day_of_week, {KEY} AS series_name, date AS day FROM c_top)"""
 
+NO_ERROR = "CAST(NULL AS VARCHAR) AS error"
+
+
+def draft(prompt: str) -> str:
+    """What the offline generator answers."""
+    return (
+        f"'Draft for a prompt of ' || CAST(length({prompt}) AS VARCHAR) || ' characters: ' "
+        f"|| split_part({prompt}, chr(10), 1)"
+    )
+
+
+C["c_named"] = f"SELECT *, {KEY} AS series_name, (SELECT count(*) FROM c_risk) AS n_series FROM c_risk"
 C["c_triage"] = f"""
-SELECT CAST(0 AS BIGINT) AS page, count(*) AS n_series, {text_of(texts.TRIAGE_OPENING)}
+SELECT band, page, count(*) AS n_series, {text_of(texts.TRIAGE_OPENING)}
        || string_agg({fill(texts.TRIAGE_LINE)}, '; ' ORDER BY risk_score DESC, {KEY}) || '.' AS prompt
-FROM (SELECT *, {KEY} AS series_name FROM c_risk)"""
+FROM (SELECT *, {KEY} AS series_name, CAST(coalesce(risk_score // 10, -1) AS INTEGER) AS band,
+             CAST(CAST('0x' || substr(md5({KEY}), 1, 8) AS BIGINT) % 64 AS INTEGER) AS page FROM c_risk)
+GROUP BY band, page"""
+C["c_global"] = f"""
+SELECT CAST(sum(n_series) AS BIGINT) AS n_series, {text_of(texts.TRIAGE_GLOBAL)}
+       || string_agg({draft('prompt')}, chr(10) ORDER BY band DESC, page) AS prompt FROM c_triage"""
 
 FENCE = texts.FENCE
 C["c_responses"] = f"""
@@ -545,14 +581,6 @@ def _query(sql: str) -> str:
     return f"WITH {head}\n{sql}" if head else sql
 
 
-def draft(prompt: str) -> str:
-    """What the offline generator answers."""
-    return (
-        f"'Draft for a prompt of ' || CAST(length({prompt}) AS VARCHAR) || ' characters: ' "
-        f"|| split_part({prompt}, chr(10), 1)"
-    )
-
-
 def brief(text: str, sentences: int = 2) -> str:
     marked = f"regexp_replace({text}, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g')"
     return f"array_to_string(list_slice(string_split({marked}, chr(1)), 1, {sentences}), ' ')"
@@ -594,22 +622,13 @@ SELECT {KEY}, date, val, lower_bound, upper_bound, segment FROM (
   WHERE segment IS NOT NULL)
 WHERE segment <> 'HISTORY' OR rn <= CASE WHEN start_ IS NULL THEN 180 ELSE 120 END"""
 
-SHOWN = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '—') AS \"{label}\"" for c, label in RISK_LABELS.items())
+SHOWN = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '—') AS \"{label}\"" for c, label in risk_labels().items())
 SELECTION = f"SELECT {KEY} FROM c_risk ORDER BY risk_score DESC, {KEY} LIMIT 3"
 COMPARED = ", ".join(
     f"coalesce(CAST({c} AS VARCHAR), '—') AS {c}"
     for c in (KEY, "risk_tier", "risk_score", "rt_effective", "epidemic_phase", "forecast_trend_pct")
 )
 TOP_COLUMNS = "daily_new_cases, expected, deviation_pct, anomaly_direction"
-CONTEXT_LINE = f"""
-SELECT {KEY}, 'Selected series: ' || {KEY} || chr(10) || 'Risk tier: ' || risk_tier || ' (score ' || CAST(risk_score AS VARCHAR)
-       || '/100)' || chr(10) || 'Rt: ' || coalesce({number_text('rt_effective', 2)}, '—')
-       || ' | 7d avg cases: ' || coalesce(format('{{:,}}', CAST(round_even(rolling_avg_7d_cases, 0) AS BIGINT)), '—')
-       || ' | Forecast trend: ' || coalesce({number_text('forecast_trend_pct', 1)}, '—')
-       || '% | CFR: ' || coalesce({number_text('case_fatality_rate', 2)}, '—')
-       || '%' || chr(10) || 'Total series tracked: ' || CAST((SELECT count(*) FROM c_risk) AS VARCHAR) AS context_line
-FROM c_risk"""
-
 BODY = f"""
 SELECT *, CASE WHEN contains(response, '{FENCE}sql')
                THEN {strip_space(f"split_part(split_part(response, '{FENCE}sql', 2), '{FENCE}', 1)")}
@@ -634,7 +653,7 @@ NARRATIVE_TEMPLATES = {
 NARRATIVES = (
     f"SELECT {KEY}, risk_tier, risk_score, rt_effective, rolling_avg_7d_cases, epidemic_phase, forecast_trend_pct, "
     + ", ".join(draft(f"p_{name}") + f" AS {name}" for name in NARRATIVE_TEMPLATES)
-    + f", {brief(draft('p_situation_summary'))} AS executive_brief FROM (SELECT *, "
+    + f", {brief(draft('p_situation_summary'))} AS executive_brief, {NO_ERROR} FROM (SELECT *, "
     + ", ".join(f"{fill(template)} AS p_{name}" for name, template in NARRATIVE_TEMPLATES.items())
     + " FROM c_scenarios)"
 )
@@ -729,6 +748,8 @@ WHERE date >= (SELECT max(date) FROM c_daily) - 3 GROUP BY {KEY} HAVING bool_and
         f"max(metric_value) FILTER (error_metric = '{name}') AS \"{name}\"" for name in METRIC_ORDER
     )
     q["a12_metric_pivot"] = f"SELECT series, {pivoted} FROM c_metrics GROUP BY series"
+    q["a12_metric_pivot_extra"] = f"""
+SELECT series, {pivoted}, {half_up("sqrt(max(metric_value) FILTER (error_metric = 'MSE'))", 4)} AS "RMSE" FROM c_metrics GROUP BY series"""
     q["a13_global_kpis"] = """
 SELECT count(*) AS n_series, CAST(sum(risk_score) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_score,
        CAST(sum(CAST(rt_effective AS DECIMAL(28,3))) AS DOUBLE) / CAST(count(rt_effective) AS DOUBLE) AS avg_rt,
@@ -804,6 +825,8 @@ SELECT {KEY}, rolling_avg_7d_cases AS current_avg_7d, coalesce(fc_end, 0) AS for
         "greatest(lower_bound, 0) AS lower_bound, greatest(upper_bound, 0) AS upper_bound",
         "c_history WHERE lower_bound IS NOT NULL AND upper_bound IS NOT NULL",
     )
+    q["f11_fit_forecaster_custom"] = """
+SELECT * FROM c_weekday_forecasts"""
     q["n01_zscore_anomalies"] = "SELECT * FROM c_anomalies"
     q["n02_model_anomalies"] = "SELECT * FROM c_model_anomalies"
     q["n03_flagged_split"] = keyed(
@@ -846,14 +869,14 @@ SELECT {KEY}, rt_effective, rt_variant, rt_intervention, forecast_day30, all_tim
     q["t06_batch_generate"] = f"SELECT conv_id, turn, {draft('text')} AS answer FROM conversations"
     q["t07_batch_summarise"] = f"SELECT doc_id, {brief('text')} AS brief FROM documents"
     q["t08_anomaly_explanations"] = f"""
-SELECT {KEY}, date, actual, expected, deviation_pct, anomaly_direction, day_of_week, {draft('prompt')} AS explanation
+SELECT {KEY}, date, actual, expected, deviation_pct, anomaly_direction, day_of_week, {draft('prompt')} AS explanation, {NO_ERROR}
 FROM c_anomaly_prompts"""
-    q["t09_global_triage"] = f"SELECT page, n_series, {draft('prompt')} AS global_brief FROM c_triage"
+    q["t09_global_triage"] = f"SELECT n_series, {draft('prompt')} AS global_brief, {NO_ERROR} FROM c_global"
     q["t10_narratives"] = NARRATIVES
     lengths = ", ".join(f"length({c}) AS {c}_len" for c in (*NARRATIVE_TEMPLATES, "executive_brief"))
     q["t11_text_length_check"] = f"SELECT {KEY}, risk_tier, {lengths} FROM ({NARRATIVES})"
     q["t12_policy_simulations"] = f"""
-SELECT {KEY}, risk_tier, {draft('prompt')} AS scenario_analysis FROM (SELECT *, {fill(texts.SCENARIO_PROMPT)} AS prompt FROM c_scenarios)"""
+SELECT {KEY}, risk_tier, {draft('prompt')} AS scenario_analysis, {NO_ERROR} FROM (SELECT *, {fill(texts.SCENARIO_PROMPT)} AS prompt FROM c_scenarios)"""
     q["t13_conversation_context"] = """
 SELECT conv_id, turn, CAST(n AS INTEGER) AS n_messages, history FROM (
   SELECT conv_id, turn, role, count(*) OVER w AS n,
@@ -866,7 +889,16 @@ WHERE role = 'user'"""
     q["t15_strip_fence"] = f"""
 SELECT conv_id, turn, CASE WHEN clean = '' THEN 'Please rephrase the question.' ELSE clean END AS clean FROM (
   SELECT conv_id, turn, CASE WHEN contains(response, '{FENCE}') THEN {head} ELSE response END AS clean FROM c_responses)"""
-    q["t16_series_context_line"] = CONTEXT_LINE
+    q["t16_series_context_line"] = f"SELECT {KEY}, {fill(texts.CONTEXT_LINE)} AS context_line FROM c_named"
+    q["t17_chat_prompts"] = f"""
+SELECT conv_id, turn, {fill(texts.CHAT_PROMPT)} AS prompt
+FROM ({q["t13_conversation_context"]}) h
+JOIN (SELECT {fill(texts.CONTEXT_LINE)} AS context_line, row_number() OVER (ORDER BY {KEY}) - 1 AS n, n_series FROM c_named) s
+  ON h.conv_id % s.n_series = s.n"""
+    q["t18_result_prompts"] = f"""
+SELECT conv_id, turn, {fill(texts.RESULT_PROMPT)} AS prompt FROM (
+  SELECT conv_id, turn, role, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS preview FROM conversations)
+WHERE role = 'user'"""
 
     q["r01_risk_ranking"] = f"SELECT {KEY}, risk_tier, risk_score FROM c_risk"
     q["r02_rt_score_scatter"] = f"""
@@ -877,6 +909,7 @@ WHERE rt_effective IS NOT NULL AND risk_score IS NOT NULL AND rolling_avg_7d_cas
         "rt_effective, rolling_avg_7d_cases, rolling_avg_14d_cases, rolling_avg_7d_deaths",
         f"c_derived WHERE date >= DATE '{REPORT_START}'",
     )
+    q["r04_epi_profile_selected"] = q["r04_epi_profile"] + f" AND {KEY} = '{SELECTED}'"
     q["r05_vaccination_series"] = f"""
 SELECT {KEY}, date, vaccinated_per_100, fully_vaccinated_per_100 FROM c_vaccinations
 WHERE {KEY} IN (SELECT {KEY} FROM c_vaccinations WHERE vaccinated_per_100 IS NOT NULL)"""
@@ -885,6 +918,10 @@ WHERE {KEY} IN (SELECT {KEY} FROM c_vaccinations WHERE vaccinated_per_100 IS NOT
     )
     q["r06_comparison_risk"] = f"SELECT {COMPARED} FROM c_risk WHERE {KEY} IN ({SELECTION})"
     q["r07_default_selection"] = SELECTION
+    q["r07_selected_and_riskiest"] = f"""
+SELECT '{SELECTED}' AS {KEY} UNION ALL SELECT * FROM (
+  SELECT {KEY} FROM (SELECT * FROM c_risk ORDER BY risk_score DESC, {KEY} LIMIT 4) WHERE {KEY} <> '{SELECTED}'
+  ORDER BY risk_score DESC, {KEY} LIMIT 2)"""
     q["r08_anomaly_chart_data"] = keyed(
         "daily_new_cases AS observed, expected, "
         "CASE WHEN is_anomaly AND anomaly_direction = 'SPIKE' THEN daily_new_cases END AS spike, "
@@ -900,6 +937,8 @@ SELECT * FROM (SELECT {KEY}, date, {TOP_COLUMNS},
                CAST(row_number() OVER (PARTITION BY {KEY} ORDER BY deviation_pct DESC, date) AS INTEGER) AS rnk
                FROM c_anomalies WHERE is_anomaly) WHERE rnk <= {top}"""
 
+    q["r10_preview_limit"] = f"SELECT * FROM c_anomalies ORDER BY {KEY}, date LIMIT {ReportConfig().preview_rows}"
+
     q["o01_order_by"] = f"SELECT {KEY}, risk_tier, risk_score, {FACTOR_LIST} FROM c_risk"
     last = ReportConfig().history_rows
     q["o02_last_rows_per_series"] = f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelloom import schemas
 from panelloom.config import Columns, EndemicConfig
@@ -19,6 +19,7 @@ KEY = Columns().series
 
 # Stages with more than one consumer are written once per run.
 FEATURES = ("daily",)
+AVERAGES = ("averages",)
 RISK = ("daily", "features")
 RISK_AND_FORECASTS = (*RISK, "forecasts")
 CONTEXT = ("daily", "features", "forecasts", "anomalies")
@@ -181,7 +182,7 @@ over_features(
 over_features("p08_boolean_expr", lambda df: df.select(KEY, "date", risk.data_gap().alias("data_gap")))
 over_stages(
     "p09_rename_fill_display",
-    lambda st: projections.rename_fill_display(st.risk_tiers(), report.RISK_LABELS),
+    lambda st: projections.rename_fill_display(st.risk_tiers(), report.risk_labels()),
     RISK,
 )
 over_features(
@@ -192,7 +193,7 @@ over_stages(
     lambda st: st.history_forecast().select(
         KEY, "date", *[clip_low_double(c).alias(c) for c in ("val", "lower_bound", "upper_bound")], "type"
     ),
-    ("daily", "features"),
+    AVERAGES,
 )
 
 # Joins
@@ -221,7 +222,7 @@ def _(spark, sf):
     return daily.filter(F.col("date") >= F.date_sub(last, 14)).select(KEY, "date", "daily_new_cases")
 
 
-over_stages("j06_overlap_join", lambda st: st.overlap(), ("daily", "features"))
+over_stages("j06_overlap_join", lambda st: st.overlap(), AVERAGES)
 
 # Aggregations
 
@@ -238,10 +239,8 @@ over_features("a08_first_last_by_order", lambda df: windows.first_last(df, "roll
 @query("a09_peak_with_date")
 def _(spark, sf):
     rows = features.features_without_flag(b.stages(spark, sf).daily(), CONFIG.features)
-    peak = forecast.peak_with_date("rolling_avg_7d_cases")
-    return rows.groupBy(KEY).agg(
-        peak.getField("rolling_avg_7d_cases").alias("peak_value"), peak.getField("date").alias("peak_date")
-    )
+    peaks = rows.groupBy(KEY).agg(forecast.peak_key("rolling_avg_7d_cases").alias("peak"))
+    return peaks.select(KEY, forecast.peak_value("peak").alias("peak_value"), forecast.peak_date("peak").alias("peak_date"))
 
 
 @query("a10_having_all")
@@ -252,7 +251,19 @@ def _(spark, sf):
 
 
 over_features("a11_count_distinct", lambda df: df.groupBy(KEY).agg(F.countDistinct("epidemic_phase").alias("phases")))
-over_stages("a12_metric_pivot", lambda st: forecast.metric_pivot(st.forecast_metrics()), ("daily", "features"))
+over_stages("a12_metric_pivot", lambda st: forecast.metric_pivot(st.forecast_metrics()), AVERAGES)
+
+
+@query("a12_metric_pivot_extra")
+def _(spark, sf):
+    """A metric of one's own beside the listed ones."""
+    metrics = b.stages(spark, sf, (*AVERAGES, "forecast_metrics")).forecast_metrics()
+    root = metrics.filter("error_metric = 'MSE'").select(
+        "series", F.lit("RMSE").alias("error_metric"), half_up(F.sqrt("metric_value"), 4).alias("metric_value")
+    )
+    return forecast.metric_pivot(metrics.unionByName(root), (*forecast.METRIC_ORDER, "RMSE"))
+
+
 over_stages("a13_global_kpis", lambda st: report.global_kpis(st.risk_tiers()), RISK)
 over_stages("a14_list_agg", lambda st: text.triage_prompts(text.triage_lines(st.risk_tiers())), (*RISK, "risk_tiers"))
 over_stages("a15_anomaly_kpis", lambda st: anomaly.anomaly_kpis(st.anomalies()), ("anomalies",))
@@ -357,38 +368,45 @@ def _(spark, sf):
 
 
 over_stages("f03_forecast", lambda st: st.forecasts())
-over_stages("f04_history_forecast", lambda st: st.history_forecast(), ("daily", "features"))
-over_stages("f05_forecast_metrics", lambda st: st.forecast_metrics(), ("daily", "features"))
+over_stages("f04_history_forecast", lambda st: st.history_forecast(), AVERAGES)
+over_stages("f05_forecast_metrics", lambda st: st.forecast_metrics(), AVERAGES)
 over_stages(
     "f05_backtest_metrics",
     lambda st: forecast.forecast_metrics(forecast.backtest(st.training(), CONFIG.forecast), CONFIG.forecast),
-    ("daily", "features"),
+    AVERAGES,
 )
 over_stages("f06_forecast_summary", lambda st: forecast.forecast_summary(st.forecasts()))
 over_stages("f07_forecast_trajectory", lambda st: forecast.forecast_trajectory(st.forecasts()))
 over_stages(
     "f08_forecast_display_split",
     lambda st: forecast.forecast_display_split(st.history_forecast(), CONFIG.report),
-    ("daily", "features"),
+    AVERAGES,
 )
 over_stages("f09_forecast_kpis", lambda st: forecast.forecast_kpis(st.risk_tiers(), st.forecasts()), RISK_AND_FORECASTS)
-over_stages("f10_interval_band", lambda st: forecast.interval_band(st.history_forecast()), ("daily", "features"))
+over_stages("f10_interval_band", lambda st: forecast.interval_band(st.history_forecast()), AVERAGES)
 
 
 def same_weekday_forecaster(frame, periods, prediction_interval):
-    """Sample plug-in model: the mean of the last four values of the same weekday."""
+    """Sample plug-in model: the mean of the last four values of the same weekday, in whole hundredths."""
+    import math
     from statistics import NormalDist
 
     days = pd.to_datetime(frame["date"])
-    values = frame["target"].astype(float)
+    values = (frame["target"].astype(float) * 100).round().astype("int64")
     ahead = pd.date_range(days.iloc[-1] + pd.Timedelta(days=1), periods=periods)
     by_day = {d: g.tail(4) for d, g in values.groupby(days.dt.dayofweek.to_numpy())}
     last = values.tail(28)
-    point = [float(by_day.get(d.dayofweek, last).mean()) for d in ahead]
+
+    def mean(rows):
+        return (2 * int(rows.sum()) + len(rows)) // (2 * len(rows))
+
+    point = [mean(by_day.get(d.dayofweek, last)) for d in ahead]
+    n, spread = len(last), len(last) * sum(int(x) ** 2 for x in last) - int(last.sum()) ** 2
     z = NormalDist().inv_cdf((1 + prediction_interval) / 2)
-    half = z * (float(last.std()) if len(last) > 1 else 0.0)
+    half = math.floor(z * math.sqrt(float(spread) / float(n * (n - 1))) + 0.5) if n > 1 else 0
     return pd.DataFrame(
-        {"date": ahead.date, "point": point, "lower": [p - half for p in point], "upper": [p + half for p in point]}
+        {"date": ahead.date, "point": [p / 100 for p in point], "lower": [(p - half) / 100 for p in point],
+         "upper": [(p + half) / 100 for p in point]}
     )
 
 
@@ -453,7 +471,7 @@ over_stages(
     lambda st: context.model_quality(st.forecast_metrics()).select(
         KEY, "model_mape", context.model_confidence("model_mape").alias("model_confidence")
     ),
-    ("daily", "features"),
+    AVERAGES,
 )
 over_features("k16_wave_context", context.wave_context)
 
@@ -513,6 +531,31 @@ QUERIES["t14_extract_select_words"] = lambda spark, sf: b.responses(spark, sf).s
 QUERIES["t15_strip_fence"] = lambda spark, sf: b.responses(spark, sf).select(
     "conv_id", "turn", text.strip_fence("response").alias("clean")
 )
+
+
+@query("t17_chat_prompts")
+def _(spark, sf):
+    """The prompt of each user turn, about the series its conversation is dealt to."""
+    st = b.stages(spark, sf, (*RISK, "risk_tiers"))
+    lines = text.series_context_line(st.risk_tiers()).withColumn(
+        "n", F.row_number().over(Window.orderBy(KEY)) - 1
+    )
+    history = text.conversation_context(b.table(spark, sf, "conversations"))
+    dealt = history.withColumn("n", F.pmod("conv_id", lines.select(F.count(F.lit(1))).scalar()).cast("int"))
+    return text.chat_prompts(dealt.join(lines, "n"), F.col("context_line"))
+
+
+@query("t18_result_prompts")
+def _(spark, sf):
+    """The prompt that explains the rows after each user's question, here the turn that follows it."""
+    turns = b.table(spark, sf, "conversations")
+    answer = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    asked = turns.withColumn("preview", answer).filter("role = 'user'")
+    return text.result_prompts(asked.select("conv_id", "turn", F.col("text").alias("question"), "preview")).select(
+        "conv_id", "turn", "prompt"
+    )
+
+
 over_stages("t16_series_context_line", lambda st: text.series_context_line(st.risk_tiers()), (*RISK, "risk_tiers"))
 
 # Reports
@@ -521,6 +564,7 @@ over_stages("r01_risk_ranking", lambda st: report.risk_ranking(st.risk_tiers()),
 over_stages("r02_rt_score_scatter", lambda st: report.rt_score_scatter(st.risk_tiers()), RISK)
 over_stages("r03_risk_table", lambda st: report.risk_table(st.risk_tiers()), RISK)
 over_features("r04_epi_profile", lambda df: report.epi_profile(df, config=CONFIG.report))
+over_features("r04_epi_profile_selected", lambda df: report.epi_profile(df, [b.SELECTED], CONFIG.report))
 QUERIES["r05_vaccination_series"] = lambda spark, sf: report.vaccination_series(b.vaccinations(spark, sf))
 
 
@@ -538,10 +582,11 @@ def _(spark, sf):
 
 
 over_stages("r07_default_selection", lambda st: report.default_selection(st.risk_tiers()), RISK)
+over_stages("r07_selected_and_riskiest", lambda st: report.default_selection(st.risk_tiers(), b.SELECTED), (*RISK, "risk_tiers"))
 over_stages("r08_anomaly_chart_data", lambda st: report.anomaly_chart(st.anomalies()))
 over_stages("r09_top_n_signed", lambda st: report.top_n_signed(st.anomalies()))
 over_stages("r09_top_n_per_series", lambda st: report.top_n_signed_per_series(st.anomalies()))
-over_stages("r10_preview_limit", lambda st: report.preview_limit(st.anomalies()))
+over_stages("r10_preview_limit", lambda st: report.preview_limit(st.anomalies(), order=(KEY, "date")))
 
 # Order and set operations
 
@@ -552,4 +597,4 @@ over_daily(
         df.select(KEY, "date", "daily_new_cases"), CONFIG.report.history_rows, [F.col("date").desc()], KEY
     ),
 )
-over_stages("o03_union_all", lambda st: cols("type", "val")(st.history_forecast()), ("daily", "features"))
+over_stages("o03_union_all", lambda st: cols("type", "val")(st.history_forecast()), AVERAGES)

@@ -215,3 +215,8 @@ def test_window_operators_take_any_column_names(spark, daily_frame):
     rows = windows.rolling_stddev(df, "units sold", 2, "v", names).orderBy("the day").collect()
     assert [r["v"] for r in rows] == [None, 2.83, 4.95, 5.66]
     assert windows.rolling_moments(df, "units sold", 2, names).filter("moment_sum_sq = 80").count() == 1
+
+
+def test_fatality_rate_of_huge_counts(spark):
+    df = spark.createDataFrame([(5 * 10**12, 10**13), (9 * 10**18, 9 * 10**18), (1, 0)], "d bigint, c bigint")
+    assert [r[0] for r in df.select(features.case_fatality_rate("d", "c")).collect()] == [50.0, 100.0, 0.0]

@@ -117,6 +117,27 @@ def test_metric_pivot_strips_quotes(spark):
     assert got == {"a": (9.0, 1.0, None), "b": (None, 2.0, None)}
 
 
+def test_metric_pivot_drops_nothing(spark):
+    rows = [("a", "MAE", 1.0), ("a", "RMSE", 2.0), ("a", "WINKLER_ALPHA=0.1", 3.0)]
+    metrics = spark.createDataFrame(rows, "series string, error_metric string, metric_value double")
+    with pytest.raises(Exception, match="metric missing from the pivot's names"):
+        forecast.metric_pivot(metrics).collect()
+    names = (*forecast.metric_names(ForecastConfig(winkler_alpha=0.1)), "RMSE")
+    row = forecast.metric_pivot(metrics, names).first()
+    assert (row["MAE"], row["RMSE"], row["WINKLER_ALPHA=0.1"]) == (1.0, 2.0, 3.0)
+
+
+def test_errors_round_exact_ties_up(spark):
+    # Errors of 0.01 and 0.03: the mean square is 0.0005 exactly; of 0.01 and 0.00: 0.00005, a tie.
+    def mse(*errors):
+        rows = [("a", day(i), 1.0 + e, 1.0, 0.0, 2.0) for i, e in enumerate(errors)]
+        schema = "country_region string, date date, actual double, forecasted_cases double, forecast_lower double, forecast_upper double"
+        got = forecast.forecast_metrics(spark.createDataFrame(rows, schema), CONFIG).filter("error_metric = 'MSE'")
+        return got.first()["metric_value"]
+
+    assert mse(0.01, 0.03) == 0.0005 and mse(0.01, 0.0) == 0.0001
+
+
 def test_summary_clamps_and_trajectory_takes_latest_peak(spark):
     fc = forecasts(
         spark,

@@ -122,3 +122,18 @@ def test_filters_tags_and_display(spark):
 def test_labels(spark, code, label):
     df = spark.createDataFrame([(code,)], "epidemic_phase string")
     assert df.select(projections.label_map("epidemic_phase")).first()[0] == label
+
+
+def test_mobility_index_rounds_decimals(spark):
+    rows = [(0.855, None, 0.0), (1.725, 0.0, None), (-0.855, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "retail_and_recreation double, transit_stations double, workplaces double")
+    assert [r[0] for r in df.select(tables.mobility_index()).collect()] == [0.29, 0.58, -0.29]
+
+
+def test_an_empty_folder_is_not_an_absent_source(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    declared = schemas.VACCINATIONS
+    assert tables.scan_optional(spark, str(tmp_path / "none"), declared).count() == 0
+    with pytest.raises(AnalysisException):
+        tables.scan_optional(spark, str(tmp_path), declared)

@@ -86,3 +86,19 @@ def test_generated_methods_are_small_enough_to_be_compiled(spark, daily):
             assert sizes and max(sizes) < 8000, sizes
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_peaks_need_no_sort_aggregate(daily):
+    from panelloom.operators import context
+
+    rows = features.features_without_flag(daily, CONFIG.features)
+    train = forecast.training_view(rows, CONFIG.forecast)
+    predicted = forecast.forecast(forecast.fit_forecaster(train, CONFIG.forecast), CONFIG.forecast)
+    for df in (context.wave_context(rows), forecast.forecast_trajectory(predicted)):
+        assert "SortAggregate" not in plan(df)
+
+
+def test_narratives_are_one_python_pass(daily, spark, fact, tmp_path):  # noqa: F811
+    stages = PanelStages(fact, CONFIG, root=str(tmp_path), cut=("daily", "features", "forecasts", "anomalies", "risk_tiers", "context"), parallelism=2)
+    assert plan(stages.narratives()).count("ArrowEvalPython") == 1
+    assert "SortAggregate" not in plan(stages.context())

@@ -71,10 +71,67 @@ def test_shared_folder_comes_from_the_session(spark):
     assert first != second and first.startswith(named)
 
 
-def test_cluster_without_shared_folder_keeps_plans_lazy(fact, monkeypatch):
-    monkeypatch.setattr("panelloom.plans.stages.run_folder", lambda spark: None)
-    stages = PanelStages(fact, CONFIG, cut=("daily",))
-    assert stages.daily().count() == 160
+def test_writing_without_a_shared_folder_raises(fact, monkeypatch):
+    def nowhere(spark):
+        raise ValueError("no folder")
+
+    monkeypatch.setattr(sinks, "shared_folder", nowhere)
+    for use in (lambda s: s.daily(), lambda s: s.publish()):
+        with pytest.raises(ValueError):
+            use(PanelStages(fact, CONFIG, cut=("daily",)))
+    assert PanelStages(fact, CONFIG).daily().count() == 160
+
+
+def test_publish_after_lazy_use_writes_every_table(spark, fact, tmp_path):
+    stages = PanelStages(fact, CONFIG, root=str(tmp_path))
+    assert stages.risk_tiers().count() == 2 and not os.listdir(tmp_path)
+    published = stages.publish()
+    assert len(TABLES) == 15
+    for name, namespace in TABLES.items():
+        folder = str(tmp_path / namespace / name)
+        assert spark.read.schema(published[name].schema).parquet(folder).count() == published[name].count(), name
+        assert not published[name].inputFiles() or all(folder in f for f in published[name].inputFiles()), name
+    stages.close()
+    assert os.path.isdir(tmp_path / "raw")
+
+
+def test_own_folder_is_removed(spark, fact):
+    with PanelStages(fact, CONFIG, cut=("daily",)) as stages:
+        assert stages.daily().count() == 160
+        folder = stages._own
+        assert folder.startswith(spark.conf.get("spark.checkpoint.dir")) and os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+
+def test_forecast_consumers_cut_three_columns(fact, tmp_path):
+    stages = PanelStages(fact, CONFIG, root=str(tmp_path), cut=("averages",))
+    full = PanelStages(fact, CONFIG)
+    full.cut = frozenset()
+    assert sorted(map(str, stages.forecast_metrics().collect())) == sorted(map(str, full.forecast_metrics().collect()))
+    assert stages.averages().columns == ["country_region", "date", "rolling_avg_7d_cases"]
+    assert os.listdir(tmp_path / "features") == ["averages"]
+    rows = full.features().select(*stages.averages().columns)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, stages.averages().collect()))
+
+
+def test_other_column_names_through_the_whole_chain(fact, tmp_path):
+    import dataclasses
+
+    from panelloom.config import Columns
+    from panelloom.operators import report
+
+    names = Columns(series="shop", ts="d")
+    config = dataclasses.replace(CONFIG, columns=names)
+    renamed = fact.withColumnsRenamed({"country_region": "shop", "date": "d"})
+    stages = PanelStages(renamed, config, root=str(tmp_path))
+    published = stages.publish()
+    plain = PanelStages(fact, CONFIG)
+    for name in ("risk_tiers", "context", "forecast_metrics", "history_forecast", "anomalies"):
+        here = published[name].withColumnsRenamed({"shop": "country_region", "d": "date"}).select(*getattr(plain, name)().columns)
+        assert sorted(map(str, here.collect())) == sorted(map(str, getattr(plain, name)().collect())), name
+    assert {"shop", "d"} <= set(published["mobility"].columns) and published["global_triage"].count() == 1
+    table = report.risk_table(published["risk_tiers"], columns=names)
+    assert table.columns[0] == report.SERIES_LABEL and {r[0] for r in table.collect()} == {"a", "b"}
 
 
 def test_bucketed_table_needs_no_shuffle_for_windows(spark, fact):
