@@ -106,37 +106,48 @@ def counted(config: ToxicityConfig):
     return run
 
 
+SELECTIONS = ("all", "fold0", "fold1")
+# Grams of so many bytes are the shared backoff; longer ones are counted by class.
+SHARED = 2
+
+
 def gram_ratios(counts: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
     """``(gram, t0, o0, t1, o1)``, toxic and ordinary counts of two folds, to ``(gram, n, all, fold0, fold1)``.
 
     The last three are log p(last byte | other bytes, toxic) - log p(the same, ordinary), from both folds and
-    from one of them. Each class is an interpolated Kneser-Ney model: its counts less a discount, and the
-    mass so freed spread over the backoff distribution. That is shared by the classes, made of the
-    numbers of different grams that end in a suffix, so that a rare or unseen expression speaks for
-    neither class and a passage copied a thousand times counts once.
+    from one of them. Each class is an interpolated Kneser-Ney model: the counts of a gram less a discount,
+    and the mass so freed spread over the model of the gram without its first byte, whose counts are the
+    different grams of the class that end in it, so that a passage copied a thousand times counts once. At the
+    bottom both classes back off to one distribution from the grams of either, which keeps a rare or
+    unseen expression from speaking for a class.
     """
+    t0, o0, t1, o1 = (F.col(c) for c in ("t0", "o0", "t1", "o1"))
+    cells = {"t_all": t0 + t1, "o_all": o0 + o1, "t_fold0": t0, "o_fold0": o0, "t_fold1": t1, "o_fold1": o1}
+    level = counts.select("gram", *[c.alias(name) for name, c in cells.items()])
+    levels = {config.order: level}
+    shorter = lambda n: F.col("gram").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)).alias("gram")
+    for n in range(config.order, SHARED + 1, -1):
+        ends = [F.sum((F.col(c) > 0).cast("int")).alias(c) for c in cells]
+        levels[n - 1] = levels[n].groupBy(shorter(n)).agg(*ends)
+
     context = Window.partitionBy(F.shiftright("gram", 8))
-    low = (1 << 8 * (config.order - 1)) - 1
-    suffixes = counts.groupBy(F.col("gram").bitwiseAND(F.lit(low)).alias("suffix")).agg(F.count("*").alias("kinds"))
-    total = F.sum("kinds").over(Window.partitionBy(F.shiftright("suffix", 8)))
-    shared = suffixes.select(
-        "suffix", ((F.col("kinds") + config.floor) / (total + config.floor * config.letters)).alias("shared")
-    )
-
-    def log_p(n: Column) -> Column:
-        seen, kinds = F.sum(n).over(context), F.sum((n > 0).cast("int")).over(context)
-        kept = F.greatest(n - config.discount, F.lit(0.0))
-        # Half a count of the backoff keeps an unseen context defined.
-        return F.log((kept + (kinds * config.discount + 0.5) * F.col("shared")) / (seen + 0.5))
+    total = F.sum("kinds").over(context)
+    kinds = levels[SHARED + 1].groupBy(shorter(SHARED + 1)).agg(F.count("*").alias("kinds"))
+    base = (F.col("kinds") + config.floor) / (total + config.floor * config.letters)
+    below = kinds.select(F.col("gram").alias("_end"), *[base.alias(f"p_{c}") for c in cells])
+    for n in range(SHARED + 1, config.order + 1):
 
-    t0, o0, t1, o1 = (F.col(c) for c in ("t0", "o0", "t1", "o1"))
-    joined = counts.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(low))).join(shared, "suffix")
-    return joined.select(
-        "gram", (t0 + o0 + t1 + o1).alias("n"),
-        (log_p(t0 + t1) - log_p(o0 + o1)).alias("all"),
-        (log_p(t0) - log_p(o0)).alias("fold0"),
-        (log_p(t1) - log_p(o1)).alias("fold1"),
-    )
+        def smoothed(c: str) -> Column:
+            seen, different = F.sum(c).over(context), F.sum((F.col(c) > 0).cast("int")).over(context)
+            kept = F.greatest(F.col(c) - config.discount, F.lit(0.0))
+            # Half a count of the backoff keeps an unseen context defined.
+            return (kept + (different * config.discount + 0.5) * F.col(f"p_{c}")) / (seen + 0.5)
+
+        joined = levels[n].withColumn("_end", shorter(n)).join(below, "_end")
+        now = joined.select("gram", F.col("t_all") + F.col("o_all"), *[smoothed(c).alias(f"p_{c}") for c in cells])
+        now = now.toDF("gram", "n", *[f"p_{c}" for c in cells])
+        below = now.drop("n").withColumnRenamed("gram", "_end")
+    return now.select("gram", "n", *[F.log(F.col(f"p_t_{s}") / F.col(f"p_o_{s}")).alias(s) for s in SELECTIONS])
 
 
 def peak(texts: list[bytes], table: np.ndarray, config: ToxicityConfig) -> np.ndarray:
@@ -180,10 +191,15 @@ class ToxicityModel:
 
 
 def logistic(values: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> tuple[float, float]:
-    """Slope and middle of the logistic curve through binned counts, with the targets drawn in a little."""
+    """Slope and middle of the logistic curve through binned counts.
+
+    Both classes weigh the same, however rare one is, and the targets are drawn in a little.
+    """
     if not ones.sum() or not zeros.sum():
         return 1.0, 2.0
     high, low = (ones.sum() + 1) / (ones.sum() + 2), 1 / (zeros.sum() + 2)
+    half = (ones.sum() + zeros.sum()) / 2
+    ones, zeros = ones * half / ones.sum(), zeros * half / zeros.sum()
     x = np.stack([values, np.ones_like(values)], 1)
     theta = np.array([1.0, -2.0])
     for _ in range(100):
@@ -231,16 +247,15 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
         for batch in batches:
             slots = slot_of(batch.column("gram").to_numpy(), size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slots), *(batch.column(c) for c in ("n", "all", "fold0", "fold1"))], ["slot", "n", "all", "fold0", "fold1"]
+                [pa.array(slots), *(batch.column(c) for c in ("n", *SELECTIONS))], ["slot", "n", *SELECTIONS]
             )
 
     slots = table.mapInArrow(slotted, "slot bigint, n bigint, all double, fold0 double, fold1 double")
-    names = ("all", "fold0", "fold1")
-    mean = [(F.sum(F.col("n") * F.col(c)) / F.sum("n")).cast("float").alias(c) for c in names]
+    mean = [(F.sum(F.col("n") * F.col(c)) / F.sum("n")).cast("float").alias(c) for c in SELECTIONS]
     values = slots.groupBy("slot").agg(*mean).toArrow()
     at = values.column("slot").to_numpy()
     tables = {}
-    for c in names:
+    for c in SELECTIONS:
         dense = np.zeros(size, np.float32)
         dense[at] = values.column(c).to_numpy()
         tables[c] = spark.sparkContext.broadcast(dense)

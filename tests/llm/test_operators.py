@@ -266,21 +266,35 @@ def test_held_out_documents_are_told_apart(spark):
 
 
 def test_gram_ratios_follow_the_formula(spark):
-    config = toxicity.ToxicityConfig(order=2, letters=4)
-    pack = lambda s: s[0] * 256 + s[1]
-    table = {b"ab": (3, 1, 0, 2), b"ac": (0, 2, 1, 0), b"bb": (0, 1, 0, 0), b"cb": (2, 0, 0, 4)}
+    config = toxicity.ToxicityConfig(order=4, letters=4)
+    pack = lambda s: int.from_bytes(s, "big")
+    rng = np.random.default_rng(6)
+    grams = {bytes(rng.choice([97, 98, 99], 4).tolist()) for _ in range(40)}
+    table = {g: tuple(int(x) for x in rng.integers(0, 4, 4)) for g in grams}
+    table = {g: c for g, c in table.items() if sum(c)}
     frame = spark.createDataFrame([(pack(g), *c) for g, c in table.items()], "gram bigint, t0 bigint, o0 bigint, t1 bigint, o1 bigint")
     got = {r["gram"]: r for r in toxicity.gram_ratios(frame, config).collect()}
-    ends = {}
-    for g in table:
-        ends[g[1:]] = ends.get(g[1:], 0) + 1
-    for g, (t0, o0, t1, o1) in table.items():
-        shared = (ends[g[1:]] + 0.01) / (len(table) + 0.04)
-        p = []
-        for pick in (lambda c: c[0] + c[2], lambda c: c[1] + c[3]):
-            same = [pick(c) for x, c in table.items() if x[:1] == g[:1]]
-            p.append((max(pick(table[g]) - 0.75, 0) + (sum(n > 0 for n in same) * 0.75 + 0.5) * shared) / (sum(same) + 0.5))
-        assert got[pack(g)]["all"] == pytest.approx(np.log(p[0] / p[1]))
+    assert set(got) == {pack(g) for g in table}
+    threes = {g[1:] for g in table}
+    for name, picks in (("all", ((0, 2), (1, 3))), ("fold0", ((0,), (1,))), ("fold1", ((2,), (3,)))):
+        models = []
+        for pick in picks:
+            raw = {g: sum(c[i] for i in pick) for g, c in table.items()}
+            seen = {g[1:] for g, n in raw.items() if n}
+            three = {g: sum(n > 0 and x[1:] == g for x, n in raw.items()) for g in threes}
+            assert {g for g, n in three.items() if n} == seen
+
+            def p(g, raw, three):
+                if len(g) == 2:
+                    ends = {x: sum(t[1:] == x for t in threes) for x in {t[1:] for t in threes}}
+                    return (ends[g] + 0.01) / (sum(n for x, n in ends.items() if x[0] == g[0]) + 0.04)
+                level = raw if len(g) == 4 else three
+                same = [n for x, n in level.items() if x[:-1] == g[:-1]]
+                return (max(level[g] - 0.75, 0) + (sum(n > 0 for n in same) * 0.75 + 0.5) * p(g[1:], raw, three)) / (sum(same) + 0.5)
+
+            models.append({g: p(g, raw, three) for g in table})
+        for g in table:
+            assert got[pack(g)][name] == pytest.approx(np.log(models[0][g] / models[1][g]))
 
 
 def test_peak_does_not_depend_on_pieces(monkeypatch):
