@@ -11,6 +11,9 @@ from panelloom.llm.urls import split_url
 
 # What makes a line of HTML end, and the entities that are decoded.
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|body|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
+HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>"
+BREAKS = rf"(?i)</?(?:{BLOCKS})(?:[\x20\x09-\x0D/][^>]*)?>"
+TAGS = r"</?[A-Za-z][^>]*>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
@@ -22,9 +25,7 @@ class LineConfig:
 
 def page_lines(html: Column) -> Column:
     """Visible lines of a page, without those that are empty."""
-    text = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>", "\n")
-    text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCKS})(?:[\x20\x09-\x0D/][^>]*)?>", "\n")
-    text = F.regexp_replace(text, r"</?[A-Za-z][^>]*>", "")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, "\n"), BREAKS, "\n"), TAGS, "")
     for entity, character in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(character))
     lines = F.transform(F.split(text, r"[\n\r]+", -1), lambda s: F.regexp_replace(F.regexp_replace(s, r"[\x20\x09-\x0D]+", " "), r"^ | $", ""))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelloom.llm import chat, common, decontam, exact, lines, mixing, near, passages, secret_scan, toxicity, urls
 from panelloom.llm.common import table
+from panelloom.llm.oracle import ORACLE  # noqa: F401
 
 # Functions that run in tasks travel by value, so executors need no installed package.
 for _module in (common, exact, near, passages, toxicity):
@@ -76,4 +77,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {}
