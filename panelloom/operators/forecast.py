@@ -47,7 +47,7 @@ def train_coverage(train: DataFrame, columns: Columns = Columns()) -> DataFrame:
         F.count(F.lit(1)).alias("train_days"),
         F.min(columns.ts).alias("start_dt"),
         F.max(columns.ts).alias("end_dt"),
-    ).orderBy(columns.series)
+    )
 
 
 def _day_index(ts: str, origin: str) -> Column:
@@ -220,7 +220,7 @@ def forecast_coverage(forecasts: DataFrame, columns: Columns = Columns()) -> Dat
         F.max(columns.ts).alias("fc_end"),
         ratio(F.sum(scaled("forecasted_cases", 2)), units, 0).alias("avg_fc"),
         ratio(F.sum(width), F.count(width) * F.lit(100), 0).alias("avg_ci_width"),
-    ).orderBy(columns.series)
+    )
 
 
 def history_forecast(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelloom.config import Columns, IngestConfig
-from panelloom.functions.numeric import clip_low, ratio
+from panelloom.functions.numeric import clip_low, ratio, ratio_wide
 from panelloom.operators.projections import canonical_name
 
 
@@ -74,7 +74,7 @@ def table_summary(df: DataFrame, label: str, columns: Columns = Columns()) -> Da
 
 
 def series_profile(daily: DataFrame, columns: Columns = Columns()) -> DataFrame:
-    """Days, range, totals, fatality percentage and zero-day share of each series, largest first."""
+    """Days, range, totals, fatality percentage and zero-day share of each series."""
     days = F.count(F.lit(1))
     cases, deaths = F.max("cumulative_confirmed"), F.max("cumulative_deaths")
     zero = F.col("daily_new_cases") == 0
@@ -84,10 +84,10 @@ def series_profile(daily: DataFrame, columns: Columns = Columns()) -> DataFrame:
         F.max(columns.ts).alias("last_date"),
         cases.alias("total_cases"),
         deaths.alias("total_deaths"),
-        ratio(deaths * 100, cases, 2).alias("cfr_pct"),
+        ratio_wide(deaths.cast("decimal(20,0)") * 100, cases, 2).alias("cfr_pct"),
         F.count(F.when(zero | F.col("daily_new_cases").isNull(), 1)).alias("zero_days"),
         ratio(F.count(F.when(zero, 1)) * 100, days, 1).alias("zero_pct"),
-    ).orderBy(F.col("total_cases").desc(), columns.series)
+    )
 
 
 def combined_and_daily(
