@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelloom.llm.common import PLAIN_WORD, ascii_lower, sieve, written
 
 
+# Files of the benchmark's tables, which are small beside the documents.
+FILES = 8
+
+
 @dataclass(frozen=True)
 class WinnowConfig:
     span: int = 10  # words of a window: every shared span of so many words is found
@@ -81,12 +85,13 @@ def contamination(docs: DataFrame, items: DataFrame, config: WinnowConfig = Winn
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text", F.octet_length("text")))
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("words"))
-    # Equal texts of one id are one item; the number of an item is fixed by writing it.
-    items = written(items.filter(F.size("words") > 0).distinct().withColumn("key", F.monotonically_increasing_id()))
+    # Equal texts of one id are one item; the number of an item is fixed by writing it, in a few files.
+    items = items.filter(F.size("words") > 0).distinct().coalesce(FILES).withColumn("key", F.monotonically_increasing_id())
+    items = written(items)
     # At most span - 1 numbers.
     short = [r[0] for r in items.filter(F.size("words") < config.span).select(F.size("words")).distinct().collect()]
     prints = fingerprints(items.select("key", F.array_join("words", " ").alias("text")), config, sorted(short), True)
-    prints = written(prints.select(F.col("key").alias("item_key"), "n", "fp", F.col("at").alias("item_at")).filter("fp IS NOT NULL").distinct())
+    prints = written(prints.select(F.col("key").alias("item_key"), "n", "fp", F.col("at").alias("item_at")).filter("fp IS NOT NULL"))
     found = fingerprints(docs.select("key", "text"), config, sorted(short), False).drop("n").filter("fp IS NOT NULL")
     hits = written(
         found.join(prints, "fp").select("key", "item_key", (F.col("at") - F.col("item_at")).alias("shift"), "n").distinct()
@@ -113,7 +118,8 @@ def contamination(docs: DataFrame, items: DataFrame, config: WinnowConfig = Winn
     runs = pairs.withColumn("_least", least).filter(F.length("_equal") >= F.col("_least"))
     runs = runs.select("key", "item", "_least", (F.col("shift") + F.col("_skip")).alias("_from"), starts.alias("_starts"))
     runs = runs.select("key", "item", "_least", "_from", F.explode_outer("_starts").alias("_start")).filter("_start IS NOT NULL")
-    runs = written(runs.select("key", "item", "_least", (F.col("_from") + F.col("_start")).alias("_start")).distinct())
+    # Both uses below share the exchange of this distinct.
+    runs = runs.select("key", "item", "_least", (F.col("_from") + F.col("_start")).alias("_start")).distinct()
     covered = F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_least") - 1))
     places = runs.select("key", covered.alias("_place")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     listed = runs.select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("_items"))
