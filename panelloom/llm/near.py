@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelloom.llm.common import sieve, written
 from panelloom.llm.components import components
@@ -176,9 +176,10 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
     Texts with the same words are one node. Nodes that share a band of their sketches are candidates; a
     link is confirmed on the whole shingle sets, and groups are what links reach. Inside a bucket not all
     pairs are tried: first every node against the smallest of its bucket, then, where groups still
-    differ, against the largest, and at last the pairs whose groups still differ. A pair that is left
-    out lies in one group already, so that no group is lost, while a bucket of many copies costs about as
-    many tests as it has nodes.
+    differ, against the largest. The nodes of buckets that still hold several groups are at last compared
+    across groups by the rarest shingles of their sets, which finds every link. A pair that is left out
+    lies in one group already or cannot be linked, so that no group is lost, while a bucket of many
+    copies costs about as many tests as it has nodes.
 
     Letters A-Z are lower-cased, words stand between ASCII white space; a text of fewer words than a shingle is
     one shingle. Texts without words, and null, have no shingles and no links. The smallest id of a group
@@ -221,11 +222,7 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
         links = written(links.unionByName(confirmed(again, sets, config.percent)))
         tried = tried.unionByName(again)
         rooted = written(_open_buckets(members, components(links)))
-        rest = _apart(
-            rooted.select("bucket", F.col("node").alias("b"), F.col("root").alias("_rb"), F.col("n").alias("_nb")),
-            rooted.select("bucket", F.col("node").alias("a"), F.col("root").alias("_ra"), F.col("n").alias("_na")),
-            near,
-        )
+        rest = _prefix_pairs(rooted.select("node", "root", "n").distinct(), sets, config.percent)
         last = written(rest.join(tried, ["a", "b"], "left_anti"))
         links = written(links.unionByName(confirmed(last, sets, config.percent)))
         roots = components(links)
@@ -245,6 +242,30 @@ def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(several.select("bucket"), "bucket", "left_semi")
 
 
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of ``(node, root, n)`` with different roots that may be similar enough.
+
+    With the shingles of every set ordered alike, rarest first, two similar sets share one among the first
+    ``n - ceil(n * percent / 100) + 1`` of each, and after the first shared one enough are left in both. So
+    a copy whose own changes fill that head meets nobody, however many copies lie around it. Shingles that
+    only one group holds join nothing and are left out.
+    """
+    spread = nodes.join(sets, "node").select("node", "root", "n", F.explode("shingles").alias("x"))
+    often = spread.groupBy("x").agg(F.count("*").alias("_f"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    order = Window.partitionBy("node").orderBy("_f", "x")
+    ranked = spread.join(often, "x").withColumn("at", F.row_number().over(order))
+    needed = F.ceil(F.col("n") * percent / 100)
+    heads = ranked.filter((F.col("at") <= F.col("n") - needed + 1) & (F.col("_low") < F.col("_high")))
+    heads = written(heads.select("x", "node", "root", "n", "at"))
+    first = heads.select("x", *[F.col(c).alias(f"_{c}a") for c in ("node", "root", "n", "at")])
+    second = heads.select("x", *[F.col(c).alias(f"_{c}b") for c in ("node", "root", "n", "at")])
+    left = F.least(F.col("_na") - F.col("_ata"), F.col("_nb") - F.col("_atb")) + 1
+    enough = left * (100 + percent) >= (F.col("_na") + F.col("_nb")) * percent
+    apart = (F.col("_roota") != F.col("_rootb")) & (F.col("_nodea") < F.col("_nodeb"))
+    met = first.alias("f").join(second.alias("s"), (F.col("f.x") == F.col("s.x")) & apart & enough)
+    return met.select(F.col("_nodea").alias("a"), F.col("_nodeb").alias("b")).distinct()
+
+
 def _apart(first: DataFrame, second: DataFrame, near) -> DataFrame:
     """Pairs a < b of one bucket in different groups whose sizes allow a link."""
     apart = (F.col("_ra") != F.col("_rb")) & (F.col("a") < F.col("b")) & near(F.col("_na"), F.col("_nb"))
