@@ -28,7 +28,7 @@ class ToxicityConfig:
 
 
 # Bytes a task works on at a time. Longer texts are cut into pieces that overlap.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 _APART = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
