@@ -40,34 +40,46 @@ def _coarse(text: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, config: WinnowConfig, short: list[int], whole: bool) -> DataFrame:
-    """``(key, text)`` to ``(key, n, fp, at)``: the winnowed grams of each text and their places.
+    """``(key, id, text)`` to ``(key, id, n, fp, at)``: the winnowed grams of each text and their places.
 
-    A gram is kept if it is the smallest of some window of ``span - gram + 1`` grams; among equal ones all are
-    kept. Two texts that share ``span`` words share such a window and so its smallest gram. ``short`` lists
+    Each text also gives one row with its number of words and ``at`` = -1, which stands for no gram.
+
+    A gram is kept if it is the smallest of some window of ``span - gram + 1`` grams, the leftmost among equal
+    ones. Two texts that share ``span`` words share such a window and so its smallest gram. ``short`` lists
     word counts below the span: with ``whole`` a text of so many words is one fingerprint, else every run
     of so many words is one.
     """
     wide = config.span - config.gram + 1
     size = F.size("_h")
-    hashed = texts.select("key", F.transform(_coarse(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
-    grams = hashed.select("key", "_h", size.alias("n"), _grams(config.gram, size).alias("_g"))
+    hashed = texts.select("key", "id", F.transform(_coarse(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
+    grams = hashed.select("key", "id", "_h", size.alias("n"), _grams(config.gram, size).alias("_g"))
+    none = F.array().cast("array<struct<fp:bigint,at:int>>")
     lows = F.when(
         F.size("_g") >= wide,
         F.transform(F.sequence(F.lit(1), F.size("_g") - wide + 1), lambda i: F.array_min(F.slice("_g", i, wide))),
     ).otherwise(F.array().cast("array<bigint>"))
-    lowest = grams.select("key", "_h", "n", "_g", lows.alias("_low"))
-    # Gram i is the smallest of a window if it equals the largest of the minima of the windows around it.
-    around = lambda i: F.array_max(F.slice("_low", F.greatest(i - (wide - 2), F.lit(1)), F.least(i + 1, F.lit(wide))))
-    kept = F.filter(_marked(F.col("_g")), lambda s: s["fp"] == around(s["at"]))
-    kept = F.when(F.size("_low") > 0, kept).otherwise(F.array().cast("array<struct<fp:bigint,at:int>>"))
+    lowest = grams.select("key", "id", "_h", "n", "_g", lows.alias("_low"))
+
+    # The leftmost smallest gram of a window is new if the minimum changed or the one before has left.
+    def new(i: Column) -> Column:
+        return (i == 0) | (F.get("_low", i) != F.get("_low", i - 1)) | (F.get("_g", i - 1) == F.get("_low", i - 1))
+
+    def placed(i: Column) -> Column:
+        low = F.get("_low", i)
+        inside = F.array_position(F.slice("_g", i + 1, wide), low).cast("int")
+        return F.struct(low.alias("fp"), (i + inside - 1).alias("at"))
+
+    windows = F.when(F.size("_low") > 0, F.sequence(F.lit(0), F.size("_low") - 1)).otherwise(F.array().cast("array<int>"))
+    kept = F.transform(F.filter(windows, new), placed)
     lists = [kept]
     for n in short:
         list_of = _marked(_grams(n, size))
-        lists.append(F.when(F.col("n") == n, list_of).otherwise(F.array().cast("array<struct<fp:bigint,at:int>>")) if whole else list_of)
-    every = F.concat(*lists) if len(lists) > 1 else lists[0]
+        lists.append(F.when(F.col("n") == n, list_of).otherwise(none) if whole else list_of)
+    # Its fp is the row's key, so that these rows spread like the others wherever they are shuffled.
+    every = F.concat(F.array(F.struct(F.col("key").alias("fp"), F.lit(-1).alias("at"))), *lists)
     # An outer explode: for an inner one the optimizer infers a filter and computes the whole list in it again.
-    spread = lowest.select("key", "n", every.alias("_fps")).select("key", "n", F.explode_outer("_fps").alias("_fp"))
-    return spread.select("key", "n", "_fp.*")
+    spread = lowest.select("key", "id", "n", every.alias("_fps")).select("key", "id", "n", F.explode_outer("_fps").alias("_fp"))
+    return spread.select("key", "id", "n", "_fp.*")
 
 
 def contamination(docs: DataFrame, items: DataFrame, config: WinnowConfig = WinnowConfig()) -> DataFrame:
@@ -90,12 +102,16 @@ def contamination(docs: DataFrame, items: DataFrame, config: WinnowConfig = Winn
     items = written(items)
     # At most span - 1 numbers.
     short = [r[0] for r in items.filter(F.size("words") < config.span).select(F.size("words")).distinct().collect()]
-    prints = fingerprints(items.select("key", F.array_join("words", " ").alias("text")), config, sorted(short), True)
-    prints = written(prints.select(F.col("key").alias("item_key"), "n", "fp", F.col("at").alias("item_at")).filter("fp IS NOT NULL"))
-    found = fingerprints(docs.select("key", "text"), config, sorted(short), False).drop("n").filter("fp IS NOT NULL")
-    hits = written(
-        found.join(prints, "fp").select("key", "item_key", (F.col("at") - F.col("item_at")).alias("shift"), "n").distinct()
+    prints = fingerprints(items.select("key", F.col("item").alias("id"), F.array_join("words", " ").alias("text")), config, sorted(short), True)
+    prints = written(prints.select(F.col("key").alias("item_key"), "n", "fp", F.col("at").alias("item_at")).filter("item_at >= 0"))
+    found = fingerprints(docs.select("key", F.col("doc_id").alias("id"), "text"), config, sorted(short), False)
+    pairs = found.withColumnRenamed("n", "n_words").join(
+        prints.withColumnRenamed("fp", "item_fp"), (F.col("fp") == F.col("item_fp")) & (F.col("at") >= 0), "left"
     )
+    met = pairs.filter("at = -1 OR item_key IS NOT NULL")
+    met = written(met.select("key", "id", "n_words", "item_key", (F.col("at") - F.col("item_at")).alias("shift"), "n"))
+    hits = met.filter("item_key IS NOT NULL").select("key", "item_key", "shift", "n").distinct()
+    counted = met.filter("item_key IS NULL").select("key", F.col("id").alias("doc_id"), F.col("n_words").cast("bigint").alias("n_words"))
 
     # The words of the marked documents, each along its diagonals.
     lying = hits.groupBy("key").agg(F.collect_list(F.struct("item_key", "shift", "n")).alias("_hits"))
@@ -124,7 +140,6 @@ def contamination(docs: DataFrame, items: DataFrame, config: WinnowConfig = Winn
     places = runs.select("key", covered.alias("_place")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     listed = runs.select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("_items"))
     verdicts = places.join(listed, "key")
-    counted = docs.select("doc_id", "key", F.regexp_count(F.lower("text"), F.lit(PLAIN_WORD)).cast("bigint").alias("n_words"))
     out = counted.join(verdicts, "key", "left")
     return out.select(
         "doc_id", "n_words",
