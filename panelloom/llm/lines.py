@@ -28,7 +28,9 @@ def page_lines(html: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, "\n"), BREAKS, "\n"), TAGS, "")
     for entity, character in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(character))
-    lines = F.transform(F.split(text, r"[\n\r]+", -1), lambda s: F.regexp_replace(F.regexp_replace(s, r"[\x20\x09-\x0D]+", " "), r"^ | $", ""))
+    # White space is collapsed once over the page; only runs that change are matched.
+    text = F.regexp_replace(text, r"\x20*[\x09\x0B\x0C][\x20\x09\x0B\x0C]*|\x20{2,}", " ")
+    lines = F.transform(F.split(text, r"[\n\r]+", -1), lambda s: F.trim(s))
     return F.filter(lines, lambda s: s != "")
 
 
@@ -59,7 +61,7 @@ def drop_boilerplate(pages: DataFrame, config: LineConfig = LineConfig()) -> Dat
         marked.filter("NOT _maybe").withColumn("_drop", F.lit(None).cast("array<string>"))
     )
     split = joined.select("page_id", "host", page_lines(F.col("html")).alias("_all"), F.coalesce("_drop", none).alias("_drop"))
-    kept = F.filter("_all", lambda s: ~F.array_contains("_drop", F.md5(s)))
+    kept = F.when(F.size("_drop") == 0, F.col("_all")).otherwise(F.filter("_all", lambda s: ~F.array_contains("_drop", F.md5(s))))
     return split.select("page_id", "host", "_all", kept.alias("_kept")).select(
         "page_id", "host", F.array_join("_kept", "\n").alias("text"),
         F.size("_all").cast("bigint").alias("n_lines"), (F.size("_all") - F.size("_kept")).cast("bigint").alias("n_dropped"),
