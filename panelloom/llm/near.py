@@ -136,18 +136,21 @@ def signed(config: NearConfig):
 
 
 def shingled(k: int):
-    """Arrow batches of (doc_id, text) to (doc_id, content, shingles)."""
+    """Arrow batches of (doc_id, text) to (doc_id, content, shingles); rows equal in both stay once in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch.column("text"))
+            texts, ids = _bytes(batch.column("text")), batch.column("doc_id").to_pylist()
             for part in chunks(texts):
-                pairs = [shingle_set(texts[i], k) for i in part]
+                found = {}
+                for i in part:
+                    shingles, digest = shingle_set(texts[i], k)
+                    found.setdefault((ids[i], digest), shingles)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(part.start, len(part)),
-                        pa.array([d for _, d in pairs], pa.binary()),
-                        pa.array([s.view(np.int64) for s, _ in pairs], pa.list_(pa.int64())),
+                        pa.array([i for i, _ in found], pa.int64()),
+                        pa.array([d for _, d in found], pa.binary()),
+                        pa.array([s.view(np.int64) for s in found.values()], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "content", "shingles"],
                 )
@@ -194,7 +197,9 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
     classes = filled.groupBy("content").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
     same = (filled["content"] == classes["content"]) & filled["doc_id"].eqNullSafe(classes["rep"])
-    banded = filled.join(classes, same).select("node", "n", F.explode("bands").alias("bucket"))
+    # A representative may stand in many equal rows; a node has its bands, and below its shingles, once.
+    single = filled.join(classes, same).select("node", "n", "bands").dropDuplicates(["node"])
+    banded = single.select("node", "n", F.explode("bands").alias("bucket"))
     ends = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     members = written(banded.join(ends, "bucket"))
 
@@ -202,7 +207,7 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
     texts = sieve(docs, F.col("doc_id"), involved, F.col("rep")).filter("_maybe").select("doc_id", "text")
     hashed = texts.mapInArrow(shingled(config.shingle), "doc_id bigint, content binary, shingles array<bigint>")
     same = (hashed["content"] == involved["content"]) & hashed["doc_id"].eqNullSafe(involved["rep"])
-    sets = written(hashed.join(involved, same).select("node", "shingles"))
+    sets = written(hashed.join(involved, same).select("node", "shingles").dropDuplicates(["node"]))
 
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * config.percent
     sized = classes.select(F.col("node").alias("a"), F.col("n").alias("_na"))

@@ -166,6 +166,21 @@ def test_near_groups_of_many_variants(spark):
     assert rows_of(got) == ordered(brute.near_groups(rows, 4))
 
 
+def test_near_groups_of_repeated_rows(spark):
+    """In each group two sets of similarity 89 / 111, twice each, among many that nothing links, which the stars leave apart."""
+    rows = []
+    for g in range(6):
+        core = [f"g{g}core{i}" for i in range(89)]
+        rows += [(1000 * g + i, " ".join(core[: i % 89] + core[i % 89 + 1 :] + [f"g{g}own{i}x{j}" for j in range(23)])) for i in range(120)]
+        for side in (500, 501):
+            text = " ".join(core + [f"g{g}side{side}x{j}" for j in range(11)])
+            rows += [(1000 * g + side, text), (1000 * g + side, "  " + text.upper())]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = rows_of(near.near_groups(frame, near.NearConfig(shingle=1)))
+    assert got == ordered(brute.near_groups(rows, 1))
+    assert sum(not r[3] for r in got) == 12
+
+
 @needs_tables
 def test_near_groups_of_the_tables(tables):
     docs = [(r[0], r[1]) for r in tables("documents").select("doc_id", "text").collect()]
