@@ -50,16 +50,18 @@ def source_targets(sizes: DataFrame, config: MixConfig = MixConfig()) -> DataFra
     return ranked.select("source", "source_size", F.when(F.col("_full"), most.cast("double")).otherwise(share).alias("target"))
 
 
-def paced(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
+def paced(docs: DataFrame, config: MixConfig = MixConfig(), row: str | None = None) -> DataFrame:
     """``(doc_id, source, size)`` with source_size, target and ``finish``, the virtual finish time.
 
     Documents of a source stand in the order of a hash of their id. The finish time is the source's words
     up to and with the document, divided by the source's target; a repeat comes ``source_size / target``
     later. Each source is cut into slices of its hash order, so that a source with a third of all rows
-    is summed by many tasks: first whole slices, then the documents inside one slice.
+    is summed by many tasks: first whole slices, then the documents inside one slice. ``row`` names a column
+    that orders rows of equal id and size and stays in the result.
     """
+    rows = [row] if row else []
     keyed = docs.select(
-        "doc_id", "source", "size",
+        "doc_id", "source", "size", *rows,
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"),
         F.substring(F.md5(F.concat(F.lit(config.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16).alias("_key"),
     ).withColumn("_slice", F.substring("_key", 1, config.digits))
@@ -71,7 +73,7 @@ def paced(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     shares = source_targets(sizes.select("source", "source_size"), config).select(
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"), "source_size", "target"
     )
-    inside = Window.partitionBy("_source", "_slice").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_source", "_slice").orderBy("_key", "doc_id", "size", *rows).rowsBetween(Window.unboundedPreceding, 0)
     ends = (
         keyed.withColumn("_inside", F.sum("size").over(inside))
         .join(starts, ["_source", "_slice"])
@@ -79,12 +81,12 @@ def paced(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
         .withColumn("_end", F.col("_start") + F.col("_inside"))
     )
     return ends.select(
-        "doc_id", "source", "size", "source_size", "target", "_end",
+        "doc_id", "source", "size", *rows, "source_size", "target", "_end",
         F.when(F.col("target") > 0, F.col("_end") / F.col("target")).otherwise(0.0).alias("finish"),
     )
 
 
-def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
+def mix(docs: DataFrame, config: MixConfig = MixConfig(), row: str | None = None) -> DataFrame:
     """``(doc_id, source, size)`` to one row per document with source_size, target, finish, copies, taken.
 
     All copies of all documents stand in one queue by finish time, which is cut at the budget: the mix is
@@ -94,10 +96,10 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
 
     Null ids and sources count like others (a null source stands last). Documents without words take
     nothing. Rows that repeat an id with the same size are equal and are taken alike. No documents give
-    no rows. Other columns are ignored.
+    no rows. Other columns are ignored, but ``row`` names one that stays in the result.
     """
     up, down = config.budget
-    rows = written(paced(docs, config))
+    rows = written(paced(docs, config, row))
 
     def finish(epoch):
         late = (F.col("_end") + F.col("source_size") * epoch) / F.col("target")
@@ -125,11 +127,11 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
 
     copies = sum((is_in(e).cast("int") for e in range(config.epochs)), F.lit(0))
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target", "finish", copies.alias("copies"),
+        "doc_id", "source", "size", *([row] if row else []), "source_size", "target", "finish", copies.alias("copies"),
         (F.col("size") * copies).cast("bigint").alias("taken"),
     )
 
 
-def measured(documents: DataFrame) -> DataFrame:
+def measured(documents: DataFrame, row: str | None = None) -> DataFrame:
     """The operator's input from documents with a text."""
-    return documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([row] if row else []))

@@ -113,11 +113,12 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def signed(config: NearConfig):
-    """Arrow batches of (doc_id, text) to (doc_id, n_shingles, content, bands)."""
+    """Arrow batches of (doc_id, text) and others to (doc_id, n_shingles, content, bands) and the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _bytes(batch.column("text"))
+            others = [c for c in batch.schema.names if c not in ("doc_id", "text")]
             for part in chunks(texts):
                 pairs = [shingle_set(texts[i], config.shingle) for i in part]
                 full = [s for s, _ in pairs if len(s)]
@@ -128,8 +129,9 @@ def signed(config: NearConfig):
                         pa.array([len(s) for s, _ in pairs], pa.int64()),
                         pa.array([d for _, d in pairs], pa.binary()),
                         pa.array([next(keys) if len(s) else [] for s, _ in pairs], pa.list_(pa.int64())),
+                        *(batch.column(c).slice(part.start, len(part)) for c in others),
                     ],
-                    ["doc_id", "n_shingles", "content", "bands"],
+                    ["doc_id", "n_shingles", "content", "bands", *others],
                 )
 
     return run
@@ -173,7 +175,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
+def near_groups(docs: DataFrame, config: NearConfig = NearConfig(), row: str | None = None) -> DataFrame:
     """``(doc_id, text)`` to one row per document: n_shingles, component_id, kept.
 
     Texts with the same words are one node. Nodes that share a band of their sketches are candidates; a
@@ -188,10 +190,11 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
     one shingle. Texts without words, and null, have no shingles and no links. The smallest id of a group
     stays; null ids are never the smallest, and a group of null ids only keeps all its rows with a null
     component_id. Rows that repeat an id are judged by their own texts; with equal texts both stay. No
-    documents give no rows. Other columns are ignored.
+    documents give no rows. Other columns are ignored, but ``row`` names a string column that stays in the result.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    schema = "doc_id bigint, n_shingles bigint, content binary, bands array<bigint>"
+    rows = [row] if row else []
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *rows)
+    schema = "doc_id bigint, n_shingles bigint, content binary, bands array<bigint>" + "".join(f", `{c}` string" for c in rows)
     signatures = written(docs.mapInArrow(signed(config), schema))
     filled = signatures.filter("n_shingles > 0")
     classes = filled.groupBy("content").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
@@ -235,8 +238,9 @@ def near_groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = grouped.join(least, "root").select("content", "component_id")
-    found = filled.select("doc_id", "n_shingles", "content").join(named, "content").drop("content")
-    empty = signatures.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = filled.select("doc_id", "n_shingles", "content", *rows).join(named, "content")
+    found = found.select("doc_id", "n_shingles", "component_id", *rows)
+    empty = signatures.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *rows)
     return found.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

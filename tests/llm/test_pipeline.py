@@ -135,6 +135,33 @@ def test_without_ids(spark):
     assert without_ids(docs, drop.limit(0)).count() == 5
 
 
+def test_stages_of_null_and_repeated_ids(spark, tmp_path):
+    """Of a null or repeated id only the copy, near copy or leak goes, and the mix gives each row once."""
+    passage = lambda n, start: " ".join(f"w{start + i}" for i in range(n))
+    rows = [
+        (9, passage(40, 0)), (None, passage(40, 0)), (None, passage(30, 100)), (4, passage(40, 0)), (4, passage(20, 200)),
+        (1, passage(60, 300)), (None, passage(59, 300) + " other"), (5, passage(59, 300) + " more"), (5, passage(25, 400)),
+        (None, "before " + passage(14, 500)), (6, "then " + passage(14, 500)), (6, passage(35, 600)),
+        (7, passage(22, 700)), (7, passage(22, 700)), (None, passage(21, 800)), (None, passage(21, 800)), (None, passage(21, 900)), (None, None),
+    ]
+    spark.createDataFrame([(1, passage(14, 500))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame = lambda rows: spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    plain = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    # The operators' brute force gives one verdict for each row, in the rows' order.
+    flags = {
+        corpus_pipeline.drop_copies: [r[3] for r in brute.exact_groups(rows)],
+        corpus_pipeline.drop_near_copies: [r[3] for r in brute.near_groups(rows, 5)],
+        corpus_pipeline.drop_leaks: [not r[5] for r in brute.contamination(rows, [(1, passage(14, 500))])],
+    }
+    for stage, kept in flags.items():
+        assert plain(stage(spark, frame(rows), str(tmp_path))) == sorted((r for r, k in zip(rows, kept) if k), key=repr)
+        assert not all(kept)
+    got = corpus_pipeline.mix_sources(spark, frame(rows), str(tmp_path)).collect()
+    wanted = [r for r in brute.mix([(d, "s", t) for d, t in rows]) if r[4]]
+    assert sorted((repr(r["doc_id"]), r["taken"]) for r in got) == sorted((repr(r[0]), r[4]) for r in wanted)
+    assert all(r["taken"] == r["copies"] * len(r["text"].split()) for r in got)
+
+
 def test_other_queries_need_no_corpus_package(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     script = """
