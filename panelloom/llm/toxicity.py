@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,9 @@ class ToxicityConfig:
     floor: float = 0.01  # added to the backoff count of each of ``letters`` symbols
     letters: int = 60
     window: int = 12  # grams over which the log-likelihoods are compared
-    slots: int = 1 << 21  # of the table that tasks score with: a bound that no corpus changes
+    slots: int = 1 << 21  # of a dense table, where ``peak`` is given one
+    # So many different grams at most are broadcast to the tasks that score; more are joined to the texts.
+    broadcast_grams: int = 1 << 21
     threshold: float = 0.7
     # Labels of so many rows at most are broadcast to the documents; more are joined by a shuffle.
     broadcast_labels: int = 1_000_000
@@ -78,6 +81,48 @@ def slot_of(grams: np.ndarray, slots: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) % np.uint64(slots)).astype(np.int64)
 
 
+def whole_grams(letters: np.ndarray, order: int) -> np.ndarray:
+    """The grams of a group of pieces, without those that reach into a gap."""
+    grams = packed(letters, order)
+    whole = np.ones(len(grams), bool)
+    for j in range(order):
+        whole &= letters[j : j + len(grams)] != 0
+    return grams[whole]
+
+
+def gram_table(grams: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of grams, -1 for none, and of their values; a gram whose slot is taken moves to the next free one."""
+    size = 16
+    while size < 2 * len(grams):
+        size *= 2
+    keys, held = np.full(size, -1, np.int64), np.zeros(size, np.float32)
+    left, at = np.arange(len(grams)), slot_of(grams, size)
+    while len(left):
+        free = left[keys[at[left]] < 0]
+        _, first = np.unique(at[free], return_index=True)
+        put = free[first]
+        keys[at[put]], held[at[put]] = grams[put], values[put]
+        left = left[keys[at[left]] != grams[left]]
+        at[left] = (at[left] + 1) % size
+    return keys, held
+
+
+def looked_up(grams: np.ndarray, keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The values of grams, 0 for one that the table does not hold."""
+    at = slot_of(grams, len(keys))
+    seen = keys[at]
+    hit = seen == grams
+    out = np.where(hit, held[at], 0.0)
+    left = np.flatnonzero(~hit & (seen >= 0))
+    while len(left):
+        at[left] = (at[left] + 1) % len(keys)
+        seen = keys[at[left]]
+        hit = seen == grams[left]
+        out[left[hit]] = held[at[left[hit]]]
+        left = left[~hit & (seen >= 0)]
+    return out
+
+
 def counted(config: ToxicityConfig):
     """Arrow batches of (text, toxic, fold) to (gram, toxic, fold, n), summed over a task's chunks."""
 
@@ -87,12 +132,8 @@ def counted(config: ToxicityConfig):
             for (toxic, fold), rows in frame.groupby(["toxic", "fold"]):
                 texts = [t.encode() for t in rows["text"]]
                 for letters, _, _ in pieces(texts, config.window + config.order):
-                    grams = packed(letters, config.order)
-                    # A gram of a gap is none. Pieces of a long text share a few grams, which then count twice.
-                    whole = np.ones(len(grams), bool)
-                    for j in range(config.order):
-                        whole &= letters[j : j + len(grams)] != 0
-                    keys, n = np.unique(grams[whole], return_counts=True)
+                    # Pieces of a long text share a few grams, which then count twice.
+                    keys, n = np.unique(whole_grams(letters, config.order), return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(keys),
@@ -150,44 +191,132 @@ def gram_ratios(counts: DataFrame, config: ToxicityConfig = ToxicityConfig()) ->
     return now.select("gram", "n", *[F.log(F.col(f"p_t_{s}") / F.col(f"p_o_{s}")).alias(s) for s in SELECTIONS])
 
 
-def peak(texts: list[bytes], table: np.ndarray, config: ToxicityConfig) -> np.ndarray:
-    """The largest mean log ratio over ``window`` grams in a row of each text; 0 for a text without letters."""
-    out = np.full(len(texts), -np.inf)
+def stretches(letters: np.ndarray, ratios: np.ndarray, starts: np.ndarray, config: ToxicityConfig) -> np.ndarray:
+    """The largest mean of ``window`` ratios in a row of each piece, -inf for none."""
     n, w = config.order, config.window
-    for letters, owners, starts in pieces(texts, w + n):
-        ratios = table[slot_of(packed(letters, n), config.slots)].astype(np.float64)
-        blank = np.concatenate([[0], np.cumsum(letters == 0)])
-        ratios[blank[n:] - blank[:-n] > 0] = 0.0
-        sums = np.concatenate([[0.0], np.cumsum(ratios)])
-        last = np.minimum(np.arange(len(ratios)) + w, len(ratios))
-        means = (sums[last] - sums[: len(ratios)]) / w
-        # A window that starts in a gap belongs to no text.
-        means[letters[: len(means)] == 0] = -np.inf
-        np.maximum.at(out, owners, np.maximum.reduceat(means, np.minimum(starts, len(means) - 1)))
+    blank = np.concatenate([[0], np.cumsum(letters == 0)])
+    ratios[blank[n:] - blank[:-n] > 0] = 0.0
+    sums = np.concatenate([[0.0], np.cumsum(ratios)])
+    last = np.minimum(np.arange(len(ratios)) + w, len(ratios))
+    means = (sums[last] - sums[: len(ratios)]) / w
+    # A window that starts in a gap belongs to no text.
+    means[letters[: len(means)] == 0] = -np.inf
+    return np.maximum.reduceat(means, np.minimum(starts, len(means) - 1))
+
+
+def peak(texts: list[bytes], table: tuple | np.ndarray, config: ToxicityConfig) -> np.ndarray:
+    """The largest mean log ratio over ``window`` grams in a row of each text; 0 for a text without letters.
+
+    ``table`` is what ``gram_table`` gives, or a dense array of ``slots`` ratios.
+    """
+    out = np.full(len(texts), -np.inf)
+    for letters, owners, starts in pieces(texts, config.window + config.order):
+        grams = packed(letters, config.order)
+        if isinstance(table, tuple):
+            ratios = looked_up(grams, *table)
+        else:
+            ratios = table[slot_of(grams, config.slots)].astype(np.float64)
+        np.maximum.at(out, owners, stretches(letters, ratios, starts, config))
     return np.where(np.isfinite(out), out, 0.0)
 
 
+def cut_up(config: ToxicityConfig):
+    """Arrow batches of (_toxic_row, text) to groups of pieces with a key of their own and their different grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("_toxic_row").to_numpy()
+            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            for letters, owners, starts in pieces(texts, config.window + config.order):
+                grams = np.unique(whole_grams(letters, config.order))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([uuid.uuid4().hex]),
+                        pa.array([letters.astype(np.uint8).tobytes()], pa.binary()),
+                        pa.array([rows[owners]], pa.list_(pa.int64())),
+                        pa.array([starts], pa.list_(pa.int64())),
+                        pa.array([grams], pa.list_(pa.int64())),
+                    ],
+                    ["chunk", "letters", "owners", "starts", "grams"],
+                )
+
+    return run
+
+
+def judged_chunks(names: list[str], config: ToxicityConfig):
+    """Arrow batches of (letters, owners, starts, found, and ratios as ``names``) to (_toxic_row, ``names``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            for i in range(batch.num_rows):
+                letters = np.frombuffer(columns["letters"][i].as_py(), np.uint8).astype(np.int64)
+                owners, starts = (columns[c][i].values.to_numpy() for c in ("owners", "starts"))
+                grams, found = packed(letters, config.order), columns["found"][i].values
+                known = np.array([], np.int64) if found is None else found.field("gram").to_numpy()
+                peaks = []
+                for c in names:
+                    values = np.array([], np.float32) if found is None else found.field(c).to_numpy()
+                    ratios = looked_up(grams, *gram_table(known, values))
+                    peaks.append(pa.array(stretches(letters, ratios, starts, config)))
+                yield pa.RecordBatch.from_arrays([pa.array(owners), *peaks], ["_toxic_row", *names])
+
+    return run
+
+
+def joined_peaks(docs: DataFrame, ratios: DataFrame, names: dict, config: ToxicityConfig) -> DataFrame:
+    """``docs`` with the peaks ``names`` (column to selection), for a ratio table of any size.
+
+    Texts are cut into groups of about ``CHUNK`` bytes. The different grams of each group are joined to the
+    ratios, so that a frequent gram is one row a group, and what is found returns to the group, whose
+    windows are rebuilt in place. No task holds more than its groups' own grams.
+    """
+    rows = written(docs.withColumn("_toxic_row", F.monotonically_increasing_id()))
+    schema = "chunk string, letters binary, owners array<bigint>, starts array<bigint>, grams array<bigint>"
+    cut = rows.select("_toxic_row", F.coalesce("text", F.lit("")).alias("text"))
+    cut = written(cut.mapInArrow(cut_up(config), schema))
+    wanted = cut.select("chunk", F.explode("grams").alias("gram"))
+    known = ratios.select("gram", *[F.col(which).alias(c) for c, which in names.items()])
+    found = wanted.join(known, "gram").groupBy("chunk").agg(F.collect_list(F.struct("gram", *names)).alias("found"))
+    met = cut.drop("grams").join(found, "chunk", "left").select("letters", "owners", "starts", "found")
+    peaks = met.mapInArrow(judged_chunks(list(names), config), "_toxic_row bigint" + "".join(f", {c} double" for c in names))
+    best = peaks.groupBy("_toxic_row").agg(*[F.max(c).alias(c) for c in names])
+    out = rows.select(*[F.col(f"`{c}`") for c in docs.columns], "_toxic_row").join(best, "_toxic_row", "left").drop("_toxic_row")
+    bare = F.lit(float("-inf"))
+    return out.withColumns({c: F.when(F.col(c) > bare, F.col(c)).otherwise(0.0) for c in names})
+
+
 @dataclass
 class ToxicityModel:
-    """Slot tables for both folds and each one, as broadcasts, and the logistic curve over the peak."""
+    """The ratio of every gram for both folds and each one, and the logistic curve over the peak.
+
+    ``tables`` are broadcasts of ``gram_table``; where the grams are too many, ``ratios`` is the table to join.
+    """
 
     tables: dict
     slope: float
     middle: float
     config: ToxicityConfig
+    ratios: DataFrame | None = None
 
     def peaks(self, text: Column, which: str = "all") -> Column:
-        table, config = self.tables[which], self.config
+        (keys, held), config = self.tables[which], self.config
 
         @F.pandas_udf("double")
         def peaks(batch: pd.Series) -> pd.Series:
-            return pd.Series(peak([(t or "").encode() for t in batch], table.value, config))
+            return pd.Series(peak([(t or "").encode() for t in batch], (keys.value, held.value), config))
 
         return peaks(text)
 
-    def score(self, text: Column) -> Column:
+    def with_peaks(self, docs: DataFrame, names: dict) -> DataFrame:
+        """``docs`` with the peaks ``names``, column to selection."""
+        if self.ratios is not None:
+            return joined_peaks(docs, self.ratios, names, self.config)
+        return docs.withColumns({c: self.peaks(F.col("text"), which) for c, which in names.items()})
+
+    def score(self, peaks: Column) -> Column:
         """Between 0 and 1; higher means that label 1 is likelier."""
-        return 1 / (1 + F.exp(F.lit(-self.slope) * (self.peaks(text) - self.middle)))
+        return 1 / (1 + F.exp(F.lit(-self.slope) * (peaks - self.middle)))
 
 
 def logistic(values: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> tuple[float, float]:
@@ -228,9 +357,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = T
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Models of all labelled documents that are not held out.
 
-    The grams of both classes are counted over the whole texts. Tasks score with a table of ``slots``
-    numbers; grams that meet in a slot share it by their counts. The curve from the peak of a text to its
-    score is fitted on the same documents, each judged by the model of the other fold, through counts in
+    The grams of both classes are counted over the whole texts, and each keeps its own ratio: in a broadcast
+    table that grows with them up to ``broadcast_grams``, beyond that in a table that is joined to the texts.
+    The curve from the peak of a text to its score is fitted on the same documents, each judged by the model of the other fold, through counts in
     bins of the peak.
     """
     spark = docs.sparkSession
@@ -239,29 +368,19 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     cells = [F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(name)
              for name, y, f in (("t0", 1, 0), ("o0", 0, 0), ("t1", 1, 1), ("o1", 0, 1))]
     counts = written(found.groupBy("gram").agg(*cells))
-    # The same hash as in the tasks: a product modulo 2**64, of which the high bits are folded in.
-    table = gram_ratios(counts, config)
-    size = config.slots
-
-    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = slot_of(batch.column("gram").to_numpy(), size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slots), *(batch.column(c) for c in ("n", *SELECTIONS))], ["slot", "n", *SELECTIONS]
-            )
-
-    slots = table.mapInArrow(slotted, "slot bigint, n bigint, all double, fold0 double, fold1 double")
-    mean = [(F.sum(F.col("n") * F.col(c)) / F.sum("n")).cast("float").alias(c) for c in SELECTIONS]
-    values = slots.groupBy("slot").agg(*mean).toArrow()
-    at = values.column("slot").to_numpy()
-    tables = {}
-    for c in SELECTIONS:
-        dense = np.zeros(size, np.float32)
-        dense[at] = values.column(c).to_numpy()
-        tables[c] = spark.sparkContext.broadcast(dense)
-    model = ToxicityModel(tables, 1.0, 2.0, config)
+    ratios = gram_ratios(counts, config).select("gram", *[F.col(c).cast("float").alias(c) for c in SELECTIONS])
+    model = ToxicityModel({}, 1.0, 2.0, config)
+    if counts.count() <= config.broadcast_grams:
+        known = ratios.toArrow()
+        grams = known.column("gram").to_numpy()
+        for c in SELECTIONS:
+            slots, held = gram_table(grams, known.column(c).to_numpy())
+            keys = model.tables["all"][0] if model.tables else spark.sparkContext.broadcast(slots)
+            model.tables[c] = keys, spark.sparkContext.broadcast(held)
+    else:
+        model.ratios = written(ratios)
     width = 0.01
-    judged = rows.select("toxic", "fold", model.peaks(F.col("text"), "fold0").alias("p0"), model.peaks(F.col("text"), "fold1").alias("p1"))
+    judged = model.with_peaks(rows, {"p0": "fold0", "p1": "fold1"})
     value = F.when(F.col("fold") == 0, F.col("p1")).otherwise(F.col("p0"))
     bins = judged.groupBy(F.round(F.greatest(F.least(value, F.lit(20.0)), F.lit(-20.0)) / width).cast("int").alias("bin"))
     rows_of = bins.agg(F.sum("toxic").alias("ones"), F.sum(1 - F.col("toxic")).alias("zeros")).orderBy("bin").collect()
@@ -281,5 +400,6 @@ def scored(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxicity
     give no rows. Columns of ``docs`` stay; ``score`` and ``predicted`` are replaced if present.
     """
     model = fit(docs, labels, config)
-    out = docs.withColumn("score", model.score(F.col("text")))
+    peaks = model.with_peaks(docs, {"_toxic_peak": "all"})
+    out = peaks.withColumn("score", model.score(F.col("_toxic_peak"))).drop("_toxic_peak")
     return out.withColumn("predicted", (F.col("score") >= config.threshold).cast("int"))
