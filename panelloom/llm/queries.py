@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelloom.llm import chat, common, decontam, exact, lines, mixing, near, passages, secret_scan, toxicity, urls
+from panelloom.llm import (
+    chat, common, decontam, divergence, exact, lines, mainhtml, mixing, near, negatives, passages, secret_scan, toxicity, urls,
+)
 from panelloom.llm.common import table
 from panelloom.llm.oracle import ORACLE  # noqa: F401
 
 # Functions that run in tasks travel by value, so executors need no installed package.
-for _module in (common, exact, near, passages, toxicity):
+for _module in (common, divergence, exact, mainhtml, near, negatives, passages, toxicity):
     cloudpickle.register_pickle_by_value(_module)
 
 NEAR = near.NearConfig(shingle=4, percent=80)
@@ -69,11 +71,26 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.main_text(table(spark, sf_dir, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_decontamination, op3_url_filter, op4_chat_format, op5_exact_dedup,
         op6_secret_scan, op7_line_dedup, op8_mixing, op9_near_dedup, op10_passage_dedup,
+        op11_source_divergence, op12_html_extraction, op13_hard_negatives,
     )
 }
 
