@@ -6,6 +6,7 @@ Multipliers are whole percents so that comparisons of rounded averages stay exac
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass, field
 
 # Spelling variants of an entity -> published name.
@@ -98,6 +99,19 @@ class ForecastConfig:
     backtest: bool = False
 
 
+@dataclass(frozen=True)
+class OriginConfig:
+    """Cut-off dates of a rolling evaluation: ``count`` of them, ``step`` days apart, the last on ``last``."""
+
+    last: str = "2022-03-01"
+    step: int = 30
+    count: int = 12
+
+    def dates(self) -> list[str]:
+        end = datetime.date.fromisoformat(self.last)
+        return [str(end - datetime.timedelta(days=self.step * k)) for k in reversed(range(self.count))]
+
+
 @dataclass(frozen=True)
 class AnomalyConfig:
     start: str = "2020-03-15"
@@ -135,6 +149,7 @@ class ReportConfig:
     preview_rows: int = 20
     explain_per_series: int = 3
     history_messages: int = 6
+    triage_budget: int = 16_000  # characters of the lines in one triage prompt
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelloom.config import Columns, ForecastConfig, ReportConfig
+from panelloom.config import Columns, ForecastConfig, OriginConfig, ReportConfig
 from panelloom.functions.numeric import (
     WIDE,
     clip_low_double,
@@ -54,6 +54,29 @@ def _day_index(ts: str, origin: str) -> Column:
     return F.datediff(F.col(ts), F.lit(origin).cast("date"))
 
 
+def _statistics(rows: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """Sums over ``(t, y)`` that a least-squares line and its residuals need, by ``keys``."""
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("t").alias("t1"),
+        F.sum(F.col("t") * F.col("t")).alias("t2"),
+        F.sum("y").alias("y1"),
+        F.sum(F.col("t").cast("decimal(19,0)") * F.col("y").cast("decimal(19,0)")).cast("decimal(38,0)").alias("ty"),
+        F.sum(square("y")).cast("decimal(38,0)").alias("y2"),
+        F.max(ts).alias("last_date"),
+    )
+
+
+def _fit_rows(train: DataFrame, config: ForecastConfig, columns: Columns, target: str, digits: int) -> DataFrame:
+    return train.select(
+        columns.series,
+        columns.ts,
+        day_of_week(columns.ts).alias("dow"),
+        _day_index(columns.ts, config.train_start).cast("bigint").alias("t"),
+        scaled(target, digits).alias("y"),
+    )
+
+
 def fit_forecaster(
     train: DataFrame,
     config: ForecastConfig = ForecastConfig(),
@@ -66,24 +89,42 @@ def fit_forecaster(
     Model values are in units of ``10**-digits``. ``offsets`` maps a weekday to its mean residual
     and holds at most seven entries. Short or flat series get ``sigma = 0``.
     """
-    rows = train.select(
-        columns.series,
-        columns.ts,
-        day_of_week(columns.ts).alias("dow"),
-        _day_index(columns.ts, config.train_start).cast("bigint").alias("t"),
-        scaled(target, digits).alias("y"),
-    )
-    by_day = rows.groupBy(columns.series, "dow").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("t").alias("t1"),
-        F.sum(F.col("t") * F.col("t")).alias("t2"),
-        F.sum("y").alias("y1"),
-        F.sum(F.col("t").cast("decimal(19,0)") * F.col("y").cast("decimal(19,0)")).cast("decimal(38,0)").alias("ty"),
-        F.sum(square("y")).cast("decimal(38,0)").alias("y2"),
-        F.max(columns.ts).alias("last_date"),
-    )
+    rows = _fit_rows(train, config, columns, target, digits)
+    return _models(_statistics(rows, [columns.series, "dow"], columns.ts), [columns.series], config)
 
-    whole = Window.partitionBy(columns.series)
+
+def fit_origins(
+    train: DataFrame,
+    origins: OriginConfig = OriginConfig(),
+    config: ForecastConfig = ForecastConfig(),
+    columns: Columns = Columns(),
+    target: str = "target",
+    digits: int = 2,
+) -> DataFrame:
+    """One model row per series and origin, each fitted to the rows up to its origin, in one pass.
+
+    Rows are summed by the stretch between origins that they lie in; running totals of those sums are the
+    statistics of every origin, so no row is read twice and none is refitted. A weekday without rows in
+    a stretch carries the totals of the one before. Origins before a series begins have no model.
+    """
+    series, first, last = columns.series, origins.dates()[0], origins.dates()[-1]
+    rows = _fit_rows(train.filter(F.col(columns.ts) <= F.lit(last).cast("date")), config, columns, target, digits)
+    after = F.greatest(F.datediff(F.col(columns.ts), F.lit(first).cast("date")), F.lit(0))
+    stretch = F.ceil(after / F.lit(origins.step)).cast("int")
+    sums = _statistics(rows.withColumn("at", stretch), [series, "dow", "at"], columns.ts)
+    upto = Window.partitionBy(series, "dow").orderBy("at")
+    running = {c: F.sum(c).over(upto) for c in ("n", "t1", "t2", "y1")}
+    running |= {c: F.sum(c).over(upto).cast("decimal(38,0)") for c in ("ty", "y2")}
+    following = F.coalesce(F.lead("at").over(upto), F.lit(origins.count))
+    totals = sums.withColumns({**running, "last_date": F.max("last_date").over(upto), "__next": following})
+    each = totals.withColumn("at", F.explode(F.sequence(F.col("at"), F.col("__next") - 1))).drop("__next")
+    dated = each.withColumn("origin", F.date_add(F.lit(first).cast("date"), (F.col("at") * origins.step).cast("int")))
+    return _models(dated.drop("at"), [series, "origin"], config)
+
+
+def _models(by_day: DataFrame, keys: list[str], config: ForecastConfig) -> DataFrame:
+    """Statistics by ``keys`` and weekday to one model row for each combination of ``keys``."""
+    whole = Window.partitionBy(*keys)
     total = {f"all_{c}": F.sum(c).over(whole) for c in ("n", "t1", "t2", "y1")}
     total["all_ty"] = F.sum("ty").over(whole).cast("decimal(38,0)")
     total["n_days"] = F.count(F.lit(1)).over(whole)
@@ -117,7 +158,7 @@ def fit_forecaster(
         }
     )
 
-    model = per_day.groupBy(columns.series).agg(
+    model = per_day.groupBy(*keys).agg(
         F.max("all_n").alias("n_train"),
         F.max("last_date").alias("last_date"),
         F.max("n_days").alias("n_days"),
@@ -155,8 +196,12 @@ def forecast(
     config: ForecastConfig = ForecastConfig(),
     columns: Columns = Columns(),
     digits: int = 2,
+    keep: tuple = (),
 ) -> DataFrame:
-    """``periods`` days past the last training date of each series, with a two-sided interval."""
+    """``periods`` days past the last training date of each model, with a two-sided interval.
+
+    ``keep``: further key columns of the model, such as its origin.
+    """
     z = interval_multiplier(config.prediction_interval)
     steps = model.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(config.periods)))).withColumn(
         columns.ts, F.date_add("last_date", F.col("step"))
@@ -173,6 +218,7 @@ def forecast(
 
     return steps.select(
         columns.series,
+        *keep,
         columns.ts,
         cents(F.col("__point")).alias("forecasted_cases"),
         cents(F.col("__point") - F.col("__half")).alias("forecast_lower"),
@@ -242,10 +288,12 @@ def history_forecast(
     return actual.unionByName(predicted)
 
 
-def overlap(features: DataFrame, forecasts: DataFrame, columns: Columns = Columns()) -> DataFrame:
+def overlap(
+    features: DataFrame, forecasts: DataFrame, columns: Columns = Columns(), keep: tuple = ()
+) -> DataFrame:
     """Forecast rows that have an actual value on the same day."""
     actual = features.select(columns.series, columns.ts, F.col("rolling_avg_7d_cases").alias("actual"))
-    predicted = forecasts.select(columns.series, columns.ts, "forecasted_cases", "forecast_lower", "forecast_upper")
+    predicted = forecasts.select(columns.series, *keep, columns.ts, "forecasted_cases", "forecast_lower", "forecast_upper")
     return predicted.join(actual.dropna(subset=["actual"]), [columns.series, columns.ts])
 
 
@@ -264,17 +312,36 @@ def backtest(
     return overlap(train.withColumnRenamed("target", "rolling_avg_7d_cases"), predicted, columns)
 
 
+def rolling_origin_metrics(
+    train: DataFrame,
+    origins: OriginConfig = OriginConfig(),
+    config: ForecastConfig = ForecastConfig(),
+    columns: Columns = Columns(),
+) -> DataFrame:
+    """``(series, origin, error_metric, metric_value)``: the metrics of a forecast from each of many origins.
+
+    For every origin the model of the rows up to it forecasts ``periods`` days, which are compared with
+    the training rows that follow.
+    """
+    keep = ("origin",)
+    predicted = forecast(fit_origins(train, origins, config, columns), config, columns, keep=keep)
+    pairs = overlap(train.withColumnRenamed("target", "rolling_avg_7d_cases"), predicted, columns, keep)
+    return forecast_metrics(pairs, config, columns, keep)
+
+
 def forecast_metrics(
-    pairs: DataFrame, config: ForecastConfig = ForecastConfig(), columns: Columns = Columns()
+    pairs: DataFrame, config: ForecastConfig = ForecastConfig(), columns: Columns = Columns(), keep: tuple = ()
 ) -> DataFrame:
     """Long ``(series, error_metric, metric_value)`` table over the overlap of forecast and actual.
 
+    ``keep``: further key columns, such as the origin; each combination has metrics of its own.
     Values are rounded to 4 decimals; sums run over integer hundredths or fixed decimals, so they
     do not depend on row order.
     """
-    w = Window.partitionBy(columns.series).orderBy(columns.ts)
+    keys = [columns.series, *keep]
+    w = Window.partitionBy(*keys).orderBy(columns.ts)
     rows = pairs.select(
-        columns.series,
+        *keys,
         columns.ts,
         scaled("actual", 2).alias("y"),
         scaled("forecasted_cases", 2).alias("p"),
@@ -300,7 +367,7 @@ def forecast_metrics(
     # Nine decimals of 2 / alpha, so that the whole sum is an integer.
     penalty = round(2.0 / config.winkler_alpha * 10**9)
     interval = (F.sum(hi - lo).cast(WIDE) * F.lit(10**9)).cast(WIDE) + (F.sum(miss).cast(WIDE) * F.lit(penalty)).cast(WIDE)
-    wide = rows.groupBy(columns.series).agg(
+    wide = rows.groupBy(*keys).agg(
         ratio(F.sum(error), n * F.lit(100), 4).alias("MAE"),
         ratio_wide(F.sum(square(error)), n * F.lit(10_000), 4).alias("MSE"),
         percent(F.sum(relative), F.count(relative)).alias("MAPE"),
@@ -308,8 +375,8 @@ def forecast_metrics(
         ratio(F.sum(hit), F.count(hit), 4).alias("MDA"),
         ratio_wide(interval, n * F.lit(10**11), 4).alias(winkler_name(config)),
     )
-    metrics = [F.col(f"`{c}`") for c in wide.columns if c != columns.series]
-    return wide.unpivot([columns.series], metrics, "error_metric", "metric_value").withColumnRenamed(
+    metrics = [F.col(f"`{c}`") for c in wide.columns if c not in keys]
+    return wide.unpivot(keys, metrics, "error_metric", "metric_value").withColumnRenamed(
         columns.series, "series"
     )
 

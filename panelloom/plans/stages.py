@@ -53,7 +53,8 @@ class PanelStages:
     them. Cuts go under ``root``, by default a fresh folder below the session's
     ``spark.checkpoint.dir``; without either, the first cut raises. A folder made here is removed by
     ``close()``, at the end of a ``with`` block, or when the application ends; a given root stays.
-    ``parallelism`` bounds the concurrent clients of every text stage.
+    ``parallelism`` bounds the concurrent clients of every text stage. With a ``ResponseStore`` as
+    ``responses`` these stages ask for a prompt once, whatever is built again.
 
     With ``buckets`` cuts become catalog tables instead, in one database per namespace (names start
     with ``database_prefix``). The series-and-day tables are bucketed by series: the panel is
@@ -73,12 +74,13 @@ class PanelStages:
         buckets: int = 0,
         database_prefix: str = "",
         parallelism: int | None = None,
+        responses=None,
     ):
         self.spark = fact.sparkSession
         self.fact, self.config = fact, config
         self._vaccinations, self._mobility = vaccinations, mobility
         self._root, self._own, self.cut = root, None, frozenset(cut)
-        self.parallelism = parallelism
+        self.parallelism, self.responses = parallelism, responses
         self.generator, self.generated_at = generator, generated_at
         self.buckets, self.database_prefix = buckets, database_prefix
         self._done: dict[str, DataFrame] = {}
@@ -95,15 +97,22 @@ class PanelStages:
             self._done[name] = df
         return self._done[name]
 
+    def _folder(self) -> str:
+        if self._root is None:
+            self._root = self._own = run_folder(self.spark)
+        return self._root
+
+    def _work(self, name: str) -> str:
+        """A fresh folder for what an operator writes on its way; it goes with the application."""
+        return run_folder(self.spark, f"{self._folder()}/_work/{name}")
+
     def _written(self, name: str, df: DataFrame) -> DataFrame:
         namespace = TABLES.get(name, "features")
         if self.buckets:
             table = f"{self.database_prefix}{namespace}.{name}"
             key = self.config.columns.series if name in BUCKETED else None
             return write_catalog_table(df, table, key, self.buckets)
-        if self._root is None:
-            self._root = self._own = run_folder(self.spark)
-        return write_table(df, f"{self._root}/{namespace}/{name}")
+        return write_table(df, f"{self._folder()}/{namespace}/{name}")
 
     def close(self) -> None:
         """Remove the folder this object made; frames that read from it end with it."""
@@ -217,7 +226,8 @@ class PanelStages:
         return self._stage(
             "narratives",
             lambda: text.narratives(
-                self.context(), self.generated_at, self.generator, self.config.columns, self.parallelism
+                self.context(), self.generated_at, self.generator, self.config.columns, self.parallelism,
+                self.responses,
             ),
         )
 
@@ -226,7 +236,8 @@ class PanelStages:
         return self._stage(
             "anomaly_explanations",
             lambda: text.anomaly_explanations(
-                self.anomalies(), c.report.explain_per_series, self.generator, c.columns, self.parallelism
+                self.anomalies(), c.report.explain_per_series, self.generator, c.columns, self.parallelism,
+                self.responses,
             ),
         )
 
@@ -234,8 +245,8 @@ class PanelStages:
         return self._stage(
             "global_triage",
             lambda: text.global_triage(
-                self.risk_tiers(), self.generated_at, self.generator, columns=self.config.columns,
-                parallelism=self.parallelism,
+                self.risk_tiers(), self._work("triage"), self.generated_at, self.generator,
+                self.config.report.triage_budget, self.config.columns, self.parallelism, self.responses,
             ),
         )
 
@@ -243,7 +254,8 @@ class PanelStages:
         return self._stage(
             "policy_simulations",
             lambda: text.policy_simulations(
-                self.context(), self.generated_at, self.generator, self.config.columns, self.parallelism
+                self.context(), self.generated_at, self.generator, self.config.columns, self.parallelism,
+                self.responses,
             ),
         )
 
@@ -254,6 +266,39 @@ class PanelStages:
         anomaly.anomaly_input(self.daily(), c.anomaly, c.columns).createOrReplaceTempView(f"{prefix}anomaly_input")
         self.context().createOrReplaceTempView(f"{prefix}context_view")
 
+    def store_views(self, database_prefix: str = "") -> list[str]:
+        """Views of the same three tables in the catalog, in SQL over written stages; any session may read them.
+
+        The stages they stand on are written now if they are not yet: to tables of the catalog with
+        ``buckets``, else to Parquet below ``root``, which the views name by path. Storing them again points
+        them at the stages of today. Returns their names, in database ``analytics``.
+        """
+        c = self.config
+        series, ts = c.columns.series, c.columns.ts
+        create_namespaces(self.spark, database_prefix)
+        # Averages that are columns of written features are read from there.
+        average = "features" if "features" in self.cut or "features" in self._stored else "averages"
+        at = {}
+        for stage in (average, "daily", "context"):
+            df = getattr(self, stage)()
+            if stage not in self._stored:
+                self._done[stage] = self._written(stage, df)
+                self._stored.add(stage)
+            namespace = TABLES.get(stage, "features")
+            path = f"parquet.`{self._folder()}/{namespace}/{stage}`" if not self.buckets else None
+            at[stage] = path or f"{self.database_prefix}{namespace}.{stage}"
+        f, a = c.forecast, c.anomaly
+        views = {
+            "forecast_training": f"SELECT {series}, {ts}, {AVERAGES} AS target FROM {at[average]} WHERE {ts} BETWEEN "
+            f"DATE '{f.train_start}' AND DATE '{f.train_end}' AND {AVERAGES} IS NOT NULL",
+            "anomaly_input": f"SELECT {series}, {ts}, daily_new_cases FROM {at['daily']} WHERE {ts} >= DATE '{a.start}' "
+            "AND daily_new_cases IS NOT NULL",
+            "context_view": f"SELECT * FROM {at['context']}",
+        }
+        for name, sql in views.items():
+            self.spark.sql(f"CREATE OR REPLACE VIEW {database_prefix}analytics.{name} AS {sql}")
+        return [f"{database_prefix}analytics.{name}" for name in views]
+
     def publish(self) -> dict[str, DataFrame]:
         """Write every table under its namespace, each stage reading the one written before it.
 

@@ -14,6 +14,7 @@ from panelloom.config import (
     AnomalyConfig,
     ForecastConfig,
     IngestConfig,
+    OriginConfig,
     PanelConfig,
     ReportConfig,
     RiskConfig,
@@ -29,12 +30,17 @@ REPORT_START = "1995-06-01"
 SELECTED = "NATION_13"
 VOLUME = ((100.0, 5), (50.0, 2))
 
+# Twenty cut-off dates of the rolling evaluation, the last a month before the training range ends.
+ORIGINS = OriginConfig(last="2000-11-30", step=45, count=20)
+# A small page, so that the series at hand fill several.
+TRIAGE_BUDGET = 600
+
 CONFIG = PanelConfig(
     ingest=IngestConfig(variants=VARIANTS, tracked=None),
     forecast=ForecastConfig(train_start=TRAIN_START, train_end=TRAIN_END, history_start=TRAIN_START),
     anomaly=AnomalyConfig(start=TRAIN_START),
     risk=RiskConfig(volume=VOLUME),
-    report=ReportConfig(start=REPORT_START),
+    report=ReportConfig(start=REPORT_START, triage_budget=TRIAGE_BUDGET),
 )
 
 
@@ -88,6 +94,16 @@ def panel_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_fact(panel_increments(spark, sf_dir))
 
 
+def late_rows():
+    """About one row in two hundred, which arrives after the others."""
+    return F.pmod(F.crc32(F.concat("country_region", F.lit("late"), F.col("date").cast("string"))), F.lit(211)) == 7
+
+
+def wrong_rows():
+    """About one row in two hundred, first reported wrong, in the last months of three series."""
+    return F.col("country_region").isin("NATION_3", "NATION_7", "NATION_20") & (F.col("date") >= "1998-06-01") & (F.dayofmonth("date") == 9)
+
+
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the nation and market segment of their customer."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -158,10 +174,15 @@ def mobility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_mobility(mobility_source(spark, sf_dir), tracked=None)
 
 
-def stages(spark: SparkSession, sf_dir: str, cut: tuple = ()) -> PanelStages:
-    """Stages whose cuts go below ``spark.checkpoint.dir``, or the warehouse where a session names none."""
+def folder(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, or the warehouse where a session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    root = run_folder(spark, named or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages") if cut else None
+    return run_folder(spark, named or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages")
+
+
+def stages(spark: SparkSession, sf_dir: str, cut: tuple = ()) -> PanelStages:
+    """Stages whose cuts go to a folder of their own."""
+    root = folder(spark) if cut else None
     return PanelStages(
         panel_fact(spark, sf_dir),
         CONFIG,

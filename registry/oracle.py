@@ -16,7 +16,7 @@ from panelloom.operators import text as texts
 from panelloom.operators.forecast import METRIC_ORDER, interval_multiplier
 from panelloom.operators.projections import PHASE_LABELS
 from panelloom.operators.report import risk_labels
-from registry.bindings import CONFIG, REPORT_START, SELECTED, TRAIN_END, TRAIN_START, VOLUME
+from registry.bindings import CONFIG, ORIGINS, REPORT_START, SELECTED, TRAIN_END, TRAIN_START, VOLUME
 
 KEY = "country_region"
 RISK = RiskConfig(volume=VOLUME)
@@ -346,6 +346,17 @@ SELECT *, abs(y - p) AS e, lag(y) OVER {IN_ORDER} AS before FROM (
 
 metrics("c", "c_overlap")
 metrics("c_b", "c_boverlap")
+C["c_origins"] = f"""
+SELECT CAST(DATE '{ORIGINS.last}' - CAST({ORIGINS.step} * unnest(range({ORIGINS.count})) AS INTEGER) AS DATE) AS origin"""
+# Every origin as a panel of its own: the series' name carries the date.
+C["c_otrain"] = f"""
+SELECT {KEY} || '|' || CAST(origin AS VARCHAR) AS {KEY}, date, target FROM c_train, c_origins WHERE date <= origin"""
+fit("c_ofit", "c_otrain", units("target", 2))
+C["c_oforecasts"] = predict("c_ofit")
+C["c_ooverlap"] = f"""
+SELECT f.{KEY}, f.date, f.forecasted_cases, f.forecast_lower, f.forecast_upper, a.target AS actual
+FROM c_oforecasts f JOIN c_train a ON split_part(f.{KEY}, '|', 1) = a.{KEY} AND f.date = a.date"""
+metrics("c_o", "c_ooverlap")
 C["c_quality"] = f"""
 SELECT series AS {KEY}, max(metric_value) FILTER (error_metric = 'MAPE') AS mape,
        max(metric_value) FILTER (error_metric = 'MAE') AS mae FROM c_metrics GROUP BY series"""
@@ -547,15 +558,37 @@ def draft(prompt: str) -> str:
 
 
 C["c_named"] = f"SELECT *, {KEY} AS series_name, (SELECT count(*) FROM c_risk) AS n_series FROM c_risk"
+C["c_lines"] = f"""
+SELECT *, sum(length(line) + 2) OVER (ORDER BY risk_score DESC NULLS LAST, {KEY} ROWS UNBOUNDED PRECEDING) - length(line) - 2 AS start,
+       greatest({CONFIG.report.triage_budget} - max(length(line) + 2) OVER (), 1) AS width
+FROM (SELECT *, {fill(texts.TRIAGE_LINE)} AS line FROM (SELECT *, {KEY} AS series_name FROM c_risk))"""
 C["c_triage"] = f"""
-SELECT band, page, count(*) AS n_series, {text_of(texts.TRIAGE_OPENING)}
-       || string_agg({fill(texts.TRIAGE_LINE)}, '; ' ORDER BY risk_score DESC, {KEY}) || '.' AS prompt
-FROM (SELECT *, {KEY} AS series_name, CAST(coalesce(risk_score // 10, -1) AS INTEGER) AS band,
-             CAST(CAST('0x' || substr(md5({KEY}), 1, 8) AS BIGINT) % 64 AS INTEGER) AS page FROM c_risk)
-GROUP BY band, page"""
-C["c_global"] = f"""
-SELECT CAST(sum(n_series) AS BIGINT) AS n_series, {text_of(texts.TRIAGE_GLOBAL)}
-       || string_agg({draft('prompt')}, chr(10) ORDER BY band DESC, page) AS prompt FROM c_triage"""
+SELECT CAST(start // width AS BIGINT) AS page, count(*) AS n_series, {text_of(texts.TRIAGE_OPENING)}
+       || string_agg(line, '; ' ORDER BY start) || '.' AS prompt
+FROM c_lines GROUP BY page"""
+
+
+def triage_level(prefix: str, below: str) -> None:
+    """The briefs of one level packed into the prompts of the next."""
+    C[f"{prefix}_lines"] = f"""
+SELECT *, sum(length(line) + 1) OVER (ORDER BY page ROWS UNBOUNDED PRECEDING) - length(line) - 1 AS start,
+       greatest({CONFIG.report.triage_budget} - max(length(line) + 1) OVER (), 1) AS width
+FROM (SELECT page, n_series, {draft('prompt')} AS line FROM {below})"""
+    C[prefix] = f"""
+SELECT CAST(start // width AS BIGINT) AS page, CAST(sum(n_series) AS BIGINT) AS n_series, {text_of(texts.TRIAGE_GLOBAL)}
+       || string_agg(line, chr(10) ORDER BY start) AS prompt
+FROM {prefix}_lines GROUP BY ALL"""
+
+
+# A few levels more than the series at hand need; a level of one page ends the ladder.
+LEVELS = ("c_triage", "c_level1", "c_level2", "c_level3", "c_level4")
+for _below, _above in zip(LEVELS, LEVELS[1:]):
+    triage_level(_above, _below)
+C["c_global"] = " UNION ALL ".join(
+    f"SELECT n_series, prompt FROM {level} WHERE (SELECT count(*) FROM {level}) = 1"
+    + "".join(f" AND (SELECT count(*) FROM {lower}) > 1" for lower in LEVELS[:k])
+    for k, level in enumerate(LEVELS)
+)
 
 FENCE = texts.FENCE
 C["c_responses"] = f"""
@@ -666,10 +699,14 @@ def build() -> dict[str, str]:
     q["s03_load_vaccinations"] = "SELECT * FROM c_vaccinations"
     q["s04_load_mobility"] = "SELECT * FROM c_mobility"
     q["s05_write_table"] = "SELECT * FROM c_daily"
+    q["s05_publish_version"] = "SELECT * FROM c_daily"
     q["s06_append_rows"] = "SELECT * FROM c_vaccinations"
     q["s08_view_training"] = "SELECT * FROM c_train"
     q["s08_view_anomaly_input"] = "SELECT * FROM c_input"
     q["s08_view_context"] = f"SELECT {CONTEXT_COLUMNS}"
+    q["s08_stored_training"] = q["s08_view_training"]
+    q["s08_stored_anomaly_input"] = q["s08_view_anomaly_input"]
+    q["s08_stored_context"] = q["s08_view_context"]
     q["s09_load_all"] = " UNION ALL ".join(
         f"SELECT '{name}' AS tbl, count(*) AS row_count FROM {source}"
         for name, source in (
@@ -691,6 +728,9 @@ SELECT * FROM c_fact WHERE {KEY} IN (SELECT n_name FROM nation JOIN customer ON
                                      GROUP BY n_name HAVING count(*) >= 6)"""
     q["p03_filter_date_range"] = f"SELECT * FROM c_fact WHERE date BETWEEN DATE '{TRAIN_START}' AND DATE '{TRAIN_END}'"
     complete = "rt_effective IS NOT NULL AND doubling_time_days IS NOT NULL AND signal_to_noise IS NOT NULL"
+    q["p03_clustered_range"] = (
+        f"SELECT {FEATURE_COLUMNS} FROM c_classified WHERE {KEY} = '{SELECTED}' AND date BETWEEN DATE '1997-03-01' AND DATE '1997-03-31'"
+    )
     q["p04_filter_null"] = keyed("rt_effective, doubling_time_days, signal_to_noise", f"c_derived WHERE {complete}")
     q["p04_filter_is_null"] = keyed("daily_new_cases", "c_derived WHERE rt_effective IS NULL")
     q["p05_star_extend"] = keyed(
@@ -797,6 +837,7 @@ SELECT {KEY}, date, forecasted_cases, CAST(row_number() OVER (PARTITION BY {KEY}
     q["i10_epidemic_phase"] = keyed("epidemic_phase", "c_classified")
     q["i11_endemic_flag"] = keyed("endemic_flag", "c_features")
     q["i12_feature_store"] = "SELECT * FROM c_features"
+    q["i12_incremental_refresh"] = "SELECT * FROM c_features"
     q["i13_global_latest_snapshot"] = f"""
 SELECT {KEY}, date, {ratio(units('rolling_avg_7d_cases', 2), '100', 0)} AS avg7d,
        {ratio(units('rt_effective', 3), '1000', 2)} AS rt, doubling_time_days AS dbl_time, epidemic_phase, endemic_flag
@@ -815,6 +856,9 @@ FROM c_fit_model m JOIN c_fit_offsets o ON m.{KEY} = o.{KEY} GROUP BY m.{KEY}"""
     q["f04_history_forecast"] = "SELECT * FROM c_history"
     q["f05_forecast_metrics"] = "SELECT * FROM c_metrics"
     q["f05_backtest_metrics"] = "SELECT * FROM c_b_metrics"
+    q["f05_rolling_origins"] = """
+SELECT split_part(series, '|', 1) AS series, CAST(split_part(series, '|', 2) AS DATE) AS origin, error_metric, metric_value
+FROM c_o_metrics"""
     q["f06_forecast_summary"] = "SELECT * FROM c_fc_summary"
     q["f07_forecast_trajectory"] = "SELECT * FROM c_trajectory"
     q["f08_forecast_display_split"] = REPORT_SEGMENTS
@@ -867,6 +911,13 @@ SELECT {KEY}, rt_effective, rt_variant, rt_intervention, forecast_day30, all_tim
         q[key] = f"SELECT {KEY}, {fill(name)} AS prompt FROM c_scenarios"
     q["t04_prompt_anomaly"] = f"SELECT {KEY}, date, day_of_week, prompt FROM c_anomaly_prompts"
     q["t06_batch_generate"] = f"SELECT conv_id, turn, {draft('text')} AS answer FROM conversations"
+    q["t06_stored_answers"] = f"SELECT conv_id, turn, {draft('text')} AS answer, {NO_ERROR} FROM conversations"
+    q["t06_stored_calls"] = """
+SELECT 'first' AS run, count(*) AS n_rows, count(DISTINCT text) AS n_prompts, count(DISTINCT text) AS n_calls,
+       CAST(0 AS BIGINT) AS n_failed FROM conversations WHERE role = 'user'
+UNION ALL
+SELECT 'second', count(*), count(DISTINCT text), count(DISTINCT text) - count(DISTINCT text) FILTER (role = 'user'),
+       CAST(0 AS BIGINT) FROM conversations"""
     q["t07_batch_summarise"] = f"SELECT doc_id, {brief('text')} AS brief FROM documents"
     q["t08_anomaly_explanations"] = f"""
 SELECT {KEY}, date, actual, expected, deviation_pct, anomaly_direction, day_of_week, {draft('prompt')} AS explanation, {NO_ERROR}

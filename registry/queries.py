@@ -10,8 +10,22 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from panelloom import schemas
 from panelloom.config import Columns, EndemicConfig
 from panelloom.functions.numeric import clip_low_double, half_up, ladder
-from panelloom.operators import anomaly, context, features, forecast, ingest, projections, report, risk, text, windows
-from panelloom.sources import tables
+from panelloom.operators import (
+    anomaly,
+    context,
+    features,
+    forecast,
+    ingest,
+    packing,
+    projections,
+    refresh,
+    report,
+    responses,
+    risk,
+    text,
+    windows,
+)
+from panelloom.sources import sinks, tables
 from registry import bindings as b
 from registry.bindings import CONFIG
 
@@ -75,6 +89,15 @@ def _(spark, sf):
     return b.stages(spark, sf, cut=("daily",)).daily()
 
 
+@query("s05_publish_version")
+def _(spark, sf):
+    """A catalog table published twice, the second time with corrected rows, as its readers see it."""
+    sinks.create_namespaces(spark, "panel_")
+    daily = b.stages(spark, sf, ("daily",)).daily()
+    sinks.publish_version(daily.withColumn("daily_new_cases", F.lit(0).cast("bigint")), "panel_raw.daily_versions")
+    return sinks.publish_version(daily, "panel_raw.daily_versions", KEY, 8)
+
+
 @query("s06_append_rows")
 def _(spark, sf):
     declared = schemas.VACCINATIONS
@@ -94,6 +117,21 @@ QUERIES["s08_view_anomaly_input"] = view("anomaly_input", CONTEXT)
 QUERIES["s08_view_context"] = view("context_view", CONTEXT)
 
 
+def stored_view(name: str, cut: tuple = ()):
+    """A view kept in the catalog, read by another session than the one that made it."""
+
+    def run(spark, sf):
+        b.stages(spark, sf, cut).store_views("panel_")
+        return spark.newSession().table(f"panel_analytics.{name}")
+
+    return run
+
+
+QUERIES["s08_stored_training"] = stored_view("forecast_training", CONTEXT)
+QUERIES["s08_stored_anomaly_input"] = stored_view("anomaly_input", CONTEXT)
+QUERIES["s08_stored_context"] = stored_view("context_view", CONTEXT)
+
+
 @query("s09_load_all")
 def _(spark, sf):
     st = b.stages(spark, sf, RISK_AND_FORECASTS)
@@ -140,6 +178,16 @@ def _(spark, sf):
     return projections.filter_in_list(b.panel_fact(spark, sf), KEY, allowed)
 
 
+@query("p03_clustered_range")
+def _(spark, sf):
+    """A series and a month of the features, read from a table whose row groups are ranged by both."""
+    st = b.stages(spark, sf, ("daily",))
+    rows = features.features_without_flag(st.daily(), CONFIG.features)
+    stored = sinks.write_clustered(rows, f"{b.folder(spark)}/features", KEY, "date", row_group=64 * 1024)
+    month = projections.filter_date_range(stored, "date", "1997-03-01", "1997-03-31")
+    return month.filter(F.col(KEY) == b.SELECTED)
+
+
 QUERIES["p03_filter_date_range"] = lambda spark, sf: projections.filter_date_range(
     b.panel_fact(spark, sf), "date", b.TRAIN_START, b.TRAIN_END
 )
@@ -265,7 +313,14 @@ def _(spark, sf):
 
 
 over_stages("a13_global_kpis", lambda st: report.global_kpis(st.risk_tiers()), RISK)
-over_stages("a14_list_agg", lambda st: text.triage_prompts(text.triage_lines(st.risk_tiers())), (*RISK, "risk_tiers"))
+
+
+@query("a14_list_agg")
+def _(spark, sf):
+    st = b.stages(spark, sf, (*RISK, "risk_tiers"))
+    return text.triage_prompts(text.triage_lines(st.risk_tiers()), b.folder(spark), CONFIG.report.triage_budget)
+
+
 over_stages("a15_anomaly_kpis", lambda st: anomaly.anomaly_kpis(st.anomalies()), ("anomalies",))
 over_stages("a16_recent_flag", lambda st: anomaly.recent_flag(st.anomalies()))
 QUERIES["a17_trailing_max"] = lambda spark, sf: anomaly.trailing_max(b.mobility(spark, sf), "mobility_index", 14)
@@ -345,6 +400,21 @@ for _key, _column in {
     over_features(_key, cols(_column))
 over_stages("i11_endemic_flag", lambda st: cols("endemic_flag")(st.features()), FEATURES)
 over_stages("i12_feature_store", lambda st: st.features(), FEATURES)
+
+
+@query("i12_incremental_refresh")
+def _(spark, sf):
+    """The store of a panel from which some days were missing or wrong, brought up to date."""
+    st = b.stages(spark, sf, ("combined",))
+    now = st.combined()
+    late, wrong = b.late_rows(), b.wrong_rows()
+    before = now.filter(~late).withColumn("cumulative_confirmed", F.col("cumulative_confirmed") + F.when(wrong, 40).otherwise(0))
+    old = features.feature_store(ingest.daily_delta(before), CONFIG.features, CONFIG.endemic)
+    old = sinks.write_table(old, f"{b.folder(spark)}/features")
+    changes = now.filter(late | wrong).select(KEY, "date")
+    return refresh.refresh_features(old, now, changes, CONFIG.features, CONFIG.endemic)
+
+
 over_stages("i13_global_latest_snapshot", lambda st: features.global_latest_snapshot(st.features()), ("daily", "features"))
 QUERIES["i14_mobility_index"] = lambda spark, sf: b.mobility(spark, sf).select(KEY, "date", "mobility_index")
 
@@ -375,6 +445,11 @@ over_stages(
     lambda st: forecast.forecast_metrics(forecast.backtest(st.training(), CONFIG.forecast), CONFIG.forecast),
     AVERAGES,
 )
+over_stages(
+    "f05_rolling_origins",
+    lambda st: forecast.rolling_origin_metrics(st.training(), b.ORIGINS, CONFIG.forecast),
+    AVERAGES,
+)
 over_stages("f06_forecast_summary", lambda st: forecast.forecast_summary(st.forecasts()))
 over_stages("f07_forecast_trajectory", lambda st: forecast.forecast_trajectory(st.forecasts()))
 over_stages(
@@ -505,6 +580,33 @@ def _(spark, sf):
     return text.batch_generate(b.table(spark, sf, "conversations"), "text", "answer").select("conv_id", "turn", "answer")
 
 
+def stored_twice(spark, sf):
+    """Two runs over one store: the users' turns, then all turns. Equal texts are asked once."""
+    store = responses.ResponseStore(f"{b.folder(spark)}/responses")
+    turns = b.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    first = store.generate(turns.filter("role = 'user'"), "text", "answer", run="first")
+    second = store.generate(turns, "text", "answer", run="second", waves=2)
+    return store, {"first": first, "second": second}
+
+
+@query("t06_stored_answers")
+def _(spark, sf):
+    _, runs = stored_twice(spark, sf)
+    return runs["second"].select("conv_id", "turn", "answer", "error")
+
+
+@query("t06_stored_calls")
+def _(spark, sf):
+    """Rows, different prompts and calls of each run."""
+    store, runs = stored_twice(spark, sf)
+    counts = [
+        df.agg(F.lit(run).alias("run"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("text").alias("n_prompts"))
+        for run, df in runs.items()
+    ]
+    calls = store.calls(spark).select("run", "n_calls", "n_failed")
+    return counts[0].unionByName(counts[1]).join(calls, "run", "left").na.fill(0)
+
+
 QUERIES["t07_batch_summarise"] = lambda spark, sf: text.batch_summarise(
     b.table(spark, sf, "documents"), "text", "brief"
 ).select("doc_id", "brief")
@@ -537,11 +639,9 @@ QUERIES["t15_strip_fence"] = lambda spark, sf: b.responses(spark, sf).select(
 def _(spark, sf):
     """The prompt of each user turn, about the series its conversation is dealt to."""
     st = b.stages(spark, sf, (*RISK, "risk_tiers"))
-    lines = text.series_context_line(st.risk_tiers()).withColumn(
-        "n", F.row_number().over(Window.orderBy(KEY)) - 1
-    )
+    lines = packing.numbered(text.series_context_line(st.risk_tiers()), [KEY], "n", f"{b.folder(spark)}/lines")
     history = text.conversation_context(b.table(spark, sf, "conversations"))
-    dealt = history.withColumn("n", F.pmod("conv_id", lines.select(F.count(F.lit(1))).scalar()).cast("int"))
+    dealt = history.withColumn("n", F.pmod("conv_id", lines.select(F.count(F.lit(1))).scalar()))
     return text.chat_prompts(dealt.join(lines, "n"), F.col("context_line"))
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from conftest import FORECASTS, by_key, day
 
-from panelloom.config import Columns, ForecastConfig, ReportConfig
+from panelloom.config import Columns, ForecastConfig, OriginConfig, ReportConfig
 from panelloom.operators import forecast
 
 CONFIG = ForecastConfig(train_start=str(day(0)), train_end=str(day(200)), history_start=str(day(0)))
@@ -223,3 +223,49 @@ def test_backtest_holds_out_the_last_training_days(spark):
     assert all(r["forecasted_cases"] == r["actual"] for r in rows.values())
     got = {r["error_metric"]: r["metric_value"] for r in forecast.forecast_metrics(pairs, config).collect()}
     assert got["MAE"] == 0.0 and got["MAPE"] == 0.0 and got["MDA"] == 1.0
+
+
+def rolling_panel():
+    rng = random.Random(9)
+    return {
+        "trend": [100 + 3 * i + 5 * (i % 7) for i in range(200)],
+        "noisy": [round(200 + 20 * (i % 7 == 0) + rng.gauss(0, 9), 2) for i in range(180)],
+        "gappy": [round(50 + rng.random() * 30, 2) if i % 5 and not 60 < i < 120 else None for i in range(190)],
+        "mondays": [round(10 + rng.random(), 2) if i % 7 == 1 else None for i in range(200)],
+        "late": [None] * 130 + [7.5, 8.25] + [round(9 + rng.random(), 2) for _ in range(50)],
+        "zero": [0] * 200,
+    }
+
+
+@pytest.mark.parametrize("step, count", [(11, 13), (1, 5), (60, 3), (17, 1)])
+def test_rolling_origins_equal_a_refit_for_each(spark, step, count):
+    """Prefix sums of the statistics give what filtering, fitting and comparing for every origin gives."""
+    origins = OriginConfig(last=str(day(170)), step=step, count=count)
+    train = forecast.training_view(frame(spark, rolling_panel()), CONFIG)
+    got = forecast.rolling_origin_metrics(train, origins, CONFIG)
+    assert got.columns == ["series", "origin", "error_metric", "metric_value"]
+    got = sorted((r["series"], str(r["origin"]), r["error_metric"], r["metric_value"]) for r in got.collect())
+    want = []
+    actual = train.withColumnRenamed("target", "rolling_avg_7d_cases")
+    for origin in origins.dates():
+        model = forecast.fit_forecaster(train.filter(f"date <= '{origin}'"), CONFIG)
+        pairs = forecast.overlap(actual, forecast.forecast(model, CONFIG))
+        want += [(r["series"], origin, r["error_metric"], r["metric_value"]) for r in forecast.forecast_metrics(pairs, CONFIG).collect()]
+    assert repr(got) == repr(sorted(want)) and got
+    assert len({o for _, o, _, _ in got}) == count
+
+
+def test_origin_dates_and_models(spark):
+    origins = OriginConfig(last=str(day(100)), step=10, count=3)
+    assert origins.dates() == [str(day(80)), str(day(90)), str(day(100))]
+    train = forecast.training_view(frame(spark, {"a": list(range(85)), "b": [None] * 95 + [1.0, 2.0]}), CONFIG)
+    models = {(r["country_region"], str(r["origin"])): r["n_train"] for r in forecast.fit_origins(train, origins, CONFIG).collect()}
+    assert models == {("a", str(day(80))): 81, ("a", str(day(90))): 85, ("a", str(day(100))): 85, ("b", str(day(100))): 2}
+
+
+def test_rolling_origins_read_the_training_rows_once(spark, tmp_path):
+    train = forecast.training_view(frame(spark, rolling_panel()), CONFIG)
+    train.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    plan = forecast.fit_origins(stored, OriginConfig(last=str(day(170)), step=5, count=30), CONFIG)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("FileScan") == 1

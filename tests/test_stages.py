@@ -193,3 +193,97 @@ def test_invariants(fact, tmp_path):
     assert early.count() == 0 and st.anomalies().filter("is_anomaly").count() > 0
     kept = st.features().filter(F.col("date") >= F.lit(CONFIG.forecast.history_start).cast("date")).count()
     assert st.history_forecast().count() == kept + st.forecasts().count()
+
+
+def test_a_failing_build_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_table(spark.range(5).toDF("x"), path)
+    broken = spark.range(5).select(F.raise_error(F.lit("no")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_table(broken, path)
+    assert sorted(r[0] for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3, 4]
+    # A table may be built from itself, with another schema.
+    grown = sinks.write_table(spark.read.parquet(path).select((F.col("x") + 1).alias("x"), F.lit("new").alias("y")), path)
+    assert sorted(map(tuple, grown.collect())) == [(k, "new") for k in range(1, 6)]
+    assert sorted(os.listdir(tmp_path)) == ["t"]
+
+
+def test_versions_switch_when_complete(spark):
+    sinks.create_namespaces(spark, "ver_")
+    name = "ver_ml.table1"
+    first = sinks.publish_version(spark.range(3).toDF("x"), name)
+    assert first.count() == 3
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("bigint").alias("x"))
+    with pytest.raises(Exception, match="no"):
+        sinks.publish_version(broken, name)
+    assert spark.table(name).count() == 3
+    reader = spark.table(name)  # has begun before the switch
+    second = sinks.publish_version(spark.range(7).selectExpr("id AS x", "'z' AS y"), name, "x", 4)
+    assert second.count() == 7 and spark.table(name).columns == ["x", "y"] and reader.count() == 3
+    for n in (8, 9, 10):
+        sinks.publish_version(spark.range(n).toDF("x"), name)
+    assert spark.table(name).count() == 10 and len(sinks.versions(spark, name)) == 2
+    spark.sql(f"DROP VIEW {name}")
+
+
+def test_clustered_tables_skip_row_groups(spark, tmp_path):
+    """One series and one month of a table with 40 series and two years: under a twentieth of its row groups."""
+    import pyarrow.parquet as pq
+
+    rows = spark.range(40 * 730).selectExpr(
+        "concat('s', lpad(id % 40, 2, '0')) AS country_region", "date_add(DATE '2021-01-01', CAST(id DIV 40 AS INT)) AS date",
+        "CAST(rand(3) * 1000000 AS BIGINT) AS v", "rand(4) AS w",
+    ).repartition(4)
+    path = str(tmp_path / "t")
+    stored = sinks.write_clustered(rows, path, "country_region", "date", row_group=16 * 1024)
+    assert stored.count() == 40 * 730
+    wanted = ("s17", str(day(60)), str(day(90)))
+    groups = hit = 0
+    for name in os.listdir(path):
+        if name.endswith(".parquet"):
+            meta = pq.ParquetFile(f"{path}/{name}").metadata
+            for g in range(meta.num_row_groups):
+                series, date = (meta.row_group(g).column(c).statistics for c in (0, 1))
+                groups += 1
+                hit += series.min <= wanted[0] <= series.max and not (str(date.max) < wanted[1] or str(date.min) > wanted[2])
+    assert groups >= 40 and 0 < hit < groups / 20
+    query = stored.filter((F.col("country_region") == wanted[0]) & F.col("date").between(wanted[1], wanted[2]))
+    assert "EqualTo(country_region,s17)" in query._jdf.queryExecution().toString()
+    assert query.count() == 31
+
+
+def test_stored_views_outlive_the_session(spark, fact, tmp_path):
+    stages = PanelStages(fact, CONFIG, root=str(tmp_path), cut=("daily", "features"))
+    names = stages.store_views("view_")
+    other = spark.newSession()
+    counts = [other.table(name).count() for name in names]
+    assert counts == [120, 160, 2]
+    lazy = PanelStages(fact, CONFIG)
+    assert sorted(map(str, other.table(names[2]).collect())) == sorted(map(str, lazy.context().collect()))
+    assert sorted(map(str, other.table(names[0]).collect())) == sorted(map(str, lazy.training().collect()))
+    PanelStages(fact.filter("country_region = 'a'"), CONFIG, root=str(tmp_path / "b")).store_views("view_")
+    assert spark.newSession().table(names[0]).count() == 60
+    for name in names:
+        spark.sql(f"DROP VIEW {name}")
+
+
+def test_stored_views_over_bucketed_tables(spark, fact):
+    stages = PanelStages(fact, CONFIG, buckets=4, database_prefix="bview_", cut=("daily",))
+    names = stages.store_views("bview_")
+    assert [spark.newSession().table(name).count() for name in names] == [120, 160, 2]
+    for name in names:
+        spark.sql(f"DROP VIEW {name}")
+    for database in ("raw", "features", "ml", "analytics"):
+        spark.sql(f"DROP DATABASE bview_{database} CASCADE")
+
+
+def test_no_registered_query_orders_a_whole_table_in_one_window():
+    """Windows without a partition put all rows in one task."""
+    import pathlib
+    import re
+
+    top = pathlib.Path(__file__).parent.parent
+    for folder in ("panelloom/operators", "panelloom/functions", "panelloom/plans", "panelloom/sources", "registry"):
+        for file in (top / folder).glob("*.py"):
+            if file.name != "oracle.py":
+                assert not re.search(r"Window\.orderBy|OVER \(ORDER BY", file.read_text()), file
