@@ -46,23 +46,26 @@ def drop_boilerplate(pages: DataFrame, config: LineConfig = LineConfig()) -> Dat
     """
     host, _ = split_url(F.coalesce("url", F.lit("")))
     html = F.coalesce("html", F.lit(""))
-    pages = pages.select("page_id", host.alias("host"), html.alias("html"), F.xxhash64("page_id", "url", "html").alias("_key"))
-    lines = pages.select("host", "_key", F.array_distinct(F.transform(page_lines(F.col("html")), lambda s: F.md5(s))).alias("_lines"))
-    # An outer explode: for an inner one the optimizer infers a filter and splits every page in it again.
+    # Pages are split once; the counts and the result both read the lines.
+    split = written(
+        pages.select("page_id", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("_key"), page_lines(html).alias("_all"))
+    )
+    lines = split.select("host", "_key", F.array_distinct(F.transform("_all", lambda s: F.md5(s))).alias("_lines"))
+    # An outer explode: for an inner one the optimizer infers a filter and hashes every line in it again.
     spread = written(lines.select("host", "_key", F.explode_outer("_lines").alias("line")).filter("line IS NOT NULL"))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("_pages")).filter(F.col("_pages") >= config.pages)
+    sizes = split.groupBy("host").agg(F.count("*").alias("_pages")).filter(F.col("_pages") >= config.pages)
     often = spread.groupBy("host", "line").agg(F.count("*").alias("_on")).join(sizes, "host")
     common = written(often.filter(F.col("_on") > F.col("_pages") * config.ratio).select("host", "line"))
     marks = spread.join(common, ["host", "line"]).groupBy("_key").agg(F.collect_set("line").alias("_drop"))
     marks = written(marks)
-    marked = sieve(pages, F.col("_key"), marks, F.col("_key"))
+    marked = sieve(split, F.col("_key"), marks, F.col("_key"))
     none = F.array().cast("array<string>")
     joined = marked.filter("_maybe").join(marks, "_key", "left").unionByName(
         marked.filter("NOT _maybe").withColumn("_drop", F.lit(None).cast("array<string>"))
     )
-    split = joined.select("page_id", "host", page_lines(F.col("html")).alias("_all"), F.coalesce("_drop", none).alias("_drop"))
+    joined = joined.withColumn("_drop", F.coalesce("_drop", none))
     kept = F.when(F.size("_drop") == 0, F.col("_all")).otherwise(F.filter("_all", lambda s: ~F.array_contains("_drop", F.md5(s))))
-    return split.select("page_id", "host", "_all", kept.alias("_kept")).select(
+    return joined.select("page_id", "host", "_all", kept.alias("_kept")).select(
         "page_id", "host", F.array_join("_kept", "\n").alias("text"),
         F.size("_all").cast("bigint").alias("n_lines"), (F.size("_all") - F.size("_kept")).cast("bigint").alias("n_dropped"),
     )
