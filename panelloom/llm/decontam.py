@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelloom.llm.common import PLAIN_WORD, ascii_lower, sieve, written
 
 
+# The words of PLAIN_WORD before they are lower-cased.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Files of the benchmark's tables, which are small beside the documents.
 FILES = 8
 
@@ -35,8 +37,13 @@ def _marked(grams: Column) -> Column:
 
 
 def _coarse(text: Column) -> Column:
-    """Words for fingerprints. Full lower-casing is several times faster than A-Z alone and only merges more."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(PLAIN_WORD), F.lit(0))
+    """Hashes of the words for fingerprints, each lower-cased by itself.
+
+    Lower-casing a word fully is faster than A-Z alone and only merges more: what it gives depends on the word's own
+    letters, so words that are equal but for A-Z stay equal. Over a whole text it would not: a final sigma
+    looks at what stands beyond the word.
+    """
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY_CASE), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
 
 
 def fingerprints(texts: DataFrame, config: WinnowConfig, short: list[int], whole: bool) -> DataFrame:
@@ -51,7 +58,7 @@ def fingerprints(texts: DataFrame, config: WinnowConfig, short: list[int], whole
     """
     wide = config.span - config.gram + 1
     size = F.size("_h")
-    hashed = texts.select("key", "id", F.transform(_coarse(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
+    hashed = texts.select("key", "id", _coarse(F.col("text")).alias("_h"))
     grams = hashed.select("key", "id", "_h", size.alias("n"), _grams(config.gram, size).alias("_g"))
     none = F.array().cast("array<struct<fp:bigint,at:int>>")
     lows = F.when(
