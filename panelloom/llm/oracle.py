@@ -150,16 +150,28 @@ least_of AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_i
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
 FROM s JOIN least_of USING (doc_id)"""
 
+PIECE = r"'[^.!?\n]+[.!?\n]*|[.!?\n]+'"
 OP10 = f"""
-WITH l AS (SELECT doc_id, generate_subscripts(p, 1) AS k, unnest(p) AS line FROM (
-             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
-n AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS start,
-             regexp_extract_all({low('line')}, {SPACED}) AS w FROM l),
-r AS (SELECT *, len(w) >= 10 AND row_number() OVER (PARTITION BY array_to_string(w, ' '), len(w) >= 10 ORDER BY doc_id, k) > 1 AS gone FROM n)
-SELECT doc_id, count(*) FILTER (gone) AS n_removed,
-       coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(line) AS BIGINT), ',' ORDER BY k) FILTER (gone), '') AS removed,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS text_sha256
-FROM r GROUP BY doc_id"""
+WITH p AS (SELECT doc_id, t, generate_subscripts(p, 1) AS k, unnest(p) AS piece FROM (
+             SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {PIECE}) AS p FROM documents)),
+n AS (SELECT *, sum(length(piece)) OVER w AS stop, len(regexp_extract_all(piece, {SPACED})) >= 5 AS long FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+g AS (SELECT *, coalesce(sum(CAST(long AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM n),
+s AS (SELECT doc_id, unit, any_value(t) AS t, CAST(min(stop - length(piece)) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop FROM g GROUP BY doc_id, unit),
+u AS (SELECT *, regexp_extract_all({low("t[start + 1:stop]")}, {SPACED}) AS w FROM s),
+f AS (SELECT doc_id, unit, start, stop, len(w) AS words, first_value(doc_id) OVER o AS first_doc, row_number() OVER o > 1 AS again
+      FROM u WHERE len(w) > 0 WINDOW o AS (PARTITION BY w ORDER BY doc_id, unit)),
+b AS (SELECT *, CASE WHEN lag(unit) OVER o = unit - 1 AND lag(first_doc) OVER o = first_doc THEN 0 ELSE 1 END AS new
+      FROM f WHERE again WINDOW o AS (PARTITION BY doc_id ORDER BY unit)),
+r AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM (
+        SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM b) GROUP BY doc_id, run HAVING sum(words) > 25),
+m AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM (
+        SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM (
+          SELECT *, CASE WHEN lag(stop) OVER (PARTITION BY doc_id ORDER BY start) = start THEN 0 ELSE 1 END AS new FROM r)) GROUP BY doc_id, span),
+l AS (SELECT doc_id, count(*) AS n_removed, string_agg(start || ':' || stop, ',' ORDER BY start) AS removed FROM m GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY k) AS text FROM g
+         WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = g.doc_id AND m.start < g.stop AND g.stop <= m.stop) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept.text, '')) AS text_sha256
+FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 SHARE = "CASE WHEN {v} > 0 THEN 1 + (1000000000 * ({n} + 5)) // ({total} + 5 * {v}) ELSE 0 END"
 OP11 = rf"""
