@@ -77,7 +77,7 @@ found AS ({spans_sql(CANDIDATE, 4, UNLISTED)}),
 hot AS (SELECT doc_id, start AS word, k, start + k - 1 AS a FROM (
           SELECT doc_id, start, m, unnest(range(1, length(m) - {ENTROPY.window} + 2)) AS k FROM found)
         WHERE list_aggregate(string_split(substr(m, CAST(k AS BIGINT), {ENTROPY.window}), ''), 'entropy')
-              >= CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') THEN {ENTROPY.hex_bits} ELSE {ENTROPY.mixed_bits} END),
+              >= CASE {" ".join(f"WHEN regexp_full_match(m, '{c}+') THEN {b}" for c, b in ENTROPY.classes)} ELSE {ENTROPY.mixed_bits} END),
 islands AS (SELECT *, sum(CASE WHEN a <= last + {ENTROPY.window} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, word ORDER BY a) AS island
             FROM (SELECT *, lag(a) OVER (PARTITION BY doc_id, word ORDER BY a) AS last FROM hot)),
 runs AS (SELECT doc_id, min(a) AS start, 4 AS rank, max(a) + {ENTROPY.window} AS stop FROM islands GROUP BY doc_id, word, island),

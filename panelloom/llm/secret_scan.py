@@ -29,39 +29,61 @@ ALLOWED = (
 )
 
 
+# Character classes, the first that holds a whole candidate counts, and the least entropy of their windows in bits.
+CLASSES = (
+    ("[0-9a-fA-F]", 3.1),  # of log2(16) = 4
+    ("[A-Z2-7]", 3.6),  # base 32
+    ("[0-9a-z]", 3.6),  # base 36
+    ("[0-9A-Z]", 3.6),
+)
+
+
 @dataclass(frozen=True)
 class EntropyConfig:
     window: int = 24  # characters
-    hex_bits: float = 3.1  # least entropy of a window of a candidate of hex digits, of log2(16) = 4
-    mixed_bits: float = 3.9  # of a candidate of other characters, of log2(24) = 4.58
+    classes: tuple = CLASSES
+    mixed_bits: float = 3.9  # least entropy of a window of a candidate of other characters, of log2(24) = 4.58 at most
     allowed: tuple = ALLOWED
 
 
+# Lengths that are summed at once, and windows that are counted at once.
+BLOCK, WINDOWS = 128, 4096
 SPANS = "array<struct<start:int,rank:int,stop:int>>"
 
 
+def _running(steps: Column) -> Column:
+    """What comes before each place of an array of lengths: sums within blocks, and sums of the blocks before.
+
+    Appending to one array would copy it once for each place.
+    """
+
+    def before(xs: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        add = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(xs, zero, add, lambda s: s["out"])
+
+    starts = F.sequence(F.lit(1), F.size(steps), F.lit(BLOCK))
+    blocks = F.when(F.size(steps) > 0, F.transform(starts, lambda i: F.slice(steps, i, BLOCK)))
+    sums = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x))
+    both = F.arrays_zip(blocks.alias("steps"), before(sums).alias("upto"))
+    return F.flatten(F.transform(both, lambda z: F.transform(before(z["steps"]), lambda at: at + z["upto"])))
+
+
 def _spans(text: Column, pattern: str, rank: int, keep=None) -> Column:
     """Places of a pattern's matches: gaps and matches alternate, so running lengths give the offsets."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    lengths = F.transform(found, lambda m: F.length(m))
-    steps = F.transform(
-        F.arrays_zip(gaps.alias("gap"), lengths.alias("long"), *([keep.alias("keep")] if keep is not None else [])),
-        lambda s: F.struct(
-            F.length(s["gap"]).alias("gap"), s["long"].alias("long"), (s["keep"] if keep is not None else F.lit(True)).alias("keep")
-        ),
-    )
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-
-    def step(state, s):
-        start = state["at"] + s["gap"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + s["long"]).alias("stop"))
-        return F.struct(
-            (start + F.coalesce(s["long"], F.lit(0))).alias("at"),
-            F.when(s["long"].isNotNull() & s["keep"], F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"),
-        )
+    lengths = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
+    # The gap after the last match is of no use.
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda g: F.length(g)), 1, F.size(lengths))
+    steps = F.zip_with(gaps, lengths, lambda g, m: g + m)
+    parts = [_running(steps).alias("at"), gaps.alias("gap"), lengths.alias("long")]
+    placed = F.arrays_zip(*parts, *([keep.alias("keep")] if keep is not None else []))
+    kept = placed if keep is None else F.filter(placed, lambda s: s["keep"])
+
+    def span(s):
+        start = s["at"] + s["gap"]
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + s["long"]).alias("stop"))
 
-    return F.aggregate(steps, empty, step, lambda state: state["out"])
+    return F.coalesce(F.transform(kept, span), F.array().cast(SPANS))
 
 
 def _only_if(condition: Column, spans: Column) -> Column:
@@ -83,9 +105,11 @@ def _candidates(text: Column, config: EntropyConfig) -> Column:
         return keep
 
     def coded(c):
-        places = F.sequence(F.lit(1), F.length(c["word"]))
-        codes = F.transform(places, lambda i: F.instr(F.lit(ALPHABET), F.substr(c["word"], i, F.lit(1))) - 1)
-        bound = F.when(c["word"].rlike("^[0-9a-fA-F]+$"), F.lit(config.hex_bits)).otherwise(F.lit(config.mixed_bits))
+        letters = F.filter(F.split(c["word"], ""), lambda x: x != "")
+        codes = F.transform(letters, lambda x: F.instr(F.lit(ALPHABET), x) - 1)
+        bound = F.lit(config.mixed_bits)
+        for pattern, bits in reversed(config.classes):
+            bound = F.when(c["word"].rlike(f"^{pattern}+$"), F.lit(bits)).otherwise(bound)
         return F.struct(c["span"]["start"].alias("start"), codes.alias("codes"), bound.alias("bound"))
 
     return F.transform(F.filter(found, unlisted), coded)
@@ -95,7 +119,8 @@ def _hot_spans(candidate: Column, config: EntropyConfig) -> Column:
     """Merged windows of a candidate whose entropy reaches the bound of its character class.
 
     There is one counter per character. A step moves two of them, and the sum of c * log2(c) over all
-    counters changes by what these two change. Hot windows that touch become one span.
+    counters changes by what these two change. Hot windows that touch become one span. Long candidates are
+    counted some thousand windows at a time, and the spans that touch across these stretches joined after.
     """
     n = config.window
     weights = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(n + 2)])
@@ -115,25 +140,47 @@ def _hot_spans(candidate: Column, config: EntropyConfig) -> Column:
     def closed(state):
         return F.when(state["first"] >= 0, F.concat(state["out"], F.array(span(state)))).otherwise(state["out"])
 
-    def step(state, i):
-        comes = F.get(candidate["codes"], i)
-        goes = F.coalesce(F.get(candidate["codes"], i - n), F.lit(-1))
-        before = F.coalesce(F.get(state["counts"], goes), F.lit(0))
-        there = F.get(state["counts"], comes) - (comes == goes).cast("int")
-        left = F.when(goes >= 0, weight(before - 1) - weight(before)).otherwise(0.0)
-        total = state["sum"] + left + weight(there + 1) - weight(there)
-        counts = F.transform(state["counts"], lambda c, j: c + (j == comes).cast("int") - (j == goes).cast("int"))
-        hot = (i >= n - 1) & (F.lit(math.log2(n)) - total / n >= candidate["bound"])
-        opens = hot & (i - n + 1 > state["stop"])
-        return F.struct(
-            counts.alias("counts"),
-            total.alias("sum"),
-            F.when(opens, i - n + 1).otherwise(state["first"]).alias("first"),
-            F.when(hot, i + 1).otherwise(state["stop"]).alias("stop"),
-            F.when(opens, closed(state)).otherwise(state["out"]).alias("out"),
+    def stretch(begin):
+        """Spans of the windows that start from ``begin`` on."""
+
+        def step(state, i):
+            comes = F.get(candidate["codes"], i)
+            goes = F.when(i - n >= begin, F.get(candidate["codes"], i - n)).otherwise(-1)
+            before = F.coalesce(F.get(state["counts"], goes), F.lit(0))
+            there = F.get(state["counts"], comes) - (comes == goes).cast("int")
+            left = F.when(goes >= 0, weight(before - 1) - weight(before)).otherwise(0.0)
+            total = state["sum"] + left + weight(there + 1) - weight(there)
+            counts = F.transform(state["counts"], lambda c, j: c + (j == comes).cast("int") - (j == goes).cast("int"))
+            hot = (i - begin >= n - 1) & (F.lit(math.log2(n)) - total / n >= candidate["bound"])
+            opens = hot & (i - n + 1 > state["stop"])
+            return F.struct(
+                counts.alias("counts"),
+                total.alias("sum"),
+                F.when(opens, i - n + 1).otherwise(state["first"]).alias("first"),
+                F.when(hot, i + 1).otherwise(state["stop"]).alias("stop"),
+                F.when(opens, closed(state)).otherwise(state["out"]).alias("out"),
+            )
+
+        last = F.least(begin + F.lit(WINDOWS + n - 2), F.size(candidate["codes"]) - 1)
+        return F.aggregate(F.sequence(begin, last), zero, step, closed)
+
+    # No stretch begins where no window is left.
+    begins = F.sequence(F.lit(0), F.size(candidate["codes"]) - n, F.lit(WINDOWS))
+    return _joined(F.flatten(F.transform(begins, stretch)))
+
+
+def _joined(spans: Column) -> Column:
+    """Spans in order, those that touch as one: each starts where none before reaches, and stops before the next start."""
+
+    def join(xs: Column) -> Column:
+        opens = F.filter(xs, lambda s, i: (i == 0) | (s["start"] > F.get(xs, i - 1)["stop"]))
+        closes = F.filter(xs, lambda s, i: (i == F.size(xs) - 1) | (F.get(xs, i + 1)["start"] > s["stop"]))
+        return F.zip_with(
+            opens, closes, lambda a, b: F.struct(a["start"].alias("start"), a["rank"].alias("rank"), b["stop"].alias("stop"))
         )
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(candidate["codes"]) - 1), zero, step, closed)
+    # The list is bound once, not computed anew for each of its places.
+    return F.element_at(F.transform(F.array(spans), join), 1)
 
 
 def scan(docs: DataFrame, config: EntropyConfig = EntropyConfig()) -> DataFrame:
