@@ -113,7 +113,7 @@ def entropy_spans(text, config):
         word = m.group()
         if any(re.search(p, word) for p in config.allowed):
             continue
-        bound = config.hex_bits if re.fullmatch("[0-9a-fA-F]+", word) else config.mixed_bits
+        bound = next((bits for c, bits in config.classes if re.fullmatch(f"{c}+", word)), config.mixed_bits)
         runs = []
         for i in range(len(word) - config.window + 1):
             if entropy(word[i : i + config.window]) >= bound:
@@ -179,26 +179,43 @@ def maximal_chats(turns):
     return {c for c, v in said.items() if not any(len(w) > len(v) and w[: len(v)] == v for w in said.values())}
 
 
-def repeats(docs, least=10):
-    """Rows (id, text) to (id, text without repeats, removed (start, stop))."""
-    rank = lambda d: (d is None, d)
+def units(text, least=5):
+    """(words, start, stop): sentences or lines of ``least`` words, with the shorter ones before them."""
+    out, start = [], 0
+    for piece in re.finditer(r"[^.!?\n]+[.!?\n]*|[.!?\n]+", text):
+        if len(piece.group().encode().split()) >= least:
+            out.append((tuple(text[start : piece.end()].encode().lower().split()), start, piece.end()))
+            start = piece.end()
+    if text[start:].encode().split():
+        out.append((tuple(text[start:].encode().lower().split()), start, len(text)))
+    return out
+
+
+def repeats(docs, keys, most=25):
+    """Rows (id, text) with a tie-breaking key each to (id, text without repeats, removed (start, stop))."""
+    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0, keys[i]))
+    cut = [units(text or "") for _, text in docs]
     first = {}
-    norm = lambda line: b" ".join(line.encode().lower().split())
-    for doc, text in docs:
-        for line in (text or "").split("\n"):
-            if len(norm(line).split()) >= least:
-                first[norm(line)] = min(first.get(norm(line), (True, math.inf)), rank(doc) if doc is not None else (True, math.inf))
+    for i in order:
+        for k, (words, _, _) in enumerate(cut[i]):
+            first.setdefault(words, (docs[i][0], keys[i], k))
     out = []
-    for doc, text in docs:
-        start, seen, kept, gone = 0, set(), [], []
-        for line in (text or "").split("\n"):
-            key = norm(line)
-            mine = (rank(doc) if doc is not None else (True, math.inf)) == first.get(key)
-            if key in first and (not mine or key in seen):
-                gone.append((start, start + len(line)))
-            else:
-                kept.append(line)
-                seen.add(key)
-            start += len(line) + 1
-        out.append((doc, text if not gone else "\n".join(kept), gone))
+    for i, (doc, text) in enumerate(docs):
+        spans, run = [], []
+        for k, (words, start, stop) in enumerate([*cut[i], ((), 0, 0)]):
+            there = first.get(words)
+            again = there is not None and there != (doc, keys[i], k)
+            if run and again and there[1] == run[-1][0]:
+                run.append((there[1], len(words), start, stop))
+                continue
+            if sum(r[1] for r in run) > most:
+                if spans and spans[-1][1] == run[0][2]:
+                    spans[-1] = (spans[-1][0], run[-1][3])
+                else:
+                    spans.append((run[0][2], run[-1][3]))
+            run = [(there[1], len(words), start, stop)] if again else []
+        left, at = "", 0
+        for start, stop in spans:
+            left, at = left + text[at:start], stop
+        out.append((doc, text if text is None else left + text[at:], spans))
     return out

@@ -94,6 +94,17 @@ def test_contamination_equals_brute_force(spark, docs):
     assert sum(r[5] for r in got) == 6
 
 
+def test_final_sigma_depends_on_its_word_alone(spark):
+    """A letter after the mark behind a capital sigma must not change the word before it."""
+    item = " ".join(f"{c}Σ" for c in "ΑΒΓΔΕΖΗΘΙΚ")
+    docs = [(1, item.replace(" ", ".")), (2, item), (3, item.replace(" ", ":") + "'x"), (4, item.replace("Σ", "σ"))]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = rows_of(decontam.contamination(frame, items))
+    assert got == ordered(brute.contamination(docs, [(1, item)]))
+    assert [r[2] for r in got] == [10, 10, 10, 0]
+
+
 def test_contamination_of_nothing(spark, docs, none):
     nothing = spark.createDataFrame([], "item_id bigint, text string")
     assert not any(r["contaminated"] for r in decontam.contamination(docs, nothing).collect())
@@ -358,6 +369,37 @@ def test_toxicity_of_awkward_rows(spark, docs, none):
     assert {r["predicted"] for r in toxicity.scored(docs, nothing).collect()} == {0}
 
 
+def test_spans_of_long_candidates_and_of_many_matches(spark):
+    """A candidate of many stretches equals brute force; a megabyte and 30,000 matches take seconds."""
+    import random
+    import time
+
+    deal = random.Random(2)
+    letters = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"
+    any_of = lambda n, a=letters: "".join(deal.choice(a) for _ in range(n))
+    mixed = "".join(any_of(deal.randint(1, 300)) + "a" * deal.randint(1, 90) for _ in range(60))
+    texts = [mixed, any_of(9000), "a" * 4120 + any_of(40) + "a" * 4100, any_of(24), any_of(4119), any_of(4096 + 24), any_of(40, letters[:36]), any_of(32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secret_scan.scan(frame).collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == sorted(brute.base_spans(text) + brute.entropy_spans(text, secret_scan.EntropyConfig())), k
+    long = [(1, any_of(1_000_000)), (2, "token=abcdefgh " * 30_000)]
+    begun = time.monotonic()
+    rows = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame(long, "doc_id bigint, text string")).collect()}
+    assert time.monotonic() - begun < 90
+    assert rows[1][0]["start"] == 0 and rows[1][-1]["stop"] == 1_000_000 and len(rows[2]) == 30_000 and rows[2][-1]["start"] == 15 * 29_999
+
+
+def test_entropy_classes_miss_few_random_strings():
+    import random
+
+    deal, config = random.Random(7), secret_scan.EntropyConfig()
+    kinds = {"0123456789ABCDEF": 0.04, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567": 0.04, "0123456789abcdefghijklmnopqrstuvwxyz": 0.03, secret_scan.ALPHABET[:64]: 0.03}
+    for alphabet, most in kinds.items():
+        missed = sum(not brute.entropy_spans("".join(deal.choice(alphabet) for _ in range(24)), config) for _ in range(2000))
+        assert missed <= most * 2000, alphabet
+
+
 # URLs
 
 
@@ -407,6 +449,17 @@ def test_mined_rules_equal_brute_force(spark):
     assert got == {i for i, s in sets.items() if any(r <= s for r in rules)}
 
 
+def test_many_tokens_of_one_site_are_one(spark):
+    """Twelve segments that always stand together: one rule, not one for each subset of them."""
+    deep = "/".join(f"part{chr(97 + k)}" for k in range(12))
+    pages = [(i, f"http://spam.example.io/{deep}/{i}") for i in range(60)] + [(i, f"http://news.example.io/other/{i}") for i in range(60, 120)]
+    pages += [(900, "http://x.example.io/parta/partb"), (901, "http://x.example.io/partz"), (902, "http://spam-x.example.io/")]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string")
+    marks = spark.createDataFrame([(i, int(i >= 60), 0) for i in range(120)], "doc_id bigint, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(frame, marks, urls.UrlConfig(rules=())).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {*range(60), 900, 902}
+
+
 # Chats
 
 
@@ -452,6 +505,19 @@ def test_boilerplate_lines(spark):
     assert lines.drop_boilerplate(frame.limit(0)).count() == 0
 
 
+def test_boilerplate_ties_repeated_and_long_pages(spark):
+    rows = [(i, "http://h/", f"<p>{'tie' if i < 3 else 'own'}</p><p>page {i}</p>") for i in range(9)]
+    rows.append((9, "http://h/", "<p>" + "</p><p>".join(f"line {k}" for k in range(60_000)) + "</p>"))
+    rows += [(7, "http://twice/", "<p>same</p><p>text</p>")] * 6
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {}
+    for r in lines.drop_boilerplate(frame).collect():
+        got.setdefault((r["host"], r["page_id"]), []).append((r["n_lines"], r["n_dropped"]))
+    # 3 of 10 pages is the ratio itself, which is not more than it; 6 of 10 is.
+    assert got["h", 0] == [(2, 0)] and got["h", 5] == [(2, 1)] and got["h", 9] == [(60_000, 0)]
+    assert got["twice", 7] == [(2, 2)] * 6
+
+
 # Passages
 
 
@@ -459,13 +525,49 @@ def passage_rows(df):
     return ordered((r["doc_id"], r["text"], tuple((p["start"], p["stop"]) for p in r["removed"])) for r in df.collect())
 
 
+def repeats_of(df):
+    """Brute force over a frame's rows, with the operator's key of a document."""
+    key = F.xxhash64("doc_id", "text", F.octet_length("text"))
+    rows = df.select("doc_id", "text", key.alias("k")).collect()
+    return ordered((d, t, tuple(g)) for d, t, g in brute.repeats([(r[0], r[1]) for r in rows], [r[2] for r in rows]))
+
+
 def test_repeats_equal_brute_force(docs, none):
-    wanted = ordered((d, t, tuple(g)) for d, t, g in brute.repeats(TEXTS))
+    wanted = repeats_of(docs)
     assert passage_rows(passages.drop_repeats(docs)) == wanted
     assert passages.drop_repeats(none).count() == 0
 
 
+def sentences(n, start=0, words=7):
+    return " ".join(" ".join(f"s{start + i}x{j}" for j in range(words)) + "." for i in range(n))
+
+
+def test_passages_in_short_lines_inside_lines_and_under_null_ids(spark):
+    shared = sentences(8, 100)  # 56 words
+    broken = "\n".join(" ".join(shared.split()[i : i + 6]) for i in range(0, 56, 6))
+    own = lambda k: sentences(6, 1000 * k)
+    rows = [
+        (1, own(1) + " begins here and goes on " + shared + " " + own(2)),
+        (2, own(3) + " " + shared + " " + own(4)),
+        (3, broken),
+        (4, own(5) + "\n" + broken + "\n" + own(6)),
+        (5, sentences(3, 100) + " " + own(7)),  # 21 words only
+        (6, "Yes. No. " + own(8) + "\nAll rights reserved by the makers of this.\n" + own(9)),
+        (7, "Yes. No. " + own(10) + "\nAll rights reserved by the makers of this.\n" + own(11)),
+        (None, own(12) + " " + shared.upper()), (None, own(13) + " " + shared), (None, own(12) + " " + shared.upper()),
+        (8, own(14) + " " + own(14)),
+        (9, own(15)), (9, own(15) + " tail"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = passage_rows(passages.drop_repeats(frame))
+    assert got == repeats_of(frame)
+    cut = {d for d, _, spans in got if spans}
+    assert cut == {2, 4, None, 8, 9}
+    assert sum(bool(spans) for d, _, spans in got if d is None) == 3
+    assert sum(bool(spans) for d, _, spans in got if d == 9) == 1
+
+
 @needs_tables
 def test_repeats_of_the_tables(tables):
-    docs = [(r[0], r[1]) for r in tables("documents").select("doc_id", "text").collect()]
-    assert passage_rows(passages.drop_repeats(tables("documents"))) == ordered((d, t, tuple(g)) for d, t, g in brute.repeats(docs))
+    docs = tables("documents").select("doc_id", "text")
+    assert passage_rows(passages.drop_repeats(docs)) == repeats_of(docs)
