@@ -93,9 +93,10 @@ def contamination(docs: DataFrame, items: DataFrame, config: WinnowConfig = Winn
     """``(doc_id, text)`` against ``(item_id, text)``: n_words, n_hit, n_items, items_sha256, contaminated.
 
     A window is ``span`` words in a row of an item, or the whole of a shorter item; a document word inside
-    an occurrence of a window is hit. Fingerprints of both sides are joined; each hit fixes how an item
-    lies along a document, and along that diagonal equal words are extended to runs, of which those of a
-    window or more count. Only documents with a hit are read again with their words.
+    an occurrence of a window is hit. Different fingerprints of both sides are joined; each hit extends to the windows
+    around it, whose words are compared with the items' windows, and items are looked up for the windows
+    that agree. So a fingerprint that many documents and many items share costs their sum, not their
+    product. Only documents with a hit are read again with their words.
 
     Null and empty texts have no words. Items without words hit nothing. A null item_id is listed as an
     empty string; items that repeat an id count once. Rows that repeat a doc_id are judged by their own
@@ -110,43 +111,41 @@ def contamination(docs: DataFrame, items: DataFrame, config: WinnowConfig = Winn
     # At most span - 1 numbers.
     short = [r[0] for r in items.filter(F.size("words") < config.span).select(F.size("words")).distinct().collect()]
     prints = fingerprints(items.select("key", F.col("item").alias("id"), F.array_join("words", " ").alias("text")), config, sorted(short), True)
-    prints = written(prints.select(F.col("key").alias("item_key"), "n", "fp", F.col("at").alias("item_at")).filter("item_at >= 0"))
+    # A print stands once, however many items share it: which items a window belongs to is looked up last.
+    prints = prints.filter("at >= 0").select(F.col("fp").alias("item_fp"), F.least("n", F.lit(config.span)).alias("n")).distinct()
+    prints = written(prints.coalesce(FILES))
     found = fingerprints(docs.select("key", F.col("doc_id").alias("id"), "text"), config, sorted(short), False)
-    pairs = found.withColumnRenamed("n", "n_words").join(
-        prints.withColumnRenamed("fp", "item_fp"), (F.col("fp") == F.col("item_fp")) & (F.col("at") >= 0), "left"
-    )
-    met = pairs.filter("at = -1 OR item_key IS NOT NULL")
-    met = written(met.select("key", "id", "n_words", "item_key", (F.col("at") - F.col("item_at")).alias("shift"), "n"))
-    hits = met.filter("item_key IS NOT NULL").select("key", "item_key", "shift", "n").distinct()
-    counted = met.filter("item_key IS NULL").select("key", F.col("id").alias("doc_id"), F.col("n_words").cast("bigint").alias("n_words"))
-
-    # The words of the marked documents, each along its diagonals.
-    lying = hits.groupBy("key").agg(F.collect_list(F.struct("item_key", "shift", "n")).alias("_hits"))
+    pairs = found.withColumnRenamed("n", "n_words").join(prints, (F.col("fp") == F.col("item_fp")) & (F.col("at") >= 0), "left")
+    met = pairs.filter("at = -1 OR n IS NOT NULL")
+    met = written(met.select("key", "id", "n_words", "at", "n"))
+    counted = met.filter("at = -1").select("key", F.col("id").alias("doc_id"), F.col("n_words").cast("bigint").alias("n_words"))
+    hits = met.filter("at >= 0").select("key", "at", "n").distinct()
+
+    # Every hit extends to the windows that hold it; their words are compared as they stand.
+    lying = hits.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("_hits"))
     again = sieve(docs, F.col("key"), hits, F.col("key")).filter("_maybe")
     worded = again.select("key", words(F.col("text")).alias("_w")).join(lying, "key")
-    laid = worded.select("key", "_w", F.explode("_hits").alias("_hit")).select(
-        "key", F.col("_hit.item_key").alias("item_key"), F.col("_hit.shift").alias("shift"),
-        F.slice("_w", F.greatest(F.col("_hit.shift"), F.lit(0)) + 1, F.col("_hit.n") + F.least(F.col("_hit.shift"), F.lit(0))).alias("_part"),
-    )
-    pairs = laid.join(items.select(F.col("key").alias("item_key"), "item", "words"), "item_key")
-    # Place i of the part lies on place i + skipped of the item; one character tells whether the words are equal.
-    skipped = F.greatest(-F.col("shift"), F.lit(0))
-    equal = F.transform("_part", lambda w, i: F.when(w == F.get("words", i + F.col("_skip")), F.lit("1")).otherwise(F.lit("0")))
-    pairs = pairs.withColumn("_skip", skipped).withColumn("_equal", F.array_join(equal, ""))
+    reach = config.span - config.gram
+
+    def starts(hit: Column) -> Column:
+        first = F.when(hit["n"] < config.span, hit["at"]).otherwise(F.greatest(hit["at"] - reach, F.lit(0)))
+        last = F.when(hit["n"] < config.span, hit["at"]).otherwise(F.least(hit["at"], F.size("_w") - config.span))
+        inside = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(inside, lambda i: F.struct(i.alias("start"), hit["n"].alias("n")))
+
+    windows = F.array_distinct(F.flatten(F.transform("_hits", starts)))
+    window = lambda words_, start, n: F.array_join(F.slice(words_, start + 1, n), " ")
+    listed = F.transform(windows, lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), window(F.col("_w"), x["start"], x["n"]).alias("window")))
+    laid = worded.select("key", F.explode(listed).alias("_x")).select("key", "_x.*")
     least = F.least(F.lit(config.span), F.size("words"))
-    starts = F.filter(
-        F.sequence(F.lit(0), F.length("_equal") - F.col("_least")),
-        lambda i: F.col("_equal").substr(i + 1, F.col("_least")) == F.repeat(F.lit("1"), F.col("_least")),
-    )
-    runs = pairs.withColumn("_least", least).filter(F.length("_equal") >= F.col("_least"))
-    runs = runs.select("key", "item", "_least", (F.col("shift") + F.col("_skip")).alias("_from"), starts.alias("_starts"))
-    runs = runs.select("key", "item", "_least", "_from", F.explode_outer("_starts").alias("_start")).filter("_start IS NOT NULL")
-    # Both uses below share the exchange of this distinct.
-    runs = runs.select("key", "item", "_least", (F.col("_from") + F.col("_start")).alias("_start")).distinct()
-    covered = F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_least") - 1))
+    parts = F.transform(F.sequence(F.lit(0), F.size("words") - least), lambda i: window(F.col("words"), i, least))
+    wanted = items.select("item", least.alias("n"), F.explode(F.array_distinct(parts)).alias("window")).distinct()
+    wanted = written(wanted.coalesce(FILES))
+    runs = written(laid.join(wanted.select("n", "window").distinct(), ["n", "window"], "left_semi"))
+    covered = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))
     places = runs.select("key", covered.alias("_place")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
-    listed = runs.select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("_items"))
-    verdicts = places.join(listed, "key")
+    named = runs.select("key", "n", "window").distinct().join(wanted, ["n", "window"]).select("key", "item").distinct()
+    verdicts = places.join(named.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("_items")), "key")
     out = counted.join(verdicts, "key", "left")
     return out.select(
         "doc_id", "n_words",

@@ -105,6 +105,19 @@ def test_final_sigma_depends_on_its_word_alone(spark):
     assert [r[2] for r in got] == [10, 10, 10, 0]
 
 
+def test_many_items_and_documents_that_share_one_gram(spark):
+    """A gram in 1,000 items and 2,000 documents, of which two share more: no product of the two."""
+    gram = "once upon a time there"
+    items = [(i, f"{gram} i{i}a i{i}b i{i}c i{i}d i{i}e i{i}f") for i in range(1000)]
+    docs = [(i, f"d{i}x d{i}y {gram} d{i}a d{i}b d{i}c d{i}d d{i}e") for i in range(2000)]
+    docs += [(5000, f"so {items[7][1]}"), (5001, f"{gram} {items[9][1]} and {items[8][1]}")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    got = decontam.contamination(frame, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert rows_of(got) == ordered(brute.contamination(docs, items))
+    plan = got._jdf.queryExecution().toString()
+    assert got.filter("contaminated").count() == 2 and "Cartesian" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_contamination_of_nothing(spark, docs, none):
     nothing = spark.createDataFrame([], "item_id bigint, text string")
     assert not any(r["contaminated"] for r in decontam.contamination(docs, nothing).collect())
