@@ -128,8 +128,11 @@ def drop_repeats(docs: DataFrame, config: PassageConfig = PassageConfig()) -> Da
     found = written(given.mapInArrow(hashed(config.sentence), schema))
     counts = found.groupBy("digest").agg(F.min(F.struct("rank", "key", "at")).alias("first"), F.count("*").alias("_n"))
     repeated = counts.filter("_n > 1").select("digest", F.col("first.key").alias("first"), F.col("first.at").alias("_at"))
+    repeated = written(repeated)
+    # Units that stand once, which most do, are not shuffled again.
+    again = sieve(found.drop("rank"), F.col("digest"), repeated, F.col("digest")).filter("_maybe").drop("_maybe")
     # Rows that repeat a document repeat its units, the first place too.
-    later = found.drop("rank").join(repeated, "digest").filter((F.col("key") != F.col("first")) | (F.col("at") != F.col("_at")))
+    later = again.join(repeated, "digest").filter((F.col("key") != F.col("first")) | (F.col("at") != F.col("_at")))
     repeats = F.collect_set(F.struct("at", "words", "start", "stop", "first"))
     marks = later.groupBy("key").agg(repeats.alias("repeats"))
     cuts = written(marks.mapInArrow(spans_of(config.words), "key bigint, removed array<struct<start:int,stop:int>>"))
