@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelloom.config import AnomalyConfig, Columns, ForecastConfig
 from panelloom.functions.numeric import half_up, normal_cdf, ratio
@@ -81,6 +81,32 @@ def model_anomalies(
     )
 
 
+def empirical_percentiles(
+    anomalies: DataFrame, prediction_interval: float = 0.95, clip: float = 20.0, columns: Columns = Columns()
+) -> DataFrame:
+    """Rows of a detector with ``rank_percentile`` and ``is_rare``, from how often such distances were seen.
+
+    The percentile of a row is the share of its series' rows whose distance is at most its own; a row is rare where
+    fewer than half of what the interval leaves out lie as far, or farther, on its side. Unlike the normal formula
+    this needs no shape of the residuals. A series is summed up by its distances in thousandths, clipped: at
+    most ``2000 * clip + 1`` counts, whatever the number of its rows, and counts of later rows can be added.
+    """
+    series, ts = columns.series, columns.ts
+    far = round(clip * 1000)
+    steps = F.greatest(F.lit(-far), F.least(F.lit(far), F.round(F.col("distance") * 1000).cast("int"))).alias("__step")
+    rows = anomalies.filter("distance IS NOT NULL").select("*", steps)
+    counts = rows.groupBy(series, "__step").agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(series)
+    upto = Window.partitionBy(series).orderBy("__step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summary = counts.withColumns({"__upto": F.sum("__n").over(upto), "__all": F.sum("__n").over(whole)})
+    # In millionths of the rows: either tail holds at most so many.
+    tail = round((1 - prediction_interval) / 2 * 10**6)
+    at_least = F.col("__all") - F.col("__upto") + F.col("__n")
+    rare = F.least("__upto", at_least) * 10**6 <= F.col("__all") * tail
+    shares = summary.select(series, "__step", ratio("__upto", "__all", 6).alias("rank_percentile"), rare.alias("is_rare"))
+    return rows.join(shares, [series, "__step"]).drop("__step").select(series, ts, *[c for c in anomalies.columns if c not in (series, ts)], "rank_percentile", "is_rare")
+
+
 def flagged(anomalies: DataFrame) -> DataFrame:
     return anomalies.filter("is_anomaly")
 

@@ -12,9 +12,11 @@ from panelloom.operators import anomaly, context, features, forecast, ingest, ri
 from panelloom.sources.sinks import (
     clustered,
     create_namespaces,
+    publish_version,
     remove_folder,
     run_folder,
     write_catalog_table,
+    write_clustered,
     write_table,
 )
 
@@ -56,9 +58,13 @@ class PanelStages:
     ``parallelism`` bounds the concurrent clients of every text stage. With a ``ResponseStore`` as
     ``responses`` these stages ask for a prompt once, whatever is built again.
 
+    With ``ranged`` the series-and-day tables are written in ranges of series and day, so that reports on a
+    few series or days skip most of their row groups; it costs a shuffle for each such table.
+
     With ``buckets`` cuts become catalog tables instead, in one database per namespace (names start
     with ``database_prefix``). The series-and-day tables are bucketed by series: the panel is
-    shuffled by series once, and the windows of every later stage read it without a shuffle.
+    shuffled by series once, and the windows of every later stage read it without a shuffle. With ``versions``
+    a name is a view of the newest complete version of its table, so a run that fails leaves the last one readable.
     """
 
     def __init__(
@@ -75,12 +81,15 @@ class PanelStages:
         database_prefix: str = "",
         parallelism: int | None = None,
         responses=None,
+        ranged: bool = False,
+        versions: bool = False,
     ):
         self.spark = fact.sparkSession
         self.fact, self.config = fact, config
         self._vaccinations, self._mobility = vaccinations, mobility
         self._root, self._own, self.cut = root, None, frozenset(cut)
         self.parallelism, self.responses = parallelism, responses
+        self.ranged, self.versions = ranged, versions
         self.generator, self.generated_at = generator, generated_at
         self.buckets, self.database_prefix = buckets, database_prefix
         self._done: dict[str, DataFrame] = {}
@@ -111,8 +120,12 @@ class PanelStages:
         if self.buckets:
             table = f"{self.database_prefix}{namespace}.{name}"
             key = self.config.columns.series if name in BUCKETED else None
-            return write_catalog_table(df, table, key, self.buckets)
-        return write_table(df, f"{self._folder()}/{namespace}/{name}")
+            write = publish_version if self.versions else write_catalog_table
+            return write(df, table, key, self.buckets)
+        path = f"{self._folder()}/{namespace}/{name}"
+        if self.ranged and name in BUCKETED:
+            return write_clustered(df, path, self.config.columns.series, self.config.columns.ts)
+        return write_table(df, path)
 
     def close(self) -> None:
         """Remove the folder this object made; frames that read from it end with it."""

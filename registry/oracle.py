@@ -873,6 +873,12 @@ SELECT {KEY}, rolling_avg_7d_cases AS current_avg_7d, coalesce(fc_end, 0) AS for
 SELECT * FROM c_weekday_forecasts"""
     q["n01_zscore_anomalies"] = "SELECT * FROM c_anomalies"
     q["n02_model_anomalies"] = "SELECT * FROM c_model_anomalies"
+    q["n02_rank_percentiles"] = f"""
+SELECT {KEY}, date, distance, is_anomaly, percentile, {ratio('upto', 'n', 6)} AS rank_percentile,
+       least(upto, n - below) * 1000000 <= n * 25000 AS is_rare
+FROM (SELECT *, count(*) OVER (PARTITION BY {KEY}) AS n,
+             count(*) OVER (PARTITION BY {KEY} ORDER BY distance RANGE UNBOUNDED PRECEDING) AS upto,
+             rank() OVER (PARTITION BY {KEY} ORDER BY distance) - 1 AS below FROM c_model_anomalies)"""
     q["n03_flagged_split"] = keyed(
         "anomaly_direction = 'SPIKE' AS is_spike, anomaly_direction = 'DROP' AS is_drop", "c_anomalies WHERE is_anomaly"
     )

@@ -493,6 +493,15 @@ over_stages("n01_zscore_anomalies", lambda st: st.anomalies())
 over_daily("n02_model_anomalies", lambda df: anomaly.model_anomalies(df, CONFIG.anomaly), FEATURES)
 
 
+over_daily(
+    "n02_rank_percentiles",
+    lambda df: anomaly.empirical_percentiles(anomaly.model_anomalies(df, CONFIG.anomaly)).select(
+        KEY, "date", "distance", "is_anomaly", "percentile", "rank_percentile", "is_rare"
+    ),
+    FEATURES,
+)
+
+
 @query("n03_flagged_split")
 def _(spark, sf):
     rows, _spikes, _drops = anomaly.flagged_split(b.stages(spark, sf).anomalies())

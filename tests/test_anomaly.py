@@ -129,3 +129,25 @@ def test_trailing_max(spark):
     assert {tuple(r) for r in anomaly.trailing_max(df, "m", 14).collect()} == {("a", 5.0)}
     empty = spark.createDataFrame([], schemas.MOBILITY)
     assert anomaly.trailing_max(empty, "mobility_index", 14).count() == 0
+
+
+def test_rank_percentiles_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for name, n in (("many", 400), ("ties", 90), ("one", 1), ("far", 120)):
+        for i in range(n):
+            d = round(rng.gauss(0, 1), 3) if name == "many" else rng.choice((-1.0, 0.0, 0.5)) if name == "ties" else rng.choice((-31.5, 0.001, 0.002, 44.0))
+            rows.append((name, day(i), d))
+        rows.append((name, day(n), None))
+    frame = spark.createDataFrame(rows, "country_region string, date date, distance double")
+    got = {(r["country_region"], r["date"]): (r["rank_percentile"], r["is_rare"]) for r in anomaly.empirical_percentiles(frame, 0.9).collect()}
+    want = {}
+    for name in {r[0] for r in rows}:
+        of = [max(-20.0, min(20.0, d)) for n, _, d in rows if n == name and d is not None]
+        for n, at, d in rows:
+            if n == name and d is not None:
+                d = max(-20.0, min(20.0, d))
+                upto, above = sum(x <= d for x in of), sum(x >= d for x in of)
+                want[n, at] = (math.floor(upto / len(of) * 10**6 + 0.5) / 10**6, min(upto, above) * 20 <= len(of))
+    assert got == want
+    assert {k[0] for k, (_, rare) in got.items() if rare} >= {"many"} and not got["one", day(0)][1]

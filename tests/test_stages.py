@@ -177,6 +177,22 @@ def test_publish_to_catalog_and_again(spark, fact):
         spark.sql(f"DROP TABLE p_{namespace}.{name}")
 
 
+def test_publish_versions_and_a_run_that_fails(spark, fact):
+    cut = ("daily", "features")
+    first = PanelStages(fact, CONFIG, buckets=2, database_prefix="w_", cut=cut, versions=True)
+    assert first.features().count() == 160
+    again = PanelStages(fact, CONFIG)
+    again._done["daily"] = first.daily()
+    assert "Exchange hashpartitioning" not in again.anomalies()._jdf.queryExecution().executedPlan().toString()
+    broken = fact.withColumn("cases", F.when(F.col("date") < str(day(70)), F.col("cases")).otherwise(F.raise_error(F.lit("cut off")).cast("bigint")))
+    failing = PanelStages(broken, CONFIG, buckets=2, database_prefix="w_", cut=cut, versions=True)
+    with pytest.raises(Exception, match="cut off"):
+        failing.daily()
+    assert spark.table("w_raw.daily").count() == 160 and spark.table("w_features.features").count() == 160
+    for database in ("raw", "features", "ml", "analytics"):
+        spark.sql(f"DROP DATABASE w_{database} CASCADE")
+
+
 def test_invariants(fact, tmp_path):
     from panelloom.operators.risk import FACTORS
 
@@ -252,6 +268,16 @@ def test_clustered_tables_skip_row_groups(spark, tmp_path):
     assert query.count() == 31
 
 
+def test_ranged_publishing_keeps_the_rows(spark, fact, tmp_path):
+    plain = PanelStages(fact, CONFIG)
+    ranged = PanelStages(fact, CONFIG, root=str(tmp_path), cut=("daily", "features", "anomalies"), ranged=True)
+    for name in ("daily", "features", "anomalies", "risk_tiers"):
+        assert sorted(map(str, getattr(ranged, name)().collect())) == sorted(map(str, getattr(plain, name)().collect()))
+    stored = spark.read.parquet(str(tmp_path / "features" / "features")).withColumn("file", F.input_file_name())
+    for rows in stored.groupBy("file").agg(F.collect_list(F.struct("country_region", "date")).alias("keys")).collect():
+        assert rows["keys"] == sorted(rows["keys"])
+
+
 def test_stored_views_outlive_the_session(spark, fact, tmp_path):
     stages = PanelStages(fact, CONFIG, root=str(tmp_path), cut=("daily", "features"))
     names = stages.store_views("view_")
