@@ -24,7 +24,7 @@ class NearConfig:
 
 
 # Bytes of text that a task hashes at a time; the arrays of a chunk take some ten times as much.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
