@@ -57,13 +57,15 @@ def paced(docs: DataFrame, config: MixConfig = MixConfig(), row: str | None = No
     up to and with the document, divided by the source's target; a repeat comes ``source_size / target``
     later. Each source is cut into slices of its hash order, so that a source with a third of all rows
     is summed by many tasks: first whole slices, then the documents inside one slice. ``row`` names a column
-    that orders rows of equal id and size and stays in the result.
+    that orders rows of equal id and size and stays in the result. Rows without an id stand by a hash of their size,
+    and of ``row``, so that a source of such rows fills all slices too.
     """
     rows = [row] if row else []
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", F.lit("null"), F.col("size").cast("string"), *rows))
     keyed = docs.select(
         "doc_id", "source", "size", *rows,
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"),
-        F.substring(F.md5(F.concat(F.lit(config.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16).alias("_key"),
+        F.substring(F.md5(F.concat(F.lit(config.seed), name)), 1, 16).alias("_key"),
     ).withColumn("_slice", F.substring("_key", 1, config.digits))
     keyed = written(keyed)
     slices = keyed.groupBy("_source", "_slice").agg(F.sum("size").alias("_words"), F.max("source").alias("source"))

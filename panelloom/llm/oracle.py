@@ -115,8 +115,8 @@ SELECT page_id, host, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(k) AS
        sha256(coalesce(array_to_string(k, chr(10)), '')) AS text_sha256 FROM kept"""
 
 OP8 = f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {SPACED})), 0) AS size,
-                  substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS key FROM documents),
+WITH d AS (SELECT *, substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || size)), 1, 16) AS key FROM (
+             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {SPACED})), 0) AS size FROM documents)),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][k % 3 + 1] AS weight FROM s),
 l AS (SELECT *, 3 * sum(size) OVER () - 4 * coalesce(sum(size) OVER fuller, 0) AS remains,

@@ -150,9 +150,9 @@ def mix(docs, seed="mix", epochs=2):
     for _, s, n in rows:
         sizes[s] += n
     target = targets(dict(sizes)) if rows else {}
-    key = lambda d: hashlib.md5((seed + ("" if d is None else str(d))).encode()).hexdigest()[:16]
+    key = lambda d, n: hashlib.md5((seed + (f"null:{n}" if d is None else str(d))).encode()).hexdigest()[:16]
     queue, done = [], Counter()
-    order = sorted(range(len(rows)), key=lambda i: (key(rows[i][0]), rows[i][0] if rows[i][0] is not None else -(10**18), rows[i][2]))
+    order = sorted(range(len(rows)), key=lambda i: (key(rows[i][0], rows[i][2]), rows[i][0] if rows[i][0] is not None else -(10**18), rows[i][2]))
     for i in order:
         _, s, n = rows[i]
         done[s] += n
