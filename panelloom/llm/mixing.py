@@ -58,10 +58,10 @@ def paced(docs: DataFrame, config: MixConfig = MixConfig(), row: str | None = No
     later. Each source is cut into slices of its hash order, so that a source with a third of all rows
     is summed by many tasks: first whole slices, then the documents inside one slice. ``row`` names a column
     that orders rows of equal id and size and stays in the result. Rows without an id stand by a hash of their size,
-    and of ``row``, so that a source of such rows fills all slices too.
+    so that a source of such rows fills more than one slice.
     """
     rows = [row] if row else []
-    name = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", F.lit("null"), F.col("size").cast("string"), *rows))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("size").cast("string")))
     keyed = docs.select(
         "doc_id", "source", "size", *rows,
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"),

@@ -162,6 +162,29 @@ def test_stages_of_null_and_repeated_ids(spark, tmp_path):
     assert all(r["taken"] == r["copies"] * len(r["text"].split()) for r in got)
 
 
+def test_stages_of_no_documents_and_of_very_long_texts(spark, tmp_path):
+    """Each stage on an empty table, and on one with texts of a hundred thousand words; other columns do not reach the result."""
+    labels = [(i, i % 2, i % 2) for i in range(40)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(14)))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, finish string"
+    long = " ".join(f"x{i * i % 9973}" for i in range(100_000))
+    rows = [(i, f"{long} {'good' if i % 3 else 'bad'}{i % 2}", "en", "s", 1, "r", "f") for i in range(3)]
+    rows += [(10, long + " w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10", "en", "s", 1, "r", "f"), (11, "short text of its own", None, None, None, "r", "f")]
+    for given in ([], rows):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns[:5] == COLUMNS and "_row" not in out.columns
+            kept = ids(out.collect())
+            if not given:
+                assert kept == []
+            elif name == "near_dedup":
+                assert kept == [0, 11]
+            elif name == "decontamination":
+                assert kept == [0, 1, 2, 11]
+
+
 def test_other_queries_need_no_corpus_package(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     script = """
@@ -178,6 +201,22 @@ assert not any(q.startswith("op") or q == "pipeline" for q in contract.queries()
     assert done.returncode == 0, done.stderr.decode()[-2000:]
 
 
+def test_other_queries_need_no_operators_where_the_pipeline_stays():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == "panelloom.llm":
+            raise ModuleNotFoundError(name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as contract
+assert not contract.CORPUS and not contract.CORPUS_SQL and len(contract.queries()) > 140
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, timeout=120)
+    assert done.returncode == 0, done.stderr.decode()[-2000:]
+
+
 def test_scores_do_not_use_other_columns(spark):
     docs, labels, _ = toxic_corpus(spark, 120)
     plain = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, labels).collect()}
