@@ -27,9 +27,12 @@ BESIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr "
     "notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social "
     "sidebar sidebars aside widget widgets related recommended recommendations menu menus nav navbar navigation breadcrumb "
-    "breadcrumbs footer masthead topbar comment comments commentlist respond reply replies disqus form login search toolbar "
-    "pagination pager copyright disclaimer skip hidden".split()
+    "breadcrumbs footer masthead topbar comment comments commentlist discussion respond reply replies responses feedback disqus "
+    "form login search toolbar pagination pager rail teaser teasers announcement copyright disclaimer skip hidden".split()
 )
+# Words of names that tell of a header, and those that make it the article's own.
+HEADERS = frozenset("header branding logo".split())
+OWN = frozenset("article content entry post story headline title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 KERNEL = [math.exp(-(d * d) / 2) for d in range(-3, 4)]  # Gaussian of one line's width
@@ -47,13 +50,21 @@ def beside(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
             return True
         if key == "style" and "display:none" in value.replace(" ", "").lower():
             return True
+    # "has-sidebar" tells of the layout, not of the element.
+    return any(not {"has", "no", "with", "without"} & words and not BESIDE.isdisjoint(words) for words in names(attributes))
+
+
+def names(attributes: list[tuple[str, str | None]]) -> Iterator[set[str]]:
+    """The words of each class and id name."""
+    for key, value in attributes:
         if key in ("class", "id"):
-            for name in value.split():
-                words = [w.lower() for w in NAME.findall(name)]
-                # "has-sidebar" tells of the layout, not of the element.
-                if not {"has", "no", "with", "without"}.intersection(words) and not BESIDE.isdisjoint(words):
-                    return True
-    return False
+            for name in (value or "").split():
+                yield {w.lower() for w in NAME.findall(name)}
+
+
+def heads_page(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+    """Whether a start tag names a header, by its own name, its class or its id."""
+    return tag == "header" or any(not HEADERS.isdisjoint(words) and OWN.isdisjoint(words) for words in names(attributes))
 
 
 class Line:
@@ -101,16 +112,17 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.links = 1
-        off = beside(tag, attrs)
         if tag in VOID:
             return
+        off = beside(tag, attrs)
+        # A header inside an article is its own.
+        if not off and tag in ("header", "div", "section", "table") and not (self.open["article"] or self.open["main"]):
+            off = heads_page(tag, attrs)
         if tag in BLOCKS or off:
             if tag in BLOCKS:
                 while self.stack[-1][0] == "p" or tag == "li" and self.stack[-1][0] == "li":
                     self.open[self.stack.pop()[0]] -= 1
             _, above, outside = self.stack[-1]
-            if tag == "header":  # that of an article is its own
-                off = off or not (self.open["article"] or self.open["main"])
             if tag not in BLOCKS:
                 self.end_line()
             self.parents.append(above)

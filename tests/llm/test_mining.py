@@ -150,6 +150,8 @@ AFTER = (
         f"<body>{MENU}<div class='x'><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>About us</a></ul></div><div class='y'>{BODY}</div>{AFTER}",
         f"{MENU}{BODY}{AFTER}",
         f"<div class='ad'>Buy it now, it is the best thing ever sold on the web.</div><article>{BODY}<div class='share-links'><a href=1>Mail</a></div></article>",
+        f"<div id='site-header'><p>The name of a site and what it is about, in rather many words for a header.</p></div><div class='entry-content'>{BODY}</div>{AFTER}",
+        f"<div class='logo'>Site</div><main><div class='header'>{BODY[: BODY.index('<p>')]}</div>{BODY[BODY.index('<p>') :]}</main><div class='discussion'><p>One more thing that a reader wants to say at some length.</p></div>",
         f"<article><header>{BODY[: BODY.index('<p>')]}</header>{BODY[BODY.index('<p>') :]}<footer>About the author</footer></article>",
     ],
 )
