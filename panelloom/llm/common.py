@@ -1,10 +1,12 @@
-"""What several corpus operators share: tables, written stages, key sieves, lower-casing."""
+"""What several corpus operators share: tables, written stages, key sieves, lower-casing, texts of a batch."""
 
 from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Words between ASCII white space, as a regular expression of Spark and of DuckDB.
@@ -25,6 +27,32 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+class Texts:
+    """A text column of an Arrow batch as UTF-8 bytes, null as empty; one text is a Python object at a time."""
+
+    def __init__(self, column: pa.Array):
+        self.column = column.cast(pa.binary())
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __iter__(self) -> Iterator[bytes]:
+        for text in self.column:
+            yield text.as_py() or b""
+
+    def groups(self, size: int) -> Iterator[tuple[int, list[bytes]]]:
+        """The texts in groups of about ``size`` bytes, one text at least, with the number of the first row."""
+        start, total, group = 0, 0, []
+        for text in self:
+            if group and total + len(text) > size:
+                yield start, group
+                start, total, group = start + len(group), 0, []
+            group.append(text)
+            total += len(text)
+        if group:
+            yield start, group
+
+
 def stage_folder(spark: SparkSession) -> str:
     """A fresh folder every executor reaches: below ``spark.checkpoint.dir``, else below the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

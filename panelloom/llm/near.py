@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelloom.llm.common import sieve, written
+from panelloom.llm.common import Texts, sieve, written
 from panelloom.llm.components import components
 
 
@@ -37,18 +37,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(texts: list) -> Iterator[range]:
-    """Ranges of texts of about ``CHUNK`` bytes, one text at least."""
-    start, total = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and total + len(text) > CHUNK:
-            yield range(start, i)
-            start, total = i, 0
-        total += len(text)
-    if start < len(texts):
-        yield range(start, len(texts))
-
-
 def shingle_set(text: bytes, k: int) -> tuple[np.ndarray, bytes]:
     """Sorted distinct shingle hashes of a text, and a 128-bit digest of its words."""
     words = text.lower().split()
@@ -108,28 +96,23 @@ def band_keys(out: np.ndarray, config: NearConfig) -> np.ndarray:
     return keys.astype(np.int64)
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
-
-
 def signed(config: NearConfig):
     """Arrow batches of (doc_id, text) and others to (doc_id, n_shingles, content, bands) and the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch.column("text"))
             others = [c for c in batch.schema.names if c not in ("doc_id", "text")]
-            for part in chunks(texts):
-                pairs = [shingle_set(texts[i], config.shingle) for i in part]
+            for start, texts in Texts(batch.column("text")).groups(CHUNK):
+                pairs = [shingle_set(text, config.shingle) for text in texts]
                 full = [s for s, _ in pairs if len(s)]
                 keys = iter(band_keys(sketches(full, config.rows * config.bands), config) if full else ())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(part.start, len(part)),
+                        batch.column("doc_id").slice(start, len(texts)),
                         pa.array([len(s) for s, _ in pairs], pa.int64()),
                         pa.array([d for _, d in pairs], pa.binary()),
                         pa.array([next(keys) if len(s) else [] for s, _ in pairs], pa.list_(pa.int64())),
-                        *(batch.column(c).slice(part.start, len(part)) for c in others),
+                        *(batch.column(c).slice(start, len(texts)) for c in others),
                     ],
                     ["doc_id", "n_shingles", "content", "bands", *others],
                 )
@@ -142,11 +125,11 @@ def shingled(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = _bytes(batch.column("text")), batch.column("doc_id").to_pylist()
-            for part in chunks(texts):
+            ids = batch.column("doc_id").to_pylist()
+            for start, texts in Texts(batch.column("text")).groups(CHUNK):
                 found = {}
-                for i in part:
-                    shingles, digest = shingle_set(texts[i], k)
+                for i, text in enumerate(texts, start):
+                    shingles, digest = shingle_set(text, k)
                     found.setdefault((ids[i], digest), shingles)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelloom.llm.common import written
+from panelloom.llm.common import Texts, written
 
 
 @dataclass(frozen=True)
@@ -49,7 +48,7 @@ def packed(letters: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def pieces(texts: list[bytes], overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(texts: Iterable[bytes], overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Groups of about ``CHUNK`` bytes: joined letters, and the owner and the first place of each piece.
 
     Pieces are parted by zero bytes, longer than a window and a gram.
@@ -128,10 +127,10 @@ def counted(config: ToxicityConfig):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frame = batch.to_pandas()
-            for (toxic, fold), rows in frame.groupby(["toxic", "fold"]):
-                texts = [t.encode() for t in rows["text"]]
-                for letters, _, _ in pieces(texts, config.window + config.order):
+            label, part = (batch.column(c).to_numpy() for c in ("toxic", "fold"))
+            for toxic, fold in sorted(set(zip(label.tolist(), part.tolist()))):
+                rows = pa.array((label == toxic) & (part == fold))
+                for letters, _, _ in pieces(Texts(batch.column("text").filter(rows)), config.window + config.order):
                     # Pieces of a long text share a few grams, which then count twice.
                     keys, n = np.unique(whole_grams(letters, config.order), return_counts=True)
                     yield pa.RecordBatch.from_arrays(
@@ -204,7 +203,7 @@ def stretches(letters: np.ndarray, ratios: np.ndarray, starts: np.ndarray, confi
     return np.maximum.reduceat(means, np.minimum(starts, len(means) - 1))
 
 
-def peak(texts: list[bytes], table: tuple | np.ndarray, config: ToxicityConfig) -> np.ndarray:
+def peak(texts: Collection[bytes], table: tuple | np.ndarray, config: ToxicityConfig) -> np.ndarray:
     """The largest mean log ratio over ``window`` grams in a row of each text; 0 for a text without letters.
 
     ``table`` is what ``gram_table`` gives, or a dense array of ``slots`` ratios.
@@ -226,8 +225,7 @@ def cut_up(config: ToxicityConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column("_toxic_row").to_numpy()
-            texts = [t.encode() for t in batch.column("text").to_pylist()]
-            for letters, owners, starts in pieces(texts, config.window + config.order):
+            for letters, owners, starts in pieces(Texts(batch.column("text")), config.window + config.order):
                 grams = np.unique(whole_grams(letters, config.order))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -302,9 +300,9 @@ class ToxicityModel:
     def peaks(self, text: Column, which: str = "all") -> Column:
         (keys, held), config = self.tables[which], self.config
 
-        @F.pandas_udf("double")
-        def peaks(batch: pd.Series) -> pd.Series:
-            return pd.Series(peak([(t or "").encode() for t in batch], (keys.value, held.value), config))
+        @F.arrow_udf("double")
+        def peaks(batch: pa.Array) -> pa.Array:
+            return pa.array(peak(Texts(batch), (keys.value, held.value), config))
 
         return peaks(text)
 
