@@ -31,6 +31,8 @@ class ToxicityConfig:
 
 # Bytes a task works on at a time. Longer texts are cut into pieces that overlap.
 CHUNK = 1_000_000
+# Bytes of text that share one list of different grams where these are joined to their ratios.
+GROUP = 8_000_000
 _APART = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -221,22 +223,28 @@ def peak(texts: Collection[bytes], table: tuple | np.ndarray, config: ToxicityCo
 
 def cut_up(config: ToxicityConfig):
     """Arrow batches of (_toxic_row, text) to groups of pieces with a key of their own and their different grams."""
+    integers, none = pa.list_(pa.list_(pa.int64())), np.empty(0, np.int64)
+
+    def group(held: list, grams: np.ndarray) -> pa.RecordBatch:
+        letters, owners, starts = ([x] for x in map(list, zip(*held)))
+        # Groups that drew one key would share what is found, which holds the grams of both.
+        columns = [pa.array([uuid.uuid4().int >> 65]), pa.array(letters, pa.list_(pa.binary())), pa.array(owners, integers)]
+        columns += [pa.array(starts, integers), pa.array([grams], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "letters", "owners", "starts", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, grams, size = [], none, 0
         for batch in batches:
             rows = batch.column("_toxic_row").to_numpy()
             for letters, owners, starts in pieces(Texts(batch.column("text")), config.window + config.order):
-                grams = np.unique(whole_grams(letters, config.order))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([uuid.uuid4().hex]),
-                        pa.array([letters.astype(np.uint8).tobytes()], pa.binary()),
-                        pa.array([rows[owners]], pa.list_(pa.int64())),
-                        pa.array([starts], pa.list_(pa.int64())),
-                        pa.array([grams], pa.list_(pa.int64())),
-                    ],
-                    ["chunk", "letters", "owners", "starts", "grams"],
-                )
+                held.append((letters.astype(np.uint8).tobytes(), rows[owners], starts))
+                grams = np.union1d(grams, whole_grams(letters, config.order))
+                size += len(letters)
+                if size >= GROUP:
+                    yield group(held, grams)
+                    held, grams, size = [], none, 0
+        if held:
+            yield group(held, grams)
 
     return run
 
@@ -246,18 +254,17 @@ def judged_chunks(names: list[str], config: ToxicityConfig):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {c: batch.column(c) for c in batch.schema.names}
             for i in range(batch.num_rows):
-                letters = np.frombuffer(columns["letters"][i].as_py(), np.uint8).astype(np.int64)
-                owners, starts = (columns[c][i].values.to_numpy() for c in ("owners", "starts"))
-                grams, found = packed(letters, config.order), columns["found"][i].values
-                known = np.array([], np.int64) if found is None else found.field("gram").to_numpy()
-                peaks = []
-                for c in names:
-                    values = np.array([], np.float32) if found is None else found.field(c).to_numpy()
-                    ratios = looked_up(grams, *gram_table(known, values))
-                    peaks.append(pa.array(stretches(letters, ratios, starts, config)))
-                yield pa.RecordBatch.from_arrays([pa.array(owners), *peaks], ["_toxic_row", *names])
+                found = batch.column("found")[i].values
+                tables = [gram_table(np.empty(0, np.int64), np.empty(0, np.float32))] * len(names)
+                if found is not None:
+                    known = found.field("gram").to_numpy()
+                    tables = [gram_table(known, found.field(c).to_numpy()) for c in names]
+                for raw, owners, starts in zip(*(batch.column(c)[i].values for c in ("letters", "owners", "starts"))):
+                    letters = np.frombuffer(raw.as_buffer(), np.uint8).astype(np.int64)
+                    grams, first = packed(letters, config.order), starts.values.to_numpy()
+                    peaks = [pa.array(stretches(letters, looked_up(grams, *t), first, config)) for t in tables]
+                    yield pa.RecordBatch.from_arrays([owners.values, *peaks], ["_toxic_row", *names])
 
     return run
 
@@ -265,12 +272,12 @@ def judged_chunks(names: list[str], config: ToxicityConfig):
 def joined_peaks(docs: DataFrame, ratios: DataFrame, names: dict, config: ToxicityConfig) -> DataFrame:
     """``docs`` with the peaks ``names`` (column to selection), for a ratio table of any size.
 
-    Texts are cut into groups of about ``CHUNK`` bytes. The different grams of each group are joined to the
+    Texts are cut into pieces of about ``CHUNK`` bytes, in groups of about ``GROUP``. The different grams of each group are joined to the
     ratios, so that a frequent gram is one row a group, and what is found returns to the group, whose
     windows are rebuilt in place. No task holds more than its groups' own grams.
     """
     rows = written(docs.withColumn("_toxic_row", F.monotonically_increasing_id()))
-    schema = "chunk string, letters binary, owners array<bigint>, starts array<bigint>, grams array<bigint>"
+    schema = "chunk bigint, letters array<binary>, owners array<array<bigint>>, starts array<array<bigint>>, grams array<bigint>"
     cut = rows.select("_toxic_row", F.coalesce("text", F.lit("")).alias("text"))
     cut = written(cut.mapInArrow(cut_up(config), schema))
     wanted = cut.select("chunk", F.explode("grams").alias("gram"))

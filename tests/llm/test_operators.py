@@ -4,10 +4,11 @@ import os
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.llm import chat, decontam, exact, lines, mixing, near, passages, queries, secret_scan, toxicity, urls
+from panelloom.llm import chat, common, decontam, exact, lines, mixing, near, passages, queries, secret_scan, toxicity, urls
 
 SF_DIR = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tables")
@@ -373,6 +374,31 @@ def test_joined_grams_score_like_broadcast_ones(spark):
     assert max(abs(g[3] - w[3]) for g, w in zip(got, wanted)) < 1e-3
 
 
+def test_groups_of_pieces_give_the_peaks_of_whole_texts(monkeypatch):
+    """Texts longer than a piece and a group, and several to a group: what is joined gives the same peaks."""
+    config = toxicity.ToxicityConfig()
+    rng = np.random.default_rng(4)
+    texts = [None, "", *("".join(rng.choice(list("abc \u00e9"), n)) for n in (3, 40, 900, 5, 5, 90))]
+    column = pa.array(texts, pa.string())
+    grams = np.unique(np.concatenate([toxicity.whole_grams(x, 5) for x, _, _ in toxicity.pieces(common.Texts(column), 17)]))[::2]
+    values = rng.normal(size=len(grams)).astype(np.float32)
+    wanted = toxicity.peak(common.Texts(column), toxicity.gram_table(grams, values), config)
+    monkeypatch.setattr(toxicity, "CHUNK", 100)
+    monkeypatch.setattr(toxicity, "GROUP", 250)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), column], ["_toxic_row", "text"])
+    cut = list(toxicity.cut_up(config)(iter([rows, rows.slice(2)])))
+    assert len(cut) > 3
+    got = np.full(len(texts), -np.inf)
+    for batch in cut:
+        asked = np.isin(grams, batch.column("grams")[0].values.to_numpy())
+        found = [{"gram": g, "p": v} for g, v in zip(grams[asked].tolist(), values[asked].tolist())]
+        kind = pa.list_(pa.struct([("gram", pa.int64()), ("p", pa.float32())]))
+        given = batch.drop_columns(["chunk", "grams"]).append_column("found", pa.array([found], kind))
+        for out in toxicity.judged_chunks(["p"], config)(iter([given])):
+            np.maximum.at(got, out.column("_toxic_row").to_numpy(), out.column("p").to_numpy())
+    assert np.allclose(np.where(np.isfinite(got), got, 0.0), wanted)
+
+
 def test_toxicity_of_awkward_rows(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "x"), (None, 1, "x"), (3, None, "x"), (4, 7, "x"), (5, 0, "x")], "doc_id bigint, toxic int, text string")
     rows = toxicity.scored(docs, labels).collect()
